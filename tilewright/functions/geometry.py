@@ -20,16 +20,16 @@ def vertex(x, y) -> Column:
 def edges(ring: Column) -> Column:
     """Array of ``struct<p, q>`` over consecutive vertices, the last joined to the first."""
     turned = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1))
-    return F.arrays_zip(ring.alias("p"), turned.alias("q"))
+    return F.zip_with(ring, turned, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
 
 def signed_area(ring: Column) -> Column:
     """Shoelace area, positive counter-clockwise. Coordinates are taken relative to the first
     vertex, so large map coordinates do not cost precision."""
     x0, y0 = ring[0]["x"], ring[0]["y"]
-    term = lambda e: (e["0"]["x"] - x0) * (e["1"]["y"] - y0) - (e["1"]["x"] - x0) * (e["0"]["y"] - y0)
+    term = lambda e: (e["p"]["x"] - x0) * (e["q"]["y"] - y0) - (e["q"]["x"] - x0) * (e["p"]["y"] - y0)
     return F.when(
-        F.size(ring) > 0, F.aggregate(_pairs(ring), F.lit(0.0), lambda acc, e: acc + term(e)) * 0.5
+        F.size(ring) > 0, F.aggregate(edges(ring), F.lit(0.0), lambda acc, e: acc + term(e)) * 0.5
     ).otherwise(F.lit(0.0))
 
 
@@ -37,11 +37,6 @@ def area(ring: Column) -> Column:
     return F.abs(signed_area(ring))
 
 
-def _pairs(ring: Column) -> Column:
-    turned = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1))
-    return F.zip_with(ring, turned, lambda p, q: F.struct(p.alias("0"), q.alias("1")))
-
-
 def ring_bounds(ring: Column) -> dict[str, Column]:
     return {
         "xmin": F.array_min(ring["x"]), "ymin": F.array_min(ring["y"]),
@@ -52,12 +47,12 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
 def point_in_ring(ring: Column, px: Column, py: Column) -> Column:
     """Even-odd rule; an edge counts when it spans the point's height half-open."""
     def flip(inside, e):
-        a, b = e["0"], e["1"]
+        a, b = e["p"], e["q"]
         spans = (a["y"] > py) != (b["y"] > py)
         crossing = (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]
         return F.when(spans, F.when(px < crossing, ~inside).otherwise(inside)).otherwise(inside)
 
-    return F.aggregate(_pairs(ring), F.lit(False), flip)
+    return F.aggregate(edges(ring), F.lit(False), flip)
 
 
 def _clip_half_plane(ring: Column, axis: str, limit: Column, keep_below: bool) -> Column:
@@ -66,7 +61,7 @@ def _clip_half_plane(ring: Column, axis: str, limit: Column, keep_below: bool) -
     inside = lambda v: (v[axis] <= limit) if keep_below else (v[axis] >= limit)
 
     def step(e):
-        a, b = e["0"], e["1"]
+        a, b = e["p"], e["q"]
         at = a[other] + (b[other] - a[other]) * (limit - a[axis]) / (b[axis] - a[axis])
         cut = vertex(limit, at) if axis == "x" else vertex(at, limit)
         empty = F.slice(ring, 1, 0)
@@ -77,7 +72,7 @@ def _clip_half_plane(ring: Column, axis: str, limit: Column, keep_below: bool) -
             .otherwise(empty)
         )
 
-    return F.flatten(F.transform(_pairs(ring), step))
+    return F.flatten(F.transform(edges(ring), step))
 
 
 def clipped_area(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
