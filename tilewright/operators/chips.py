@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_unit
 from ..functions.naming import chip_id
 from ..schema import BLOCK_SIZE
+from .grid import on_tile
 from .joins import join_small
 from .rank import bucketed_rank
 
@@ -20,10 +21,8 @@ def block_cells(cells: DataFrame, shapes: DataFrame, size: int = BLOCK_SIZE, ful
 
     ``shapes`` has ``tile_id, n_rows, n_cols``. Square rim blocks stay unless ``full_only``.
     """
-    blocks = cells.withColumns(
-        {"brow": F.floor(F.col("row_no") / size).cast("int"), "bcol": F.floor(F.col("col_no") / size).cast("int")}
-    ).join(shapes.select("tile_id", "n_rows", "n_cols"), "tile_id")
-    return _square(blocks, size, full_only).drop("n_rows", "n_cols")
+    keyed = _with_blocks(cells, size)
+    return _square(on_tile(keyed, shapes.select("tile_id", "n_rows", "n_cols")), size, full_only).drop("n_rows", "n_cols")
 
 
 def chip_blocks(shapes: DataFrame, size: int = BLOCK_SIZE, full_only: bool = False) -> DataFrame:
@@ -37,6 +36,12 @@ def chip_blocks(shapes: DataFrame, size: int = BLOCK_SIZE, full_only: bool = Fal
     return blocks.withColumn("chip_id", chip_id(F.col("tile_id").cast("string"), F.col("brow"), F.col("bcol")))
 
 
+def _with_blocks(cells: DataFrame, size: int) -> DataFrame:
+    return cells.withColumns(
+        {"brow": F.floor(F.col("row_no") / size).cast("int"), "bcol": F.floor(F.col("col_no") / size).cast("int")}
+    )
+
+
 def _square(blocks: DataFrame, size: int, full_only: bool) -> DataFrame:
     edge = lambda n, b: F.least(F.lit(size), F.col(n) - F.col(b) * size)
     height, width = edge("n_rows", "brow"), edge("n_cols", "bcol")
@@ -84,9 +89,7 @@ def limit_chips(chips: DataFrame, limit: int, order: Sequence[str] = ("tile_id",
 
 def cells_of_chips(cells: DataFrame, chips: DataFrame, size: int = BLOCK_SIZE) -> DataFrame:
     """The cells of chosen chips only."""
-    keyed = cells.withColumns(
-        {"brow": F.floor(F.col("row_no") / size).cast("int"), "bcol": F.floor(F.col("col_no") / size).cast("int")}
-    )
+    keyed = _with_blocks(cells, size)
     return join_small(keyed, chips.select("tile_id", "brow", "bcol", "chip_id"), ["tile_id", "brow", "bcol"])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_SIZE
+from .joins import join_small
 
 
 def with_shape(grids: DataFrame) -> DataFrame:
@@ -14,6 +15,11 @@ def with_shape(grids: DataFrame) -> DataFrame:
     return grids.withColumns({"n_rows": size("ymin", "ymax"), "n_cols": size("xmin", "xmax")})
 
 
+def on_tile(df: DataFrame, per_tile: DataFrame) -> DataFrame:
+    """Attach one-row-per-tile facts, without a shuffle while the tile list is small."""
+    return join_small(df, per_tile, "tile_id")
+
+
 def center_x(col: Column) -> Column:
     return F.col("xmin") + (col + 0.5) * F.col("res")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A table is broadcast only after at most this many rows were counted in it.
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS = 200_000
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:

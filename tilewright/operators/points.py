@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import record_coordinate, scale_coordinate, truncate
-from .grid import center_x, center_y, empty_cells, with_shape
+from .grid import center_x, center_y, empty_cells, on_tile, with_shape
 
 
 def scale_coords(points: DataFrame, scale: float, offset: float = 0.0) -> DataFrame:
@@ -30,10 +30,10 @@ def crop_points(points: DataFrame, bbox: Sequence[float], scale: float, offset:
 
 def crop_to_grids(points: DataFrame, grids: DataFrame, scale: float, offset: float = 0.0) -> DataFrame:
     """:func:`crop_points` for many tiles at once, each with its own bounds."""
-    limit = lambda name: truncate((F.col(f"g.{name}") - offset) / scale)
-    inside = F.col("p.xi").between(limit("xmin"), limit("xmax")) & F.col("p.yi").between(limit("ymin"), limit("ymax"))
-    same = F.col("p.tile_id") == F.col("g.tile_id")
-    return points.alias("p").join(grids.alias("g"), same & inside).select("p.*")
+    limit = lambda name: truncate((F.col(f"_{name}") - offset) / scale)
+    box = grids.select("tile_id", *[F.col(c).alias(f"_{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    inside = F.col("xi").between(limit("xmin"), limit("xmax")) & F.col("yi").between(limit("ymin"), limit("ymax"))
+    return on_tile(points, box).where(inside).select(*points.columns)
 
 
 def bounds(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -88,7 +88,7 @@ def _with_cells(points: DataFrame, grids: DataFrame, edge: str = "closed") -> Da
     if edge not in ("closed", "half_open"):
         raise ValueError(f"unknown edge rule: {edge}")
     shapes = with_shape(grids).select("tile_id", "xmin", "ymax", "res", "n_rows", "n_cols")
-    rows = points.join(shapes, "tile_id")
+    rows = on_tile(points, shapes)
     first_col = F.floor((F.col("x") - F.col("xmin")) / F.col("res")).cast("int")
     first_row = F.floor((F.col("ymax") - F.col("y")) / F.col("res")).cast("int")
     if edge == "closed":

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip
 from ..schema import BLOCK_SIZE, CELL_KEY
 from ..session import cut_lineage
-from .grid import halo_blocks
+from .grid import halo_blocks, on_tile
 from .joins import join_small
 from .quantiles import exact_quantiles
 
@@ -104,7 +104,7 @@ def mosaic(cells: DataFrame, grids: DataFrame, bands: Sequence[str]) -> DataFram
     """
     g = grids.select("tile_id", "xmin", "ymin", "xmax", "ymax", "res")
     placed = (
-        cells.join(g, "tile_id")
+        on_tile(cells, g)
         .where(
             (F.col("x") >= F.col("xmin")) & (F.col("x") < F.col("xmax"))
             & (F.col("y") > F.col("ymin")) & (F.col("y") <= F.col("ymax"))
@@ -134,7 +134,7 @@ def resample_nearest(cells: DataFrame, shapes: DataFrame, value: str) -> DataFra
     ``shapes`` has ``tile_id, src_rows, src_cols, dst_rows, dst_cols``.
     """
     source = lambda i, src, dst: F.floor((i + 0.5) * src / dst)
-    rows = cells.select(*CELL_KEY, value).join(shapes, "tile_id")
+    rows = on_tile(cells.select(*CELL_KEY, value), shapes)
     rows = rows.withColumn("_r", F.explode(_targets(F.col("row_no"), F.col("src_rows"), F.col("dst_rows"), source)))
     rows = rows.withColumn("_c", F.explode(_targets(F.col("col_no"), F.col("src_cols"), F.col("dst_cols"), source)))
     return rows.select("tile_id", F.col("_r").alias("row_no"), F.col("_c").alias("col_no"), value)
@@ -156,7 +156,7 @@ def resample_bilinear(cells: DataFrame, shapes: DataFrame, value: str, block: in
             F.when(F.lead("col_no").over(along_row) == F.col("col_no") + 1, F.lead(value).over(along_row)).alias("b"),
         ),
     ).withColumn("_below", F.lead(F.struct("row_no", "_pair")).over(along_col))
-    quad = quad.where("owned").join(shapes, "tile_id")
+    quad = on_tile(quad.where("owned"), shapes)
     below = F.when(F.col("_below.row_no") == F.col("row_no") + 1, F.col("_below._pair"))
 
     # Positions left of the first centre read the first cell alone; the last cell has no follower.

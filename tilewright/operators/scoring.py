@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import argmax
 from ..schema import CELL_KEY
 from .features import append_lab
+from .grid import on_tile
 from .stats import minmax_scale
 from .surfaces import covered_cells, mask_to_surfaces
 
@@ -31,7 +32,7 @@ def tile_windows(cells: DataFrame, shapes: DataFrame, crop: int = 512, stride: i
         high = F.least(F.floor(F.col(index) / stride), last)
         return F.explode(F.sequence(low.cast("int"), high.cast("int")))
 
-    rows = cells.join(shapes.select("tile_id", "n_rows", "n_cols"), "tile_id")
+    rows = on_tile(cells, shapes.select("tile_id", "n_rows", "n_cols"))
     return rows.withColumn("wrow", covering("row_no", "n_rows")).withColumn(
         "wcol", covering("col_no", "n_cols")
     ).drop("n_rows", "n_cols")

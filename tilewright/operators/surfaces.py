@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import area, clipped_area, edges, point_in_ring, ring_bounds
 from ..schema import CELL_KEY, MAX_TILE_AREA
-from .grid import center_x, center_y, empty_cells, with_shape
+from .grid import center_x, center_y, empty_cells, on_tile, with_shape
 from .joins import binned_join, explode_box, put_in_bin
 
 
@@ -71,7 +71,7 @@ def clip_surfaces(surfaces: DataFrame, grids: DataFrame) -> DataFrame:
     names = ["xmin", "ymin", "xmax", "ymax"]
     added = [c for c in names if c not in surfaces.columns]
     return (
-        with_ring_bounds(surfaces).join(g, "tile_id").where(meets).drop(*added, *[f"_{c}" for c in names])
+        on_tile(with_ring_bounds(surfaces), g).where(meets).drop(*added, *[f"_{c}" for c in names])
     )
 
 
@@ -109,8 +109,7 @@ def covered_cells(surfaces: DataFrame, grids: DataFrame, feature: str, carry: Se
     carry = list(carry)
     shapes = with_shape(grids).select("tile_id", "xmin", "ymax", "res", "n_rows", "n_cols")
     lines = (
-        surfaces.select("tile_id", feature, *carry, F.explode(edges(F.col("ring"))).alias("e"))
-        .join(shapes, "tile_id")
+        on_tile(surfaces.select("tile_id", feature, *carry, F.explode(edges(F.col("ring"))).alias("e")), shapes)
         .withColumns({"_high": F.greatest("e.p.y", "e.q.y"), "_low": F.least("e.p.y", "e.q.y")})
     )
     to_row = lambda y: (F.col("ymax") - y) / F.col("res") - 0.5
