@@ -55,30 +55,31 @@ def point_in_ring(ring: Column, px: Column, py: Column) -> Column:
     return F.aggregate(edges(ring), F.lit(False), flip)
 
 
-def _clip_half_plane(ring: Column, axis: str, limit: Column, keep_below: bool) -> Column:
-    """One Sutherland-Hodgman pass: the part of a ring on one side of an axis-parallel line."""
-    other = "y" if axis == "x" else "x"
-    inside = lambda v: (v[axis] <= limit) if keep_below else (v[axis] >= limit)
+def _clip_to_line(ring: Column, line: Column) -> Column:
+    """One Sutherland-Hodgman pass: the part of a ring where ``a*x + b*y >= c``."""
+    depth = lambda v: line["a"] * v["x"] + line["b"] * v["y"] - line["c"]
 
     def step(e):
-        a, b = e["p"], e["q"]
-        at = a[other] + (b[other] - a[other]) * (limit - a[axis]) / (b[axis] - a[axis])
-        cut = vertex(limit, at) if axis == "x" else vertex(at, limit)
-        empty = F.slice(ring, 1, 0)
+        p, q = e["p"], e["q"]
+        t = depth(p) / (depth(p) - depth(q))
+        cut = vertex(p["x"] + (q["x"] - p["x"]) * t, p["y"] + (q["y"] - p["y"]) * t)
+        stay = vertex(q["x"], q["y"])
         return (
-            F.when(inside(a) & inside(b), F.array(vertex(b["x"], b["y"])))
-            .when(inside(a), F.array(cut))
-            .when(inside(b), F.array(cut, vertex(b["x"], b["y"])))
-            .otherwise(empty)
+            F.when((depth(p) >= 0) & (depth(q) >= 0), F.array(stay))
+            .when(depth(p) >= 0, F.array(cut))
+            .when(depth(q) >= 0, F.array(cut, stay))
+            .otherwise(F.slice(ring, 1, 0))
         )
 
     return F.flatten(F.transform(edges(ring), step))
 
 
 def clipped_area(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
-    """Area of the part of a ring that lies in a rectangle."""
-    part = _clip_half_plane(ring, "x", xmin, keep_below=False)
-    part = _clip_half_plane(part, "x", xmax, keep_below=True)
-    part = _clip_half_plane(part, "y", ymin, keep_below=False)
-    part = _clip_half_plane(part, "y", ymax, keep_below=True)
-    return area(part)
+    """Area of the part of a ring that lies in a rectangle.
+
+    The four sides are a fold over the ring, so that each pass is one expression, not a copy of all
+    earlier ones.
+    """
+    line = lambda a, b, c: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c.alias("c"))
+    sides = F.array(line(1.0, 0.0, xmin), line(-1.0, 0.0, -xmax), line(0.0, 1.0, ymin), line(0.0, -1.0, -ymax))
+    return F.aggregate(sides, ring, _clip_to_line, area)

@@ -38,17 +38,14 @@ def fetch_plan(manifests: DataFrame, present: DataFrame, overwrite: bool | str =
     Files listed in ``present`` (``name``) are skipped. ``overwrite`` is a flag for all files, or
     the name of a boolean manifest column.
     """
-    wanted = manifests.select(
-        "*",
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(F.col(kind)["url"], lambda u, k=kind: F.struct(F.lit(k).alias("kind"), u.alias("url")))
-                    for kind in ("image", "lidar")
-                ]
-            )
-        ).alias("_a"),
-    ).select("*", "_a.kind", "_a.url").withColumn("name", base_name(F.col("url")))
+    def assets(kind: str):
+        return F.transform(F.col(kind)["url"], lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("url")))
+
+    wanted = (
+        manifests.withColumn("_a", F.explode(F.concat(assets("image"), assets("lidar"))))
+        .select("*", "_a.kind", "_a.url")
+        .withColumn("name", base_name(F.col("url")))
+    )
     columns = ["tid", "kind", "url", "name"]
     if overwrite is True:
         return wanted.select(*columns)

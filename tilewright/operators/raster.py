@@ -199,17 +199,16 @@ def percentile_clip(
     cells: DataFrame, value: str, low: float | None = None, high: float | None = None, by: Sequence[str] = ("tile_id",)
 ) -> DataFrame:
     """Clip a band to its own exact percentiles (fractions), per tile by default."""
-    wanted = [q for q in (low, high) if q is not None]
-    limits = exact_quantiles(cells, value, wanted, by)
-    columns = {}
-    if low is not None:
-        columns["_low"] = F.max(F.when(F.col("q") == low, F.col("quantile"))).alias("_low")
-    if high is not None:
-        columns["_high"] = F.max(F.when(F.col("q") == high, F.col("quantile"))).alias("_high")
-    wide = limits.groupBy(*by).agg(*columns.values())
-    rows = join_small(cells, wide, list(by))
-    bounded = clip(F.col(value), *[F.col(c) if c in columns else None for c in ("_low", "_high")])
-    return rows.withColumn(value, bounded).drop(*columns)
+    limits = exact_quantiles(cells, value, [q for q in (low, high) if q is not None], by)
+    pick = lambda q: F.max(F.when(F.col("q") == q, F.col("quantile"))) if q is not None else F.lit(None).cast("double")
+    wide = limits.groupBy(*by).agg(pick(low).alias("low"), pick(high).alias("high"))
+    pair = F.struct("low", "high").alias("_limits")
+    if by:
+        rows = join_small(cells, wide.select(*by, pair), list(by))
+    else:
+        rows = cells.withColumn("_limits", wide.select(pair).scalar())
+    bounds = [F.col(f"_limits.{c}") if q is not None else None for c, q in (("low", low), ("high", high))]
+    return rows.withColumn(value, clip(F.col(value), *bounds)).drop("_limits")
 
 
 def stack_bands(layers: Sequence[tuple[DataFrame, str]]) -> DataFrame:

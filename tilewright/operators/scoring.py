@@ -116,7 +116,9 @@ def majority_of_zones(cells: DataFrame, zones: DataFrame, keep_background: bool
         counts.withColumn("_rn", F.row_number().over(order)).where("_rn = 1")
         .select("tile_id", "zone", F.col("class_id").alias("_winner"))
     )
-    joined = zoned.join(winners, ["tile_id", "zone"], "left")
+    # Cells outside all zones would share one NULL key; spread them over keys that match nothing.
+    spread = F.coalesce(F.col("zone"), -1 - F.pmod(F.hash("row_no", "col_no"), F.lit(4096)).cast("bigint"))
+    joined = zoned.withColumn("zone", spread).join(winners, ["tile_id", "zone"], "left")
     takes = F.col("_winner").isNotNull()
     if keep_background:
         takes = takes & (F.col("class_id") != 0)
