@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from itertools import accumulate, combinations
 
@@ -13,70 +14,68 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import SUBSETS
-from .rank import HASH_BUCKETS, bucketed_rank, count_scalar, shuffled_rank
+from .rank import HASH_BUCKETS, bucketed_rank, shuffled_rank
 
 
-def subset_bounds(lengths: Sequence[float], total: Column) -> list[tuple[Column, Column]]:
-    """First and last-plus-one rank of each subset.
+def subset_sizes(lengths: Sequence[float], total: int) -> list[int]:
+    """Whole subset sizes.
 
     Fractions are floored and the remainder is dealt one by one from the first subset on; whole
-    lengths must add up to the total. Violations raise when the plan runs.
+    lengths must add up to the total. No subset may be empty.
     """
-    fractions = math.isclose(sum(lengths), 1) and sum(lengths) <= 1
-    if fractions:
-        if not all(0 < f < 1 for f in lengths):
+    if math.isclose(sum(lengths), 1) and sum(lengths) <= 1:
+        if not all(0 < part < 1 for part in lengths):
             raise ValueError("fractions must lie strictly between 0 and 1")
-        floors = [F.floor(total * f) for f in lengths]
-        left = total - sum(floors[1:], floors[0])
-        count = len(lengths)
-        sizes = [
-            size + F.floor(left / count) + F.when(left % count > i, 1).otherwise(0) for i, size in enumerate(floors)
-        ]
-        fault = F.least(*sizes) < 1 if count > 1 else sizes[0] < 1
-        message = F.lit("a subset would be empty")
-    else:
-        sizes = [F.lit(int(n)) for n in lengths]
-        fault = total != sum(int(n) for n in lengths)
-        message = F.concat(F.lit(f"lengths add up to {sum(lengths)}, rows: "), total.cast("string"))
-    ends = list(accumulate(sizes, lambda a, b: a + b))
-    checked = F.when(fault, F.raise_error(message).cast("bigint")).otherwise(ends[-1].cast("bigint"))
-    ends[-1] = checked
-    return list(zip([F.lit(0), *ends[:-1]], ends))
-
-
-def _subset_of(rank: Column, bounds, names: Sequence[str]) -> Column:
-    subset = F.when(rank < bounds[-1][1], names[len(bounds) - 1])
-    for (_, end), name in zip(reversed(bounds[:-1]), reversed(names[: len(bounds) - 1])):
+        floors = [math.floor(total * part) for part in lengths]
+        rounds, extra = divmod(total - sum(floors), len(floors))
+        lengths = [size + rounds + (i < extra) for i, size in enumerate(floors)]
+        if 0 in lengths:
+            raise ValueError(f"{total} rows are too few for {len(lengths)} subsets")
+    if sum(lengths) != total:
+        raise ValueError(f"lengths add up to {sum(lengths)}, but there are {total} rows")
+    return [int(size) for size in lengths]
+
+
+def _subset_of(rank: Column, sizes: Sequence[int], names: Sequence[str]) -> Column:
+    subset = F.lit(names[len(sizes) - 1])
+    for end, name in reversed(list(zip(accumulate(sizes), names))[:-1]):
         subset = F.when(rank < end, name).otherwise(subset)
     return subset
 
 
+def _position_in_subset(rank: Column, sizes: Sequence[int]) -> Column:
+    starts = [0, *accumulate(sizes)][: len(sizes)]
+    position = rank - starts[-1]
+    for start, nxt in reversed(list(zip(starts, starts[1:]))):
+        position = F.when(rank < nxt, rank - start).otherwise(position)
+    return position
+
+
 def random_split(
     images: DataFrame, lengths: Sequence[float], seed=0, key: str = "image", names: Sequence[str] = SUBSETS
 ) -> DataFrame:
-    """Cut a seeded random order into subsets of exact sizes."""
+    """Cut a seeded random order into subsets of exact sizes. Only the row count reaches the driver."""
     ids = images.select(key).distinct()
-    bounds = subset_bounds(lengths, count_scalar(ids))
-    ranked = shuffled_rank(ids, key, seed)
-    return ranked.select(key, _subset_of(F.col("rank"), bounds, names).alias("subset"))
+    sizes = subset_sizes(lengths, ids.count())
+    return shuffled_rank(ids, key, seed).select(key, _subset_of(F.col("rank"), sizes, names).alias("subset"))
 
 
 def assign_batches(
     ids: DataFrame, key: str, size: int, shuffle: bool = False, drop_last: bool = False, seed=0
 ) -> DataFrame:
-    """Batch number per row; key order, or a seeded random order for training. ``drop_last``
-    removes an incomplete last batch."""
+    """Batch number per row; key order (whole-number key), or a seeded random order for training.
+    ``drop_last`` removes an incomplete last batch."""
     if shuffle:
         ranked = shuffled_rank(ids, key, seed)
     else:
-        # Ordered input is ranked per key range; the ranges come from the key's own extent.
-        extent = ids.agg(F.min(key).alias("a"), F.max(key).alias("b")).select(F.struct("a", "b").alias("s")).scalar()
-        position = (F.col(key) - extent["a"]) / F.greatest(extent["b"] - extent["a"], F.lit(1))
-        spread = ids.withColumn("_bucket", F.floor(position * (HASH_BUCKETS - 1)).cast("int"))
+        # Ranges of the key's own extent are ranked apart; batches are the same however it is cut.
+        low, high = ids.agg(F.min(key), F.max(key)).first()
+        step = max(1, -(-((high or 0) - (low or 0) + 1) // HASH_BUCKETS))
+        spread = ids.withColumn("_bucket", F.floor((F.col(key) - F.lit(low)) / step).cast("int"))
         ranked = bucketed_rank(spread, "_bucket", [key]).drop("_bucket")
     batched = ranked.withColumn("batch", F.floor(F.col("rank") / size).cast("bigint"))
     if drop_last:
-        batched = batched.where(F.col("batch") < F.floor(count_scalar(ids) / size))
+        batched = batched.where(F.col("batch") < ids.count() // size)
     return batched.drop("rank")
 
 
@@ -86,31 +85,29 @@ def subset_histogram(counts: DataFrame, splits: DataFrame, normalize: str | None
     ``local`` divides by the subset's sum, ``global`` by the class sum of the whole dataset, None
     leaves the sum. The class list is complete in every subset.
     """
-    joined = counts.where("class_id is not null").join(splits, "image")
-    sums = joined.groupBy("subset", "class_id").agg(F.sum("n").alias("n"))
-    return _normalize(_complete(sums), normalize)
-
-
-def _complete(sums: DataFrame) -> DataFrame:
-    """Add missing classes with 0: the subset and class lists are both tiny by nature."""
-    classes = sums.agg(F.collect_set("class_id").alias("c")).scalar()
-    return sums.groupBy("subset").agg(
+    if normalize not in ("local", "global", None):
+        raise ValueError(f"unknown normalisation: {normalize}")
+    sums = (
+        counts.where("class_id is not null").join(splits, "image", "left")
+        .groupBy("subset", "class_id").agg(F.sum("n").alias("n"))
+    )
+    # From here on there are at most subsets x classes rows.
+    everything = W.partitionBy()
+    per_subset = sums.groupBy("subset").agg(
         F.map_from_entries(F.collect_list(F.struct("class_id", "n"))).alias("m")
-    ).withColumn("class_id", F.explode(classes)).select(
-        "subset", "class_id", F.coalesce(F.element_at("m", F.col("class_id")), F.lit(0)).alias("n")
     )
-
-
-def _normalize(grid: DataFrame, normalize: str | None) -> DataFrame:
-    if normalize == "local":
-        share = F.col("n") / F.nullif(F.sum("n").over(W.partitionBy("subset")), F.lit(0))
-    elif normalize == "global":
-        share = F.col("n") / F.nullif(F.sum("n").over(W.partitionBy("class_id")), F.lit(0))
-    elif normalize is None:
+    all_keys = F.collect_list(F.map_keys("m")).over(everything)
+    full = (
+        per_subset.withColumn("keys", all_keys)
+        .withColumn("class_id", F.explode(F.array_distinct(F.flatten("keys"))))
+        .select("subset", "class_id", F.coalesce(F.element_at("m", F.col("class_id")), F.lit(0)).alias("n"))
+    )
+    if normalize is None:
         share = F.col("n").cast("double")
     else:
-        raise ValueError(f"unknown normalisation: {normalize}")
-    return grid.withColumn("share", share)
+        over = W.partitionBy("subset" if normalize == "local" else "class_id")
+        share = F.col("n") / F.nullif(F.sum("n").over(over), F.lit(0))
+    return full.withColumn("share", share).where("subset is not null")
 
 
 def full_class_support(counts: DataFrame, splits: DataFrame) -> DataFrame:
@@ -120,11 +117,18 @@ def full_class_support(counts: DataFrame, splits: DataFrame) -> DataFrame:
 
 def js_distances(histogram: DataFrame) -> DataFrame:
     """Jensen-Shannon distance of each pair of subsets, logarithm to the number of classes."""
-    p = histogram.select(F.col("subset").alias("this"), "class_id", F.col("share").alias("p"))
-    q = histogram.select(F.col("subset").alias("that"), "class_id", F.col("share").alias("q"))
+    # One row per class with the shares of the few subsets, unfolded to subset pairs.
+    side = lambda name: F.explode("s").alias(name)
+    pairs = (
+        histogram.groupBy("class_id").agg(F.collect_list(F.struct("subset", "share")).alias("s"))
+        .select("s", side("a")).select("a", side("b")).where("a.subset < b.subset")
+        .select(
+            F.col("a.subset").alias("this"), F.col("b.subset").alias("that"),
+            F.col("a.share").alias("p"), F.col("b.share").alias("q"),
+        )
+    )
     m = (F.col("p") + F.col("q")) / 2
     part = lambda v: F.when(F.col(v) > 0, F.col(v) * F.log(F.col(v) / m)).otherwise(0.0)
-    pairs = p.join(q, "class_id").where("this < that")
     return pairs.groupBy("this", "that").agg(
         F.sqrt(F.greatest(F.sum(part("p") + part("q")), F.lit(0.0)) / (2 * F.log(F.count("*").cast("double")))).alias("distance")
     )
@@ -147,83 +151,58 @@ def stratified_split(
 ) -> DataFrame:
     """A split whose subsets have similar class distributions, as ``image, subset``.
 
-    1. All random starts are drawn and scored at once: ranks, then class sums per trial and subset.
-       Starts without full class support are out.
-    2. Every start gets a random sample of its own images per subset, enough for ``swaps`` draws. A
-       task per trial then climbs: draw two images of two subsets, swap if support stays full and
-       the mean Jensen-Shannon distance falls. Only class sums and the sample are needed for that,
-       both of fixed size.
-    3. The moves of the best trial are applied to its start.
+    1. All random starts are ranked at once, and one aggregate gives class sums per trial and subset
+       together with a random sample of its images, enough for ``swaps`` draws.
+    2. Starts without full class support are out. A task per trial then climbs: draw two images of
+       two subsets, swap if support stays full and the mean Jensen-Shannon distance falls. It needs
+       the class sums and the sample only, both of fixed size.
+    3. The moves of the best trial, at most three samples long, are applied to its start.
 
-    Sizes and support are kept and the distance never rises. If no start has support, it raises.
+    Sizes and support are kept and the distance never rises. Steps 1 and 2 run when this is called;
+    it raises if no start has support.
     """
-    known = counts.where("class_id is not null").groupBy("image", "class_id").agg(F.sum("n").alias("n"))
-    ids = counts.select("image").distinct()
-    bounds = subset_bounds(lengths, count_scalar(ids))
-    starts = ids.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    starts = shuffled_rank(starts, "image", seed, ["trial"]).withColumn(
-        "subset", _subset_of(F.col("rank"), bounds, names)
+    # A mask pixel is one byte, so there are at most 255 classes.
+    known = counts.where("class_id is not null and n > 0")
+    classes = sorted(r["class_id"] for r in known.select("class_id").distinct().collect())
+    vector = F.array(
+        *[F.coalesce(F.sum(F.when(F.col("class_id") == c, F.col("n"))), F.lit(0)).cast("double") for c in classes]
     )
-
-    # Class vectors per image: the class list is at most 255 long.
-    classes = known.where("n > 0").agg(F.array_sort(F.collect_set("class_id")).alias("c")).scalar()
-    vectors = (
-        counts.select("image").distinct().join(
-            known.groupBy("image").agg(F.map_from_entries(F.collect_list(F.struct("class_id", "n"))).alias("m")), "image", "left"
-        )
-        .withColumn("c", classes)
-        .select(
-            "image",
-            F.transform("c", lambda c: F.coalesce(F.element_at("m", c), F.lit(0)).cast("double")).alias("vector"),
+    images = counts.groupBy("image").agg(vector.alias("vector"))
+    ids = images.select("image")
+    sizes = subset_sizes(lengths, ids.count())
+    order = list(names[: len(sizes)])
+
+    def start(rows: DataFrame) -> DataFrame:
+        ranked = shuffled_rank(rows, "image", seed, ["trial"])
+        return ranked.withColumns(
+            {"subset": _subset_of(F.col("rank"), sizes, names), "position": _position_in_subset(F.col("rank"), sizes)}
         )
-    )
-    drawn = starts.join(vectors, "image")
-    sums = (
-        drawn.select("trial", "subset", F.posexplode("vector").alias("i", "n"))
-        .groupBy("trial", "subset", "i")
-        .agg(F.sum("n").alias("n"))
-    )
-    support = sums.groupBy("trial").agg(F.min("n").alias("least")).where("least > 0").select("trial")
 
+    drawn = start(images.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))))
     # Ranks are random, so the first ones of each subset are a random sample of it.
-    local = _local_rank(F.col("rank"), bounds)
-    pool = drawn.where(local < swaps).join(F.broadcast(support), "trial", "left_semi").select(
-        "trial", "subset", "image", "vector"
-    )
-    totals = sums.join(F.broadcast(support), "trial", "left_semi").select(
-        "trial", "subset", F.lit(None).cast(ids.schema["image"].dataType).alias("image"), F.col("i"), F.col("n")
-    )
-    totals = totals.groupBy("trial", "subset", "image").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "n"))), lambda s: s["n"]).alias("vector")
+    sampled = F.when(F.col("position") < swaps, F.struct("image", "vector"))
+    summary = drawn.groupBy("trial", "subset").agg(
+        F.array(*[F.sum(F.col("vector")[i]) for i in range(len(classes))]).alias("total"),
+        F.collect_list(sampled).alias("sample"),
     )
     image_type = ids.schema["image"].dataType.simpleString()
-    order = list(names[: len(lengths)])
 
     def climb(group: pd.DataFrame) -> pd.DataFrame:
         return _climb(group, order, swaps, seed)
 
-    moves = (
-        totals.unionByName(pool)
-        .groupBy("trial")
-        .applyInPandas(climb, f"trial int, distance double, image {image_type}, moved_to string")
+    found = summary.groupBy("trial").applyInPandas(
+        climb, f"trial int, distance double, moves array<struct<image: {image_type}, subset: string>>"
     )
-    best = moves.groupBy("trial").agg(F.min("distance").alias("distance")).agg(
-        F.min_by("trial", F.struct("distance", "trial")).alias("trial")
-    ).scalar()
-    best = F.coalesce(best, F.raise_error(F.lit(f"no random start out of {trials} has full class support")).cast("int"))
-    chosen = moves.where((F.col("trial") == best) & F.col("image").isNotNull()).select("image", "moved_to")
-    return (
-        starts.where(F.col("trial") == best)
-        .join(chosen, "image", "left")
-        .select("image", F.coalesce("moved_to", "subset").alias("subset"))
+    best = found.where("distance is not null").orderBy("distance", "trial").first()
+    if best is None:
+        raise RuntimeError(f"no random start out of {trials} has full class support")
+    moves = counts.sparkSession.createDataFrame(
+        [(m["image"], m["subset"]) for m in best["moves"]], f"image {image_type}, moved_to string"
+    )
+    chosen = start(ids.withColumn("trial", F.lit(best["trial"]).cast("int")))
+    return chosen.join(F.broadcast(moves), "image", "left").select(
+        "image", F.coalesce("moved_to", "subset").alias("subset")
     )
-
-
-def _local_rank(rank: Column, bounds) -> Column:
-    local = rank - bounds[-1][0]
-    for start, end in reversed(bounds[:-1]):
-        local = F.when(rank < end, rank - start).otherwise(local)
-    return local
 
 
 def _mean_js(hists: np.ndarray) -> float:
@@ -238,45 +217,41 @@ def _mean_js(hists: np.ndarray) -> float:
 
 
 def _climb(group: pd.DataFrame, order: list[str], swaps: int, seed) -> pd.DataFrame:
-    """Hill climb of one trial on its class sums and its sample; returns where images moved."""
-    trial = int(group["trial"].iloc[0])
-    is_total = group["image"].isna()
-    totals = group[is_total].set_index("subset")["vector"]
-    hists = np.array([totals[s] for s in order], dtype=float)
-    # Fixed row order: the draws must not depend on how rows arrive.
-    sample = group[~is_total].sort_values(["subset", "image"], kind="stable")
-    images, vectors = sample["image"].to_numpy(), np.array(sample["vector"].tolist(), dtype=float)
-    home = sample["subset"].to_numpy()
-    members = [list(np.flatnonzero(home == s)) for s in order]
-    rng = np.random.default_rng([int.from_bytes(str(seed).encode(), "little") % 2**32, trial])
-    current, previous, tried = _mean_js(hists), None, 0
+    """Hill climb of one trial on its class sums and its samples; distance NULL without support."""
+    trial, group = int(group["trial"].iloc[0]), group.set_index("subset")
+    hists = np.array([group.at[name, "total"] for name in order], dtype=float)
+    if not (hists > 0).all():
+        return pd.DataFrame({"trial": [trial], "distance": [None], "moves": [[]]})
+    images, vectors, home = [], [], []
+    for k, name in enumerate(order):
+        # Fixed order: the draws must not depend on how rows arrive.
+        for row in sorted(group.at[name, "sample"], key=lambda r: r["image"]):
+            images.append(row["image"])
+            vectors.append(row["vector"])
+            home.append(k)
+    vectors, home = np.array(vectors, dtype=float), np.array(home)
+    members = [list(np.flatnonzero(home == k)) for k in range(len(order))]
+    rng = np.random.default_rng([zlib.crc32(str(seed).encode()), trial])
     pairs = list(combinations(range(len(order)), 2))
-    while tried < swaps and pairs:
-        settled = math.isclose(current, 0, abs_tol=1e-12) or (
-            previous is not None and math.isclose(current, previous, rel_tol=1e-6)
-        )
-        if settled:
+    current, previous = _mean_js(hists), None
+    for attempt in range(swaps if pairs else 0):
+        stalled = previous is not None and math.isclose(current, previous, rel_tol=1e-6)
+        if stalled or math.isclose(current, 0, abs_tol=1e-12):
             break
-        a, b = pairs[tried % len(pairs)]
+        a, b = pairs[attempt % len(pairs)]
         i, j = rng.integers(len(members[a])), rng.integers(len(members[b]))
         change = vectors[members[b][j]] - vectors[members[a][i]]
-        trial_hists = hists.copy()
-        trial_hists[a] += change
-        trial_hists[b] -= change
-        tried += 1
-        if not (trial_hists[[a, b]] > 0).all():
+        proposed = hists.copy()
+        proposed[a] += change
+        proposed[b] -= change
+        if not (proposed[[a, b]] > 0).all():
             continue
-        distance = _mean_js(trial_hists)
+        distance = _mean_js(proposed)
         if distance < current:
-            previous, current, hists = current, distance, trial_hists
+            previous, current, hists = current, distance, proposed
             members[a][i], members[b][j] = members[b][j], members[a][i]
-    now = home.copy()
-    for name, rows in zip(order, members):
-        now[rows] = name
-    moved = now != home
-    out = pd.DataFrame({"image": images[moved], "moved_to": now[moved]})
-    # A row without an image carries the distance of trials that moved nothing.
-    out = pd.concat([pd.DataFrame({"image": [None], "moved_to": [None]}), out], ignore_index=True)
-    out.insert(0, "trial", trial)
-    out.insert(1, "distance", current)
-    return out
+    moves = [
+        {"image": images[i], "subset": name}
+        for k, (name, rows) in enumerate(zip(order, members)) for i in rows if home[i] != k
+    ]
+    return pd.DataFrame({"trial": [trial], "distance": [current], "moves": [moves]})

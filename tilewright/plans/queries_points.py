@@ -270,9 +270,9 @@ def knn_join_query(inputs):
     return nearest.select("query_id", "idx", F.round("distance", 4).alias("distance"), "rank")
 
 
-@query("exclude_seen", sql="select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("exclude_seen", sql="select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 400000)")
 def exclude_seen_query(inputs):
-    done = inputs("orders").select(F.col("o_custkey").alias("c_custkey"))
+    done = inputs("orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return exclude_seen(inputs("customer"), done, "c_custkey").select("c_custkey", "c_name")
 
 
