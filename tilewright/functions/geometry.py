@@ -23,14 +23,34 @@ def edges(ring: Column) -> Column:
     return F.zip_with(ring, turned, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
 
+def _walk(ring: Column, start: Column, step, finish) -> Column:
+    """Fold over the edges of a ring, the closing one included.
+
+    The accumulator holds the first and the previous vertex, so the ring is evaluated once.
+    """
+    origin = vertex(0.0, 0.0)
+    state = F.struct(F.lit(False).alias("on"), origin.alias("first"), origin.alias("last"), start.alias("value"))
+
+    def advance(acc, v):
+        here = vertex(v["x"], v["y"])
+        return F.struct(
+            F.lit(True).alias("on"),
+            F.when(acc["on"], acc["first"]).otherwise(here).alias("first"),
+            here.alias("last"),
+            F.when(acc["on"], step(acc["value"], acc["first"], acc["last"], here)).otherwise(acc["value"]).alias("value"),
+        )
+
+    return F.aggregate(ring, state, advance, lambda acc: finish(step(acc["value"], acc["first"], acc["last"], acc["first"])))
+
+
 def signed_area(ring: Column) -> Column:
-    """Shoelace area, positive counter-clockwise. Coordinates are taken relative to the first
-    vertex, so large map coordinates do not cost precision."""
-    x0, y0 = ring[0]["x"], ring[0]["y"]
-    term = lambda e: (e["p"]["x"] - x0) * (e["q"]["y"] - y0) - (e["q"]["x"] - x0) * (e["p"]["y"] - y0)
-    return F.when(
-        F.size(ring) > 0, F.aggregate(edges(ring), F.lit(0.0), lambda acc, e: acc + term(e)) * 0.5
-    ).otherwise(F.lit(0.0))
+    """Shoelace area, positive counter-clockwise, 0 for an empty ring. Coordinates are taken
+    relative to the first vertex, so large map coordinates do not cost precision."""
+    def step(total, first, p, q):
+        px, py, qx, qy = p["x"] - first["x"], p["y"] - first["y"], q["x"] - first["x"], q["y"] - first["y"]
+        return total + (px * qy - qx * py)
+
+    return _walk(ring, F.lit(0.0), step, lambda total: total * 0.5)
 
 
 def area(ring: Column) -> Column:
@@ -46,13 +66,11 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
 
 def point_in_ring(ring: Column, px: Column, py: Column) -> Column:
     """Even-odd rule; an edge counts when it spans the point's height half-open."""
-    def flip(inside, e):
-        a, b = e["p"], e["q"]
-        spans = (a["y"] > py) != (b["y"] > py)
-        crossing = (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"]
-        return F.when(spans, F.when(px < crossing, ~inside).otherwise(inside)).otherwise(inside)
+    def step(inside, first, p, q):
+        crossing = (q["x"] - p["x"]) * (py - p["y"]) / (q["y"] - p["y"]) + p["x"]
+        return F.when((p["y"] > py) == (q["y"] > py), inside).otherwise(inside != (px < crossing))
 
-    return F.aggregate(edges(ring), F.lit(False), flip)
+    return _walk(ring, F.lit(False), step, lambda inside: inside)
 
 
 def _clip_to_line(ring: Column, line: Column) -> Column:

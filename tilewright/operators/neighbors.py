@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import binned_join, explode_box, put_in_bin, scalar_struct
+from .joins import binned_join, explode_box, put_in_bin
 
 
 def _minkowski(dx: Column, dy: Column, p: float) -> Column:
@@ -65,60 +65,53 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, cell: float) -> Data
     place = W.partitionBy("x", "y").orderBy("idx")
     p = points.select("idx", "x", "y").withColumn("_rn", F.row_number().over(place)).where(F.col("_rn") <= k).drop("_rn")
 
-    extent = q.select("x", "y").unionByName(p.select("x", "y")).agg(
-        F.min("x").alias("x0"), F.min("y").alias("y0"),
-        F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"),
-    ).select(
-        "x0", "y0",
-        F.coalesce(F.ceil(F.log2(F.greatest(F.col("span") / cell, F.lit(1.0)))).cast("int") + 1, F.lit(0)).alias("top"),
+    # One row of extents is read to fix the bins' corner and the number of levels.
+    x0, y0, x1, y1 = q.select("x", "y").unionByName(points.select("x", "y")).agg(
+        F.min("x"), F.min("y"), F.max("x"), F.max("y")
+    ).first()
+    x0, y0 = x0 or 0.0, y0 or 0.0
+    span = max((x1 or 0.0) - x0, (y1 or 0.0) - y0)
+    top = math.ceil(math.log2(max(span / cell, 1.0))) + 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    size = F.pow(F.lit(2.0), F.col("level")) * cell
+    binned = lambda df: df.withColumns(
+        {
+            "bx": F.floor((F.col("x") - x0) / F.col("size")).cast("bigint"),
+            "by": F.floor((F.col("y") - y0) / F.col("size")).cast("bigint"),
+        }
     )
-    corner = scalar_struct(extent)
-
-    def leveled(df: DataFrame) -> DataFrame:
-        out = df.withColumn("_c", corner).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_c.top"))))
-        return out.withColumn("_size", F.pow(F.lit(2.0), F.col("level")) * cell)
-
-    def binned(df: DataFrame) -> DataFrame:
-        return df.withColumns(
-            {
-                "bx": F.floor((F.col("x") - F.col("_c.x0")) / F.col("_size")).cast("bigint"),
-                "by": F.floor((F.col("y") - F.col("_c.y0")) / F.col("_size")).cast("bigint"),
-            }
-        )
 
     # Count the finest bins first; a coarser bin is a sum of finer ones, since sizes double.
-    finest = p.withColumn("_c", corner).withColumn("_size", F.lit(float(cell)))
-    finest = binned(finest).groupBy("bx", "by", "_c").agg(F.count("*").alias("n"))
+    finest = binned(points.select("x", "y").withColumn("size", F.lit(float(cell)))).groupBy("bx", "by").agg(
+        F.count("*").alias("n")
+    )
     counts = (
-        finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_c.top"))))
+        finest.withColumn("level", levels)
         .withColumns({b: F.expr(f"shiftright({b}, level)") for b in ("bx", "by")})
         .groupBy("level", "bx", "by").agg(F.sum("n").alias("n"))
         .where(F.col("n") >= k)
     )
-    asked = binned(leveled(q))
+    asked = binned(q.withColumn("level", levels).withColumn("size", size))
+    enough = F.when(F.col("n").isNotNull(), F.col("level"))
     chosen = (
         asked.join(counts, ["level", "bx", "by"], "left")
-        .groupBy("query_id", "x", "y")
-        .agg(F.coalesce(F.min(F.when(F.col("n").isNotNull(), F.col("level"))), F.max("level")).alias("level"))
-        .withColumn("_c", corner)
-        .withColumn("_size", F.pow(F.lit(2.0), F.col("level")) * cell)
+        .groupBy("query_id", "x", "y").agg(F.coalesce(F.min(enough), F.lit(top)).alias("level"))
+        .withColumn("size", size)
     )
-    # At most 64 levels exist, since coordinates are doubles.
+    # At most top + 1 levels exist, and top grows with the logarithm of the extent.
     used = chosen.select("level").distinct()
-    keyed = binned(leveled(p).join(F.broadcast(used), "level", "left_semi"))
-    reach = F.col("_size") * math.sqrt(2.0) * (1 + 1e-9)
-    span = lambda axis, low: F.sequence(
-        F.floor((F.col(axis) - reach - F.col(f"_c.{axis}0")) / F.col("_size")).cast("bigint"),
-        F.floor((F.col(axis) + reach - F.col(f"_c.{axis}0")) / F.col("_size")).cast("bigint"),
-    )
-    boxes = (
-        chosen.withColumn("_reach", reach)
-        .withColumn("bx", F.explode(span("x", "x0")))
-        .withColumn("by", F.explode(span("y", "y0")))
+    keyed = binned(p.withColumn("level", levels).join(F.broadcast(used), "level", "left_semi").withColumn("size", size))
+    reach = F.col("size") * (math.sqrt(2.0) * (1 + 1e-9))
+    around = lambda axis, corner: F.explode(
+        F.sequence(
+            F.floor((F.col(axis) - F.col("reach") - corner) / F.col("size")).cast("bigint"),
+            F.floor((F.col(axis) + F.col("reach") - corner) / F.col("size")).cast("bigint"),
+        )
     )
+    boxes = chosen.withColumn("reach", reach).withColumn("bx", around("x", x0)).withColumn("by", around("y", y0))
     distance = F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y"))
-    top = F.col("r.level") == F.col("r._c.top")
-    pairs = binned_join(keyed, boxes, top | (distance <= F.col("r._reach")), ["level"])
+    near = (F.col("r.level") == top) | (distance <= F.col("r.reach"))
+    pairs = binned_join(keyed, boxes, near, ["level"])
     nearest = W.partitionBy("query_id").orderBy("distance", "idx")
     return (
         pairs.select(F.col("r.query_id"), F.col("l.idx"), distance.alias("distance"))

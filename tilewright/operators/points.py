@@ -125,12 +125,14 @@ def global_density(points: DataFrame, grids: DataFrame) -> DataFrame:
 
 
 def grid_idw(
-    points: DataFrame, grids: DataFrame, fields: Sequence[str], power: float = 2.0, edge: str = "closed"
+    points: DataFrame, grids: DataFrame, fields: Sequence[str], power: float = 2.0, edge: str = "closed",
+    count: str | None = None,
 ) -> DataFrame:
     """Inverse-distance weighted fields at the cell centres; NULL where a cell holds no point.
 
     A point exactly at the centre gives the cell its value (lowest index first). All fields are
-    gridded in one aggregate of sums, which combine before the shuffle even in a hot cell.
+    gridded in one aggregate of sums, which combine before the shuffle even in a hot cell. ``count``
+    names a column for the number of points, so that density on the same grid needs no second pass.
     """
     rows = _with_cells(points, grids, edge)
     distance = F.hypot(F.col("x") - center_x(F.col("col_no")), F.col("y") - center_y(F.col("row_no")))
@@ -148,8 +150,10 @@ def grid_idw(
             F.sum(F.when(F.col(f).isNotNull(), F.col("_w"))).alias(f"_w_{f}"),
             F.min_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("_exact"))).alias(f"_e_{f}"),
         ]
+    if count is not None:
+        parts.append(F.count(F.coalesce("_w", F.col("_exact").cast("double"))).alias(count))
     summed = rows.groupBy("tile_id", "row_no", "col_no").agg(*parts)
     return summed.select(
-        "tile_id", "row_no", "col_no",
+        "tile_id", "row_no", "col_no", *([count] if count is not None else []),
         *[F.coalesce(F.col(f"_e_{f}"), F.col(f"_s_{f}") / F.col(f"_w_{f}")).alias(f) for f in fields],
     )

@@ -20,13 +20,16 @@ def _block_window(line: str, order: str):
     return W.partitionBy("tile_id", "brow", "bcol", line).orderBy(order)
 
 
-def slope(cells: DataFrame, value: str, res: float, degrees: bool = True, block: int = BLOCK_SIZE) -> DataFrame:
+def slope(
+    cells: DataFrame, value: str, res: float, degrees: bool = True, block: int = BLOCK_SIZE, keep: Sequence[str] = ()
+) -> DataFrame:
     """Steepness of a surface: central differences inside, one-sided at the raster's edge.
 
     NULL where the cell or a neighbour it needs is NULL, or an axis is one cell wide. Blocks carry
-    a one-cell border, so both directions cost one shuffle together.
+    a one-cell border, so both directions cost one shuffle together. Columns in ``keep`` come along,
+    which saves joining the slope back.
     """
-    blocks = halo_blocks(cells.select(*CELL_KEY, value), 1, block)
+    blocks = halo_blocks(cells.select(*dict.fromkeys([*CELL_KEY, value, *keep])), 1, block)
 
     def gradient(line: str, order: str) -> Column:
         window = _block_window(line, order)
@@ -43,7 +46,7 @@ def slope(cells: DataFrame, value: str, res: float, degrees: bool = True, block:
     steps = blocks.withColumn("_gy", gradient("col_no", "row_no")).withColumn("_gx", gradient("row_no", "col_no"))
     angle = F.atan(F.hypot("_gy", "_gx"))
     known = F.col(value).isNotNull()
-    return steps.where("owned").select(*CELL_KEY, F.when(known, F.degrees(angle) if degrees else angle).alias("slope"))
+    return steps.where("owned").select(*CELL_KEY, *keep, F.when(known, F.degrees(angle) if degrees else angle).alias("slope"))
 
 
 def fill_voids(cells: DataFrame, value: str, radius: int = 100, block: int = BLOCK_SIZE) -> DataFrame:
@@ -120,12 +123,23 @@ def mosaic(cells: DataFrame, grids: DataFrame, bands: Sequence[str]) -> DataFram
     return placed.groupBy(*CELL_KEY).agg(*[first(b) for b in bands])
 
 
-def _targets(index: Column, src: Column, dst: Column, source_of) -> Column:
-    """Target positions along one axis that read source position ``index``."""
+def _targets(index: Column, src: Column, dst: Column, shift: float) -> Column:
+    """Candidate target positions along one axis for source position ``index``; the caller tests
+    them exactly. The first source position also takes what lies before it."""
     ratio = dst / src
-    low = F.greatest(F.floor((index - 1) * ratio).cast("int"), F.lit(0))
-    high = F.least(F.ceil((index + 2.5) * ratio).cast("int"), dst - 1)
-    return F.filter(F.sequence(low, high), lambda i: source_of(i, src, dst) == index)
+    low = F.when(index == 0, F.lit(0)).otherwise(F.floor((index + shift) * ratio - 1.0).cast("int"))
+    high = F.ceil((index + 1 + shift) * ratio).cast("int")
+    return F.explode(F.sequence(F.least(low, dst - 1), F.least(high, dst - 1)))
+
+
+def _spread(rows: DataFrame, source, shift: float) -> DataFrame:
+    """Unfold source cells to the target cells ``_r, _c`` that read them."""
+    for target, index, src, dst in (("_r", "row_no", "src_rows", "dst_rows"), ("_c", "col_no", "src_cols", "dst_cols")):
+        axis = [F.col(src), F.col(dst)]
+        rows = rows.withColumn(target, _targets(F.col(index), *axis, shift)).where(
+            source(F.col(target), *axis) == F.col(index)
+        )
+    return rows
 
 
 def resample_nearest(cells: DataFrame, shapes: DataFrame, value: str) -> DataFrame:
@@ -134,9 +148,7 @@ def resample_nearest(cells: DataFrame, shapes: DataFrame, value: str) -> DataFra
     ``shapes`` has ``tile_id, src_rows, src_cols, dst_rows, dst_cols``.
     """
     source = lambda i, src, dst: F.floor((i + 0.5) * src / dst)
-    rows = on_tile(cells.select(*CELL_KEY, value), shapes)
-    rows = rows.withColumn("_r", F.explode(_targets(F.col("row_no"), F.col("src_rows"), F.col("dst_rows"), source)))
-    rows = rows.withColumn("_c", F.explode(_targets(F.col("col_no"), F.col("src_cols"), F.col("dst_cols"), source)))
+    rows = _spread(on_tile(cells.select(*CELL_KEY, value), shapes), source, 0.0)
     return rows.select("tile_id", F.col("_r").alias("row_no"), F.col("_c").alias("col_no"), value)
 
 
@@ -162,9 +174,7 @@ def resample_bilinear(cells: DataFrame, shapes: DataFrame, value: str, block: in
     # Positions left of the first centre read the first cell alone; the last cell has no follower.
     position = lambda i, src, dst: (i + 0.5) * src / dst - 0.5
     source = lambda i, src, dst: F.greatest(F.floor(position(i, src, dst)), F.lit(0))
-    quad = quad.withColumn("_down", below)
-    quad = quad.withColumn("_r", F.explode(_targets(F.col("row_no"), F.col("src_rows"), F.col("dst_rows"), source)))
-    quad = quad.withColumn("_c", F.explode(_targets(F.col("col_no"), F.col("src_cols"), F.col("dst_cols"), source)))
+    quad = _spread(quad.withColumn("_down", below), source, 0.5)
 
     def fraction(target: str, index: str, src: str, dst: str) -> Column:
         f = position(F.col(target), F.col(src), F.col(dst)) - F.col(index)

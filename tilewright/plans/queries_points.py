@@ -176,13 +176,11 @@ def grid_idw_query(inputs):
 
 
 def terrain(inputs, block: int = 512):
-    """Cropped, de-duplicated points to elevation, density and slope per cell."""
-    grids = inputs("v_grids")
+    """De-duplicated points to elevation, density and slope per cell: one pass over the points, one
+    exchange of borders, no join back."""
     points = dedupe_points(inputs("v_cloud"), ["tile_id"])
-    elevation = grid_idw(points, grids, ["z"])
-    density = point_density(points, grids)
-    steep = slope(elevation, "z", 5.0, block=block)
-    return elevation.join(density, ["tile_id", "row_no", "col_no"]).join(steep, ["tile_id", "row_no", "col_no"])
+    gridded = grid_idw(points, inputs("v_grids"), ["z"], count="density")
+    return slope(gridded, "z", 5.0, block=block, keep=["z", "density"])
 
 
 @query(
