@@ -64,13 +64,21 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
     }
 
 
-def point_in_ring(ring: Column, px: Column, py: Column) -> Column:
-    """Even-odd rule; an edge counts when it spans the point's height half-open."""
-    def step(inside, first, p, q):
+def point_in_edges(sides: Column, px: Column, py: Column) -> Column:
+    """Even-odd rule over :func:`edges`; an edge counts when it spans the point's height half-open.
+
+    Store the edges once per ring where many points are tested against it.
+    """
+    def step(inside, e):
+        p, q = e["p"], e["q"]
         crossing = (q["x"] - p["x"]) * (py - p["y"]) / (q["y"] - p["y"]) + p["x"]
         return F.when((p["y"] > py) == (q["y"] > py), inside).otherwise(inside != (px < crossing))
 
-    return _walk(ring, F.lit(False), step, lambda inside: inside)
+    return F.aggregate(sides, F.lit(False), step)
+
+
+def point_in_ring(ring: Column, px: Column, py: Column) -> Column:
+    return point_in_edges(edges(ring), px, py)
 
 
 def _clip_to_line(ring: Column, line: Column) -> Column:

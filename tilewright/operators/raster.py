@@ -161,39 +161,39 @@ def resample_bilinear(cells: DataFrame, shapes: DataFrame, value: str, block: in
     blocks = halo_blocks(cells.select(*CELL_KEY, value), 1, block)
     along_row = _block_window("row_no", "col_no")
     along_col = _block_window("col_no", "row_no")
-    quad = blocks.withColumn(
-        "_pair",
-        F.struct(
-            F.col(value).alias("a"),
-            F.when(F.lead("col_no").over(along_row) == F.col("col_no") + 1, F.lead(value).over(along_row)).alias("b"),
-        ),
-    ).withColumn("_below", F.lead(F.struct("row_no", "_pair")).over(along_col))
-    quad = on_tile(quad.where("owned"), shapes)
-    below = F.when(F.col("_below.row_no") == F.col("row_no") + 1, F.col("_below._pair"))
+    right = F.when(F.lead("col_no").over(along_row) == F.col("col_no") + 1, F.lead(value).over(along_row))
+    quad = blocks.select("tile_id", "brow", "bcol", "owned", "row_no", "col_no", F.col(value).alias("_a"), right.alias("_b"))
+    follows = F.lead("row_no").over(along_col) == F.col("row_no") + 1
+    quad = quad.withColumns(
+        {"_c0": F.when(follows, F.lead("_a").over(along_col)), "_d0": F.when(follows, F.lead("_b").over(along_col))}
+    ).where("owned")
+    quad = on_tile(quad.select(*CELL_KEY, "_a", "_b", "_c0", "_d0"), shapes)
 
     # Positions left of the first centre read the first cell alone; the last cell has no follower.
     position = lambda i, src, dst: (i + 0.5) * src / dst - 0.5
     source = lambda i, src, dst: F.greatest(F.floor(position(i, src, dst)), F.lit(0))
-    quad = _spread(quad.withColumn("_down", below), source, 0.5)
 
     def fraction(target: str, index: str, src: str, dst: str) -> Column:
         f = position(F.col(target), F.col(src), F.col(dst)) - F.col(index)
         last = F.col(index) == F.col(src) - 1
-        return F.when((f < 0) | last, F.lit(0.0)).otherwise(f)
-
-    fr = fraction("_r", "row_no", "src_rows", "dst_rows")
-    fc = fraction("_c", "col_no", "src_cols", "dst_cols")
-    corners = [
-        (F.col("_pair.a"), (1 - fr) * (1 - fc)), (F.col("_pair.b"), (1 - fr) * fc),
-        (F.col("_down.a"), fr * (1 - fc)), (F.col("_down.b"), fr * fc),
-    ]
-    top, bottom = F.lit(0.0), F.lit(0.0)
-    for v, weight in corners:
-        top += F.coalesce(v * weight, F.lit(0.0))
-        bottom += F.when(v.isNotNull(), weight).otherwise(0.0)
-    return quad.select(
+        return F.when(last, F.lit(0.0)).otherwise(F.greatest(f, F.lit(0.0)))
+
+    fine = _spread(quad, source, 0.5).withColumns(
+        {
+            "_fr": fraction("_r", "row_no", "src_rows", "dst_rows"),
+            "_fc": fraction("_c", "col_no", "src_cols", "dst_cols"),
+        }
+    )
+    fr, fc = F.col("_fr"), F.col("_fc")
+    weights = {"_a": (1 - fr) * (1 - fc), "_b": (1 - fr) * fc, "_c0": fr * (1 - fc), "_d0": fr * fc}
+    valid = {c: F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items()}
+    fine = fine.withColumns({f"{c}w": w for c, w in valid.items()})
+    bottom = sum((F.col(f"{c}w") for c in valid), F.lit(0.0))
+    top = sum((F.coalesce(c, F.lit(0.0)) * F.col(f"{c}w") for c in valid), F.lit(0.0))
+    fine = fine.withColumns({"_top": top, "_bottom": bottom})
+    return fine.select(
         "tile_id", F.col("_r").alias("row_no"), F.col("_c").alias("col_no"),
-        F.when(bottom > 0, top / bottom).alias(value),
+        F.when(F.col("_bottom") > 0, F.col("_top") / F.col("_bottom")).alias(value),
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geometry import area, clipped_area, edges, point_in_ring, ring_bounds
+from ..functions.geometry import area, clipped_area, edges, point_in_edges, ring_bounds
 from ..schema import CELL_KEY, MAX_TILE_AREA
 from .grid import center_x, center_y, empty_cells, on_tile, with_shape
 from .joins import binned_join, explode_box, put_in_bin
@@ -81,12 +81,13 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, width: float, by:
     ``width`` is the edge of the matching bins, about the size of a typical polygon.
     """
     boxes = explode_box(
-        with_ring_bounds(polygons), F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), width
+        with_ring_bounds(polygons).withColumn("_sides", edges(F.col("ring"))),
+        F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), width,
     )
     inside = (
         F.col("l.x").between(F.col("r.xmin"), F.col("r.xmax"))
         & F.col("l.y").between(F.col("r.ymin"), F.col("r.ymax"))
-        & point_in_ring(F.col("r.ring"), F.col("l.x"), F.col("l.y"))
+        & point_in_edges(F.col("r._sides"), F.col("l.x"), F.col("l.y"))
     )
     pairs = binned_join(put_in_bin(points, F.col("x"), F.col("y"), width), boxes, inside, list(by))
     extra = [c for c in polygons.columns if c not in points.columns]
