@@ -19,7 +19,7 @@ def vertex(x, y) -> Column:
 
 def edges(ring: Column) -> Column:
     """Array of ``struct<p, q>`` over consecutive vertices, the last joined to the first."""
-    turned = F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1))
+    turned = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     return F.zip_with(ring, turned, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
 
