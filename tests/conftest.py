@@ -22,7 +22,7 @@ def grid_of(spark):
     """A list of rows (None is nodata) to a cell table."""
 
     def build(rows, tile="t", name="v"):
-        data = [(tile, r, c, v) for r, row in enumerate(rows) for c, v in enumerate(row)]
+        data = [(tile, r, c, None if v is None else float(v)) for r, row in enumerate(rows) for c, v in enumerate(row)]
         return spark.createDataFrame(data, f"tile_id string, row_no int, col_no int, {name} double")
 
     return build

@@ -25,9 +25,6 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float], by: S
     Counting combines before each shuffle, so no task ever holds a whole group.
     """
     by = list(by)
-    if not by:
-        everything = exact_quantiles(df.withColumn("_all", F.lit(0)), value, fractions, ["_all"])
-        return everything.drop("_all")
     values = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     margin = 3.0 / ACCURACY
     marks = [p for q in fractions for p in (max(q - margin, 0.0), min(q + margin, 1.0))]
@@ -57,8 +54,9 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float], by: S
         .otherwise(F.lit(0))
         .cast("int")
     )
-    sliced = join_small(values, brackets, by).withColumn("slot", slot)
     key = [*by, "q"]
+    asked = values.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in fractions])))
+    sliced = join_small(asked, brackets, key).withColumn("slot", slot)
     before = W.partitionBy(*key).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     slots = (
         sliced.groupBy(*key, "slot")

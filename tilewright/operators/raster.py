@@ -79,7 +79,8 @@ def fill_voids(cells: DataFrame, value: str, radius: int = 100, block: int = BLO
 def fill_all_voids(cells: DataFrame, value: str, radius: int = 100, block: int = BLOCK_SIZE) -> DataFrame:
     """Repeat :func:`fill_voids` until nothing is NULL or a pass changes nothing.
 
-    Each pass is checkpointed to the shared folder; a raster without any valid cell stays NULL.
+    Each pass is checkpointed to the shared folder; a raster without any valid cell stays NULL. The
+    input is read by every pass up to the first checkpoint, so pass a stored table.
     """
     current, missing = cells.select(*CELL_KEY, value), None
     while True:

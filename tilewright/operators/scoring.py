@@ -54,7 +54,10 @@ def score_windows(windows: DataFrame, predict: Callable[[pd.DataFrame], "pd.Seri
         out["probs"] = list(predict(window))
         return out
 
-    return kept.groupBy("tile_id", "wrow", "wcol").applyInPandas(
+    # Scoring costs far more than its bytes suggest, so small shuffle outputs must not be merged.
+    tasks = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = kept.repartition(tasks, "tile_id", "wrow", "wcol")
+    return spread.groupBy("tile_id", "wrow", "wcol").applyInPandas(
         score, f"tile_id {key_type}, row_no int, col_no int, probs array<double>"
     )
 

@@ -190,7 +190,8 @@ def stratified_split(
     def climb(group: pd.DataFrame) -> pd.DataFrame:
         return _climb(group, order, swaps, seed)
 
-    found = summary.groupBy("trial").applyInPandas(
+    # Climbing costs far more than its bytes suggest, so each trial keeps a task of its own.
+    found = summary.repartition(trials, "trial").groupBy("trial").applyInPandas(
         climb, f"trial int, distance double, moves array<struct<image: {image_type}, subset: string>>"
     )
     best = found.where("distance is not null").orderBy("distance", "trial").first()

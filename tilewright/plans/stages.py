@@ -22,6 +22,7 @@ from ..operators.splits import random_split, stratified_split
 from ..operators.stats import band_ranges, class_weights
 from ..operators.surfaces import height_above_roof, mask_to_surfaces, surface_bounds
 from ..schema import BANDS, BLOCK_SIZE, RGB
+from ..session import cut_lineage
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -73,6 +74,9 @@ def parse_points(
     # One resolution serves all tiles of a run; it is a property of the image product.
     res = coarse.select("res").first()["res"]
     gridded = grid_idw(points, coarse, ["z", "reflectance"])
+    if fill:
+        # Read once per band and filling pass, so it is stored once in the shared folder.
+        gridded = cut_lineage(gridded)
     complete = lambda band: fill_all_voids(gridded, band) if fill else gridded.select("tile_id", "row_no", "col_no", band)
     elevation = complete("z")
     reflectance = complete("reflectance").withColumn("reflectance", db_to_linear(F.col("reflectance")))

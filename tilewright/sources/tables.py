@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -62,17 +63,17 @@ def write_cells(cells: DataFrame, path: str, mode: str = "errorifexists", rows:
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, None if there is nothing yet; anything else there is an error."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        kind = error.getCondition() or ""
-        if kind == "PATH_NOT_FOUND":
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
-        if "INFER_SCHEMA" in kind:
-            # Either an empty folder (nothing written yet) or something that is not a table.
-            files = spark.read.format("binaryFile").load(path).select("path").limit(1)
-            if files.isEmpty():
-                return None
+        # An empty folder holds no schema, but is a fine place for a new table.
+        if spark.read.format("binaryFile").load(path).select("path").isEmpty():
+            return None
+        raise ValueError(f"{path!r} exists but is not a Parquet table") from error
+    except Py4JJavaError as error:
         raise ValueError(f"{path!r} exists but is not a Parquet table") from error
 
 
