@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .joins import binned_join, explode_box, put_in_bin
 
 
@@ -57,8 +58,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, cell: float) -> Data
     distances by index). Fewer than ``k`` rows only when there are fewer points.
 
     Bins are counted at sizes ``cell * 2**level``. A query uses the smallest level at which its own
-    bin holds ``k`` points: these lie within the bin's diagonal, so the diagonal is a proven search
-    radius and one join is exact. The top level is a single bin. ``cell`` affects speed only.
+    bin holds ``k`` points (the top level is a single bin). The ``k``-th distance among these is a
+    proven search radius, so one further join on the bins that the radius touches is exact, and a
+    dense place beyond it costs nothing. ``cell`` affects speed only.
     """
     q = queries.select("query_id", "x", "y")
     # Of the copies of one position only the k with the lowest index can be among the nearest.
@@ -69,8 +71,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, cell: float) -> Data
     x0, y0, x1, y1 = q.select("x", "y").unionByName(points.select("x", "y")).agg(
         F.min("x"), F.min("y"), F.max("x"), F.max("y")
     ).first()
-    x0, y0 = x0 or 0.0, y0 or 0.0
-    span = max((x1 or 0.0) - x0, (y1 or 0.0) - y0)
+    if x0 is None:
+        raise ValueError("neither queries nor points have coordinates")
+    span = max(x1 - x0, y1 - y0)
     top = math.ceil(math.log2(max(span / cell, 1.0))) + 1
     levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
     size = F.pow(F.lit(2.0), F.col("level")) * cell
@@ -93,31 +96,37 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, cell: float) -> Data
     )
     asked = binned(q.withColumn("level", levels).withColumn("size", size))
     enough = F.when(F.col("n").isNotNull(), F.col("level"))
-    chosen = (
+    chosen = binned(
         asked.join(counts, ["level", "bx", "by"], "left")
         .groupBy("query_id", "x", "y").agg(F.coalesce(F.min(enough), F.lit(top)).alias("level"))
         .withColumn("size", size)
     )
+    # One row per query is stored in the shared folder, since levels are looked up before the joins.
     # At most top + 1 levels exist, and top grows with the logarithm of the extent.
-    used = chosen.select("level").distinct()
-    keyed = binned(p.withColumn("level", levels).join(F.broadcast(used), "level", "left_semi").withColumn("size", size))
-    reach = F.col("size") * (math.sqrt(2.0) * (1 + 1e-9))
+    chosen = cut_lineage(chosen)
+    used = [r["level"] for r in chosen.select("level").distinct().collect()]
+    keyed = binned(p.withColumn("level", F.explode(F.array(*[F.lit(v) for v in used or [top]]))).withColumn("size", size))
+    keyed = keyed.select("level", "bx", "by", "idx", "x", "y")
+    distance = F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y"))
+    asking = [F.col(f"r.{c}").alias(c) for c in ("query_id", "x", "y", "level", "size")]
+    ordered = W.partitionBy("query_id").orderBy("distance", "idx")
+
+    def first_k(pairs: DataFrame) -> DataFrame:
+        return pairs.withColumn("rank", F.row_number().over(ordered)).where(F.col("rank") <= k)
+
+    # The search radius of a query, from its own bin. With too few points there is none: all count.
+    own = binned_join(keyed, chosen, F.lit(True), ["level"]).select(*asking, F.col("l.idx"), distance.alias("distance"))
+    reach = F.when(F.max("rank") == k, F.max("distance")).otherwise(F.lit(2.0 * span + cell))
+    boxes = first_k(own).groupBy("query_id", "x", "y", "level", "size").agg(reach.alias("reach"))
     around = lambda axis, corner: F.explode(
         F.sequence(
-            F.floor((F.col(axis) - F.col("reach") - corner) / F.col("size")).cast("bigint"),
-            F.floor((F.col(axis) + F.col("reach") - corner) / F.col("size")).cast("bigint"),
+            F.floor((F.col(axis) - F.col("reach") - corner) / F.col("size") - 1e-9).cast("bigint"),
+            F.floor((F.col(axis) + F.col("reach") - corner) / F.col("size") + 1e-9).cast("bigint"),
         )
     )
-    boxes = chosen.withColumn("reach", reach).withColumn("bx", around("x", x0)).withColumn("by", around("y", y0))
-    distance = F.hypot(F.col("l.x") - F.col("r.x"), F.col("l.y") - F.col("r.y"))
-    near = (F.col("r.level") == top) | (distance <= F.col("r.reach"))
-    pairs = binned_join(keyed, boxes, near, ["level"])
-    nearest = W.partitionBy("query_id").orderBy("distance", "idx")
-    return (
-        pairs.select(F.col("r.query_id"), F.col("l.idx"), distance.alias("distance"))
-        .withColumn("rank", F.row_number().over(nearest))
-        .where(F.col("rank") <= k)
-    )
+    boxes = boxes.withColumn("bx", around("x", x0)).withColumn("by", around("y", y0))
+    pairs = binned_join(keyed, boxes, distance <= F.col("r.reach"), ["level"])
+    return first_k(pairs.select(F.col("r.query_id"), F.col("l.idx"), distance.alias("distance")))
 
 
 def neighbor_query(queries: DataFrame, points: DataFrame, k: int | None = None, r: float | None = None, p: float = math.inf, cell: float = 1.0) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import SUBSETS
+from ..session import cut_lineage
 from .rank import HASH_BUCKETS, bucketed_rank, shuffled_rank
 
 
@@ -167,7 +168,8 @@ def stratified_split(
     vector = F.array(
         *[F.coalesce(F.sum(F.when(F.col("class_id") == c, F.col("n"))), F.lit(0)).cast("double") for c in classes]
     )
-    images = counts.groupBy("image").agg(vector.alias("vector"))
+    # Read several times below: one row per image is stored in the shared folder.
+    images = cut_lineage(counts.groupBy("image").agg(vector.alias("vector")))
     ids = images.select("image")
     sizes = subset_sizes(lengths, ids.count())
     order = list(names[: len(sizes)])
