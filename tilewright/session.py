@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders made for sessions without a setting, by application.
+_made: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", app: str = "tilewright", memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and benchmarks. Clusters bring their own session."""
     return (
@@ -22,19 +27,22 @@ def local_session(cores: int | str = "*", app: str = "tilewright", memory: str =
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder must be shared, so that the data survives lost executors. Only a local session may
-    fall back to a temporary folder.
+    Where it is unset, a session in a single process gets one of its own; a cluster has to name it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _made.get(spark.sparkContext.applicationId)
+    if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _made[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="run-")
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, so that the data survives lost executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="run-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
