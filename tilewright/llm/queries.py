@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import fingerprints, near_dedup
 from .common import read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,26 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = written(near_dedup.fingerprints(read(spark, sf_dir, "documents")), "marks")
     found = near_dedup.near_duplicates(marks, radius=4)
     return found.select("doc_id", near_dedup.hex_of("fp").alias("fingerprint"), "component_id")
+
+
+@query("op1_document_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of the texts and their edited texts; for every hundredth document also how many others lie near."""
+    docs = fingerprints.documents(read(spark, sf_dir, "documents"))
+    starts = fingerprints.range_starts(docs, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = fingerprints.edited_texts(fingerprints.with_fingerprint(docs), starts)
+    marks = fingerprints.with_fingerprint(
+        rows.select("doc_id", "n_chars", "edited", F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp"), "edited", "edited_fp"
+    ).drop("edited")
+    marks = written(marks, "fingerprints")
+    distinct = marks.groupBy("fp").agg(F.count("*").alias("copies"))
+    asked = marks.where("doc_id % 100 = 0").select("fp").distinct()
+    near = fingerprints.search(asked, distinct).groupBy("query_fp").agg(F.sum("copies").alias("n"))
+    rows = marks.join(near, (F.col("fp") == F.col("query_fp")) & (F.col("doc_id") % 100 == 0), "left")
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprints.hex_of("fp").alias("fingerprint"), fingerprints.hex_of("edited_fp").alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        (F.col("n") - 1).alias("n_near"),
+    )
