@@ -58,7 +58,7 @@ def _array(values) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values)
 
 
-def pair_chunks(low: np.ndarray, high: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def pair_chunks(low: np.ndarray, high: np.ndarray, limit: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All (row, target) pairs with ``low[row] <= target < high[row]``, about ``limit`` pairs at a time."""
     for row in _long_rows(low, high, limit):
         for start in range(int(low[row]), int(high[row]), limit):

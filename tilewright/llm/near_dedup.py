@@ -229,8 +229,8 @@ def _keys(fps: np.ndarray, parts: Partitioning) -> Iterator[tuple[np.ndarray, np
         for d in range(int(thresholds[:, i].max(initial=-1)) + 1):
             rows = np.flatnonzero(thresholds[:, i] >= d)
             masks = np.array([sum(1 << p for p in c) for c in combinations(range(len(group)), d)], np.int64)
-            for k in range(0, len(rows), max(1, 500_000 // len(masks))):
-                part = rows[k:k + max(1, 500_000 // len(masks))]
+            for k in range(0, len(rows), max(1, 100_000 // len(masks))):
+                part = rows[k:k + max(1, 100_000 // len(masks))]
                 key = (value[part][:, None] ^ masks[None, :]).ravel()
                 yield tag | key, np.repeat(fps[part], len(masks)), np.ones(len(key), np.int8)
 
