@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, near_dedup
-from .common import read, written
+from . import fingerprints, near_dedup, warc
+from .common import new_folder, read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         (F.col("n") - 1).alias("n_near"),
     )
+
+
+@query("op4_warc_round_trip", """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as n, sha1(payload) as h from p),
+f as (select *, min(page_id) over (partition by h, n) as first from d),
+b as (
+  select *, list_transform(generate_series(0, 7), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::int) as v from f
+)
+select page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(v, lambda x:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type,
+  case when page_id = first then null else first end as refers_to,
+  1 as n_requests
+from b
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of all pages, read back and assembled."""
+    path = new_folder(spark, "warc")
+    warc.write_warc(warc.plan_captures(read(spark, sf_dir, "pages")), path)
+    found = written(warc.assemble(warc.read_warc(spark, path, keep_block=False)), "captures")
+    rows = found.select(
+        F.col("metadata")[0]["fields"]["page-id"].cast("bigint").alias("page_id"), "record_id", "capture", F.size("requests").alias("n_requests")
+    )
+    names = rows.where("capture.warc_type = 'response'").select(F.col("record_id").alias("named"), F.col("page_id").alias("refers_to"))
+    rows = rows.join(names, F.col("capture.refers_to") == F.col("named"), "left")
+    return rows.select(
+        "page_id", "capture.payload_bytes", F.coalesce("capture.found_digest", "capture.payload_digest").alias("payload_digest"),
+        F.col("capture.warc_type").alias("record_type"), "refers_to", "n_requests",
+    )
