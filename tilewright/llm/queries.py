@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, near_dedup, warc
+from . import fingerprints, labelled, near_dedup, quality, toxicity, warc
 from .common import new_folder, read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "capture.payload_bytes", F.coalesce("capture.found_digest", "capture.payload_digest").alias("payload_digest"),
         F.col("capture.warc_type").alias("record_type"), "refers_to", "n_requests",
     )
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a model of the rows that are not held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels, labelled.fold(4) != 2)
+    rows = labelled.score(docs, model, keep=["doc_id"])
+    return rows.select(
+        "doc_id", F.coalesce(labelled.fold(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by models of the rows that are not held out."""
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.learn(docs, labels, labelled.fold(5) != 0)
+    rows = labelled.score(docs, model, keep=["doc_id"])
+    return rows.select(
+        "doc_id", F.coalesce(labelled.fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
