@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, labelled, lm_scoring, near_dedup, quality, toxicity, warc
+from . import bpe, fingerprints, html_extraction, labelled, lm_scoring, near_dedup, quality, toxicity, warc
 from .common import new_folder, read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-likelihood of every document by a model of the rows that are not held out."""
     return lm_scoring.score(read(spark, sf_dir, "documents"), labelled.fold(10) == 0)
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extract(read(spark, sf_dir, "pages"))
