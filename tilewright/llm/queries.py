@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html_extraction, labelled, lm_scoring, near_dedup, quality, toxicity, warc
+from . import bpe, decontamination, fingerprints, html_extraction, labelled, lm_scoring, near_dedup, quality, toxicity, warc
 from .common import new_folder, read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extraction.extract(read(spark, sf_dir, "pages"))
+
+
+@query("op8_benchmark_decontamination", """
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents),
+i as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from benchmark),
+mask(m, places) as (values
+  (0, [0, 1, 2, 3, 4, 5]), (1, [0, 1, 2, 6, 7, 8]), (2, [0, 1, 2, 9, 10, 11]),
+  (3, [3, 4, 5, 6, 7, 8]), (4, [3, 4, 5, 9, 10, 11]), (5, [6, 7, 8, 9, 10, 11])),
+dp as (select doc_id, p - 1 as p, w[p:p + 11] as part from (select doc_id, w, unnest(generate_series(1, len(w) - 11)) as p from d)),
+ip as (select item_id, q - 1 as q, w[q:q + 11] as part from (select item_id, w, unnest(generate_series(1, len(w) - 11)) as q from i)),
+ds as (select *, m, array_to_string(list_transform(places, lambda j: part[j + 1]), ' ') as seed from dp, mask),
+iq as (select *, m, array_to_string(list_transform(places, lambda j: part[j + 1]), ' ') as seed from ip, mask),
+far as (
+  select ds.doc_id, iq.item_id, iq.q, ds.p from ds join iq on ds.m = iq.m and ds.seed = iq.seed
+  where len(list_filter(generate_series(1, 12), lambda j: ds.part[j] <> iq.part[j])) <= 2
+),
+near as (
+  select d.doc_id, s.item_id, 0 as q, p.at as p
+  from (select * from i where len(w) between 5 and 11) s,
+    d, lateral (select unnest(generate_series(0, len(d.w) - len(s.w))) as at) p
+  where d.w[p.at + 1:p.at + len(s.w)] = s.w
+),
+hits as (select * from far union all select * from near)
+select doc_id, item_id, count(distinct q) as n_windows, cast(min(p) as int) as first_at, cast(max(p) as int) as last_at
+from hits group by doc_id, item_id
+""".replace("\\\\", "\\"))
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold windows of benchmark items."""
+    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
