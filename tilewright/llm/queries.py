@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, html_extraction, labelled, lm_scoring, near_dedup, quality, toxicity, warc
+from . import bpe, decontamination, fingerprints, html_extraction, labelled, line_dedup, lm_scoring, near_dedup, quality, toxicity, warc
 from .common import new_folder, read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,13 @@ from hits group by doc_id, item_id
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold windows of benchmark items."""
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op3_line_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of every document without lines that come again, edited or not."""
+    rows = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"),
+        F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
