@@ -26,8 +26,8 @@ from .common import text_of
 
 # Bits of an id; an entry that is none.
 BITS = 17
-EMPTY = 1 << 52
-GROUPS = 65_537
+EMPTY = 1 << 61
+GROUPS = 1 << 16
 SPREAD = 40_503_337
 GROUP_BYTES = 4 << 20
 GROUP_DOCS = 5_000
@@ -49,26 +49,29 @@ class Ranks(NamedTuple):
     mark: int
 
 
-def hash_pairs(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
-    """(slots, shifts): pair ``k`` of rank ``v`` is at slot ``(k * SPREAD + shifts[k % GROUPS]) % len(slots)`` as ``k << BITS | v``.
+def hash_pairs(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+    """(slots, shifts): a pair has the number ``h = (left << BITS | right) * SPREAD``; its rank is at slot
+    ``((h >> 16) + shifts[(h >> 28) % GROUPS]) % len(slots)`` as ``h ^ rank``.
 
-    The groups of keys, largest first, are shifted until none of their slots is taken.
+    Numbers are multiples of ``SPREAD``, which is above all ranks, so only the pair's own number leaves a rank. The
+    groups of pairs, largest first, are shifted until none of their slots is taken.
     """
-    size = 2 * len(pairs) + 101
-    groups: dict[int, list[int]] = {}
-    for key in pairs:
-        groups.setdefault(key % GROUPS, []).append(key)
+    size = 1 << (2 * len(pairs) + 1).bit_length()
+    groups: dict[int, list[tuple[int, int]]] = {}
+    for (left, right), rank in pairs.items():
+        h = (left << BITS | right) * SPREAD
+        groups.setdefault((h >> 28) % GROUPS, []).append((h, rank))
     slots, shifts = [EMPTY] * size, [0] * GROUPS
-    for group, keys in sorted(groups.items(), key=lambda item: (-len(item[1]), item[0])):
+    for group, entries in sorted(groups.items(), key=lambda item: (-len(item[1]), item[0])):
         for shift in range(size):
-            at = {(key * SPREAD + shift) % size for key in keys}
-            if len(at) == len(keys) and all(slots[i] == EMPTY for i in at):
+            at = {((h >> 16) + shift) % size for h, _ in entries}
+            if len(at) == len(entries) and all(slots[i] == EMPTY for i in at):
                 break
         else:
             raise ValueError("the pairs do not fit")
         shifts[group] = shift
-        for key in keys:
-            slots[(key * SPREAD + shift) % size] = key << BITS | pairs[key]
+        for h, rank in entries:
+            slots[((h >> 16) + shift) % size] = h ^ rank
     return slots, shifts
 
 
@@ -79,12 +82,12 @@ def rank_map(ranks: dict[bytes, int]) -> Ranks:
     rank of their concatenation. Spark searches a literal of map type from end to end, so this map is a hash
     table in an array.
     """
-    pairs: dict[int, int] = {}
+    pairs: dict[tuple[int, int], int] = {}
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
             if left is not None and right is not None:
-                pairs[left << BITS | right] = rank
+                pairs[left, right] = rank
     slots, shifts = hash_pairs(pairs)
     firsts = [ranks[bytes([k])] for k in range(256)]
     slot_col, shift_col, first_col = (F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (slots, shifts, firsts))
@@ -108,19 +111,20 @@ def merge_words(word: Column, table: Ranks) -> Column:
 
     top = big(1 << BITS)
 
-    def rank(left: Column, right: Column) -> Column:
-        key = left * top + right
-        shift = F.get(table.shifts, F.pmod(key, big(GROUPS)).cast("int"))
-        # Equal keys leave the rank; others differ above it.
-        return F.get(table.slots, F.pmod(key * big(SPREAD) + shift, big(table.size)).cast("int")).bitwiseXOR(key * top)
+    def number(left: Column, right: Column) -> Column:
+        return left * big(SPREAD << BITS) + right * big(SPREAD)
+
+    def rank(h: Column) -> Column:
+        shift = F.get(table.shifts, F.shiftright(h, 28).bitwiseAND(big(GROUPS - 1)).cast("int"))
+        return F.get(table.slots, (F.shiftright(h, 16) + shift).bitwiseAND(big(table.size - 1)).cast("int")).bitwiseXOR(h)
 
     def start(p: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: rank(F.get(p, i - 1), F.get(p, i)))
-        return F.struct(p.alias("p"), pairs.alias("r"))
+        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: number(F.get(p, i - 1), F.get(p, i)))
+        return F.struct(p.alias("p"), F.transform(pairs, rank).alias("r"))
 
     def merged(state: Column, at: Column, low: Column) -> Column:
         p, r = state["p"], state["r"]
-        beside = F.array(rank(F.get(p, at - 2), low), rank(low, F.get(p, at + 1)))
+        beside = F.transform(F.array(number(F.get(p, at - 2), low), number(low, F.get(p, at + 1))), rank)
         return F.struct(
             F.concat(F.slice(p, 1, at - 1), F.array(low), F.slice(p, at + 2, F.lit(1 << 30))).alias("p"),
             F.concat(F.slice(r, 1, at - 2), beside, F.slice(r, at + 2, F.lit(1 << 30))).alias("r"),
@@ -162,6 +166,13 @@ def frequent_words(docs: DataFrame, pattern: str, cache_words: int, sample_docs:
     return counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word")
 
 
+def _packed(ids: pa.ListArray) -> list[bytes]:
+    """Each list as little-endian unsigned 32-bit numbers."""
+    raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+    ends = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
+    return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def _is_text(piece: bytes) -> bool:
     try:
         piece.decode()
@@ -185,10 +196,12 @@ def encode(
     table = rank_map(ranks)
     words = frequent_words(rows, pattern, cache_words, sample_docs)
     known = words.select("word", merge_words(F.col("word"), table).alias("ids")).toArrow()
-    cache = dict(zip(known.column(0).to_pylist(), (np.array(x, "<u4").tobytes() for x in known.column(1).to_pylist())))
+    cache = dict(zip(known.column(0).to_pylist(), _packed(known.column(1).combine_chunks())))
+    del known
     # A word that has a rank of its own is that one id.
     cache |= {piece.decode(): np.array([rank], "<u4").tobytes() for piece, rank in ranks.items() if _is_text(piece)}
     held = spark.sparkContext.broadcast((list(cache), list(cache.values())))
+    del cache
     pieces = spark.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()} if decode else None)
 
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "ids", "decoded")]
@@ -211,9 +224,13 @@ def encode(
                     text = texts[stop].as_py()
                     size += len(text)
                     found = find(text)
-                    for w in set(found).difference(number):
-                        rare.setdefault(w, -len(rare) - 1)
-                    refs.append(np.fromiter((number[w] if w in number else rare[w] for w in found), "<i4", len(found)).tobytes())
+                    known = list(map(number.get, found))
+                    if None in known:
+                        for w, k in zip(found, known):
+                            if k is None and w not in rare:
+                                rare[w] = -len(rare) - 1
+                        known = [rare[w] if k is None else k for w, k in zip(found, known)]
+                    refs.append(np.array(known, "<i4").tobytes())
                     stop += 1
                 one = pa.array([0, stop - start], pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -231,8 +248,7 @@ def encode(
         piece = pieces.value
         for batch in batches:
             for k in range(batch.num_rows):
-                folded = batch.column(2)[k].as_py()
-                rare = [np.array(x, "<u4").tobytes() for x in folded][::-1]
+                rare = _packed(batch.column(2)[k].values)[::-1]
                 # Reference -1 is the first rare word: the last of the list, counted from the end.
                 every = cached + rare
                 got = []
