@@ -51,7 +51,7 @@ class Ranks(NamedTuple):
 
 def hash_pairs(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
     """(slots, shifts): a pair has the number ``h = (left << BITS | right) * SPREAD``; its rank is at slot
-    ``((h >> 16) + shifts[(h >> 28) % GROUPS]) % len(slots)`` as ``h ^ rank``.
+    ``((h >> 16) + shifts[(h >> 34) % GROUPS]) % len(slots)`` as ``h ^ rank``.
 
     Numbers are multiples of ``SPREAD``, which is above all ranks, so only the pair's own number leaves a rank. The
     groups of pairs, largest first, are shifted until none of their slots is taken.
@@ -60,7 +60,7 @@ def hash_pairs(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]
     groups: dict[int, list[tuple[int, int]]] = {}
     for (left, right), rank in pairs.items():
         h = (left << BITS | right) * SPREAD
-        groups.setdefault((h >> 28) % GROUPS, []).append((h, rank))
+        groups.setdefault((h >> 34) % GROUPS, []).append((h, rank))
     slots, shifts = [EMPTY] * size, [0] * GROUPS
     for group, entries in sorted(groups.items(), key=lambda item: (-len(item[1]), item[0])):
         for shift in range(size):
@@ -115,7 +115,7 @@ def merge_words(word: Column, table: Ranks) -> Column:
         return left * big(SPREAD << BITS) + right * big(SPREAD)
 
     def rank(h: Column) -> Column:
-        shift = F.get(table.shifts, F.shiftright(h, 28).bitwiseAND(big(GROUPS - 1)).cast("int"))
+        shift = F.get(table.shifts, F.shiftright(h, 34).bitwiseAND(big(GROUPS - 1)).cast("int"))
         return F.get(table.slots, (F.shiftright(h, 16) + shift).bitwiseAND(big(table.size - 1)).cast("int")).bitwiseXOR(h)
 
     def start(p: Column) -> Column:
