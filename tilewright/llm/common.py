@@ -29,6 +29,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have yet, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string")

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import fresh, text_of
 
 WINDOW, ERRORS, LEAST = 12, 2, 5
 # Test windows that are broadcast at most: 1 KB each at the outside.
@@ -81,5 +81,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, errors:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that leak no item, columns unchanged. A document with a null doc_id goes if one such leaks."""
-    leaks = find_leaks(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti").select(*docs.columns)
+    (leak,) = fresh(docs, "_leak")
+    leaks = find_leaks(docs, items).select(F.col("doc_id").alias(leak)).distinct()
+    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col(leak)), "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import byte_values, text_of
+from .common import byte_values, fresh, text_of
 
 
 def fold(modulus: int, column: str = "doc_id") -> Column:
@@ -44,7 +44,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
 def score(docs: DataFrame, model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all) of ``docs`` and a score from 0 to 1 of the whole ``text`` (null: empty) as ``name``."""
     fields = [c for c in (docs.columns if keep is None else keep) if c != name]
-    rows = docs.select(*fields, text_of("text").alias("_whole"))
+    rows = docs.select(*fields, text_of("text").alias(fresh(docs, "_whole")[0]))
     schema = docs.select(*fields).schema.add(name, DoubleType())
     held = docs.sparkSession.sparkContext.broadcast(model)
 

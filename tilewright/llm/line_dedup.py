@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, text_of, written
+from .common import fresh, new_folder, written
 
 EDITS, LEAST = 2, 20
 # A place is doc_id * LINES + line number; both are checked to fit.
@@ -122,7 +122,7 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 
             return _let(F.get(columns, j - 1), with_char)
 
-        start = F.struct(F.lit((full << most) & full).alias("vp"), F.lit(0).alias("vn"), F.lit(most).alias("d"))
+        start = F.struct(F.lit((full << most) & full).alias("vp"), F.lit(0).alias("vn"), F.least(F.lit(most), m).alias("d"))
         end = F.aggregate(F.sequence(F.lit(1), F.size(columns)), start, step, lambda s: s["d"])
         return F.least(end, F.lit(most + 1))
 
@@ -198,7 +198,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> t
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and the counts ``_lines`` and ``_gone`` of its lines.
 
-    The other columns are unchanged; a null text stays null. All rows are returned. Lines that stay keep their
+    The other columns are unchanged, but for ``_lines`` and ``_gone``, which are replaced; a null text stays null. All rows are returned. Lines that stay keep their
     order. Rows that repeat a doc_id are taken as one document: their n-th lines share a place, so neither goes
     because of the other.
     """
@@ -210,15 +210,17 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     # A line goes if it is not the first of its kind, or if the first of its kind has a near line before it.
     gone = again.join(near.withColumnRenamed("place", "first").withColumn("near", F.lit(True)), "first", "left").where("place > first or near")
     number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))
-    cut = gone.groupBy(F.floor(F.col("place") / LINES).cast("bigint").alias("_d")).agg(
-        F.collect_set(F.pmod(F.col("place"), F.lit(LINES)).cast("int")).alias("_cut")
+    kept_columns = [c for c in docs.columns if c not in ("_lines", "_gone")]
+    key, cut_column = fresh(docs, "_d", "_cut")
+    cut = gone.groupBy(F.floor(F.col("place") / LINES).cast("bigint").alias(key)).agg(
+        F.collect_set(F.pmod(F.col("place"), F.lit(LINES)).cast("int")).alias(cut_column)
     )
     parts = F.split("text", "\n", -1)
-    joined = docs.withColumn("_d", number).join(cut, "_d", "left").drop("_d")
+    joined = docs.select(*kept_columns).withColumn(key, number).join(cut, key, "left").drop(key)
     kept = F.transform(
-        F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_cut", s["i"])), lambda s: s["x"]
+        F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(cut_column, s["i"])), lambda s: s["x"]
     )
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(cut_column).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     return joined.withColumns({
-        "text": text, "_lines": F.coalesce(F.size(parts), F.lit(0)), "_gone": F.coalesce(F.size("_cut"), F.lit(0)),
-    }).drop("_cut")
+        "text": text, "_lines": F.coalesce(F.size(parts), F.lit(0)), "_gone": F.coalesce(F.size(cut_column), F.lit(0)),
+    }).drop(cut_column)

@@ -1,7 +1,7 @@
 """Hidden Markov language model: exact log-likelihoods of whole texts.
 
-Tokens are words (ASCII lower case) and one end per text. The ``FREQUENT`` most frequent training words are
-symbols of their own; a rarer word is the symbol of its last three bytes times its share of that symbol, known
+Tokens are words (ASCII lower case) and one end per text. The ``FREQUENT`` most frequent training words, seen
+``OFTEN`` times or more, are symbols of their own; a rarer word is the symbol of its last three bytes times its share of that symbol, known
 words discounted (Good-Turing) in favour of one unknown word per symbol. So the forward recursion needs only a
 table of bounded size, and the counts of rare words, which grow with the corpus, meet the texts in one join whose
 keys cannot be hot: all frequent words have left it.
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import byte_values, text_of, written
 
 FREQUENT, SUFFIXES = 32_000, 1_024
+# A word of its own occurs so often at least.
+OFTEN = 5
 SYMBOLS = 1 + FREQUENT + SUFFIXES
 SEGMENT = 256
 _WORDS_HELD = 400_000
@@ -85,7 +87,7 @@ def count_corpus(rows: DataFrame) -> Counts:
     texts = rows.count()
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # At most FREQUENT words come to the driver.
-    top = table.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    top = table.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     words, numbers = top.column(0).to_pylist(), top.column(1).to_numpy()
     suffix = F.pmod(F.crc32(F.expr("substring(word, -3, 3)")), F.lit(SUFFIXES)).cast("int")
     own = F.broadcast(table.sparkSession.createDataFrame(top.select(["word"]))) if words else table.select("word")
@@ -225,7 +227,7 @@ def maximise(total: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarra
     starts, moves, emitted = total
     states = len(starts)
     prior = (totals + 0.1) / (totals + 0.1).sum()
-    strength = 50.0
+    strength = 2000.0
     emit = (emitted + strength * prior[:, None]) / (emitted.sum(axis=0) + strength)
     return Hmm((starts + 1.0) / (starts.sum() + states), (moves + 1.0) / (moves.sum(axis=1, keepdims=True) + states), emit)
 

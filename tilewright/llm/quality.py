@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .labelled import sample, score
 
 _SPACE = np.zeros(256, bool)
@@ -121,4 +122,5 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, per_class: int
 
 def keep_good(docs: DataFrame, model: Model, least: float = 0.7) -> DataFrame:
     """The documents with a score of ``least`` or more, columns unchanged."""
-    return score(docs, model, "_quality").where(F.col("_quality") >= least).drop("_quality")
+    (name,) = fresh(docs, "_quality")
+    return score(docs, model, name).where(F.col(name) >= least).drop(name)

@@ -17,7 +17,7 @@ from .labelled import sample
 
 DISCOUNT = 0.75
 # A log ratio of two counts within so many standard errors of 0 is taken for chance and counts as 0.
-ERRORS = 4.0
+ERRORS = 3.0
 START = b"\x00"
 _TO_SPACE = bytes.maketrans(bytes(range(33)) + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\x7f", b" " * (33 + 33))
 _PIECE = 1 << 20
@@ -89,13 +89,18 @@ def _own(counts: np.ndarray, total: np.ndarray | float, kept: np.ndarray) -> np.
     return np.where(kept, np.maximum(counts - DISCOUNT, 0.0), 0.0) / np.maximum(total, 1)
 
 
+def _texts_with(streams: list[np.ndarray], size: int) -> np.ndarray:
+    """In how many texts each number stands."""
+    return np.bincount(np.concatenate([np.unique(x) for x in streams] or [np.zeros(0, np.int64)]), minlength=size)
+
+
 def _sure(ratio: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
     """Log ratios as they are where they exceed ``ERRORS`` standard errors of their counts, else 0."""
     error = np.sqrt(1.0 / (one + 0.5) + 1.0 / (other + 0.5))
     return np.where(np.abs(ratio) > ERRORS * error, ratio, 0.0)
 
 
-def count_models(texts: list[bytes], labels: list[int], rare: int = 10, rare_pairs: int = 30) -> Model:
+def count_models(texts: list[bytes], labels: list[int], rare: int = 5, rare_pairs: int = 30) -> Model:
     """Models of both classes from token counts; the logistic curve is left at slope 1 and offset 0."""
     words: dict[bytes, int] = {START: 0}
     streams: list[list[np.ndarray]] = [[], []]
@@ -123,8 +128,11 @@ def count_models(texts: list[bytes], labels: list[int], rare: int = 10, rare_pai
         single.append(own1 + rest1 * level0[start_of] * in_start)
         at_start.append(rest1 * level0)
         unseen.append(rest1 * rest0 * share)
-    word_ratio = _sure(np.log(np.maximum(single[1], 1e-300)) - np.log(np.maximum(single[0], 1e-300)), spread[1], spread[0])
-    start_ratio = _sure(np.log(at_start[1]) - np.log(at_start[0]), begun[1], begun[0])
+    # Chance is judged by the number of texts, as a text may say the same word again and again.
+    seen = [_texts_with(side, size) for side in streams]
+    begun_in = [_texts_with([start_of[x] for x in side], len(start_no)) for side in streams]
+    word_ratio = _sure(np.log(np.maximum(single[1], 1e-300)) - np.log(np.maximum(single[0], 1e-300)), seen[1], seen[0])
+    start_ratio = _sure(np.log(at_start[1]) - np.log(at_start[0]), begun_in[1], begun_in[0])
     every = np.unique(np.concatenate([k for k, _ in pairs]))
     counts = np.zeros((2, len(every)))
     for y, (k, c) in enumerate(pairs):
@@ -141,10 +149,10 @@ def count_models(texts: list[bytes], labels: list[int], rare: int = 10, rare_pai
     keys = every[chosen]
     h, w = keys // size, keys % size
     pair_ratio = np.log(at_pair[1] + context[1][h] * single[1][w]) - np.log(at_pair[0] + context[0][h] * single[0][w])
-    pair_ratio = _sure(pair_ratio, counts[1][chosen], counts[0][chosen])
+    in_texts = [_texts_with([np.searchsorted(every, np.unique(x[:-1] * size + x[1:])) for x in side], len(every))[chosen] for side in streams]
+    pair_ratio = _sure(pair_ratio, in_texts[1], in_texts[0])
     back_ratio = np.log(context[1]) - np.log(context[0])
-    total = [np.bincount(every // size, weights=c, minlength=size) for c in counts]
-    back_ratio = _sure(back_ratio, total[1] * context[1], total[0] * context[0])
+    back_ratio = _sure(back_ratio, seen[1], seen[0])
     # Words that are rare say what their beginnings say; leaving them out keeps the table small.
     held = both > rare
     held[0] = True
@@ -170,7 +178,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1e-
     return float(b[0] / scale), float(b[1])
 
 
-def fit(texts: list[bytes], labels: list[int], rare: int = 10) -> Model:
+def fit(texts: list[bytes], labels: list[int], rare: int = 5) -> Model:
     """Counts from three of four texts, the curve from the fourth. With one class only, or none, all scores are alike."""
     y = np.array(labels, np.int64)
     aside = np.arange(len(y)) % 4 == 3
