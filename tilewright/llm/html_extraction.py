@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import text_of, written
 
 MIN_RUN = 8
+# Window starts that are broadcast at most.
+BROADCAST_NUMBERS = 2_000_000
 COVERED = 0.5
 
 # Element names of HTML and usual words in class and id names.
@@ -166,13 +168,15 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED)
     ``n_removed`` counts the blocks left out, ``n_repeated`` the tokens outside articles that repeated runs cover. Null or empty html gives an empty text; a null or broken url
     belongs to the host without a name. Repeated rows count as distinct pages and are all returned.
     """
-    parsed = written(parse(pages), "parsed-pages")
+    parsed = parse(pages)
     words = F.filter(F.split(F.array_join(F.transform(F.filter("blocks", lambda b: ~b["article"]), lambda b: b["text"]), " "), " "), lambda w: w != "")
     with_stream = parsed.withColumn("tokens", words).withColumn("stream", F.xxhash64("host", F.array_join("tokens", " ")))
     streams = with_stream.where(F.size("tokens") > 0).groupBy("host", "stream").agg(F.first("tokens").alias("tokens"), F.count("*").alias("pages"))
-    runs = repeated_runs(streams, min_run)
+    runs = written(repeated_runs(streams, min_run), "repeated-runs")
+    # Distinct streams with repeats are few; beyond the bound it is a shuffle join.
+    size = runs.agg(F.coalesce(F.sum(F.size("starts") + 10), F.lit(0)).alias("n")).first().n
+    runs = F.broadcast(runs) if size <= BROADCAST_NUMBERS else runs
 
-    # A stream that very many pages share is a hot key of this join, which adaptive execution splits or broadcasts.
     asked = with_stream.join(runs.withColumnRenamed("host", "_h"), "stream", "left").select(
         "page_id", "url", "blocks", F.size("tokens").alias("n_tokens"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts")
     )

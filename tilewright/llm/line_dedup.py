@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, new_folder, written
+from .common import fresh, written
 
 EDITS, LEAST = 2, 20
+# Rows of a few numbers that are broadcast at most.
+BROADCAST = 1_000_000
 # A place is doc_id * LINES + line number; both are checked to fit.
 LINES = 1 << 22
 LETTERS = "etaoinsrhlu ."
@@ -148,16 +150,22 @@ def _near(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     return met.where(close & (edit_distance(F.col("line"), F.col("other"), edits) <= edits)).select("place").distinct()
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(``place, first``: lines that an equal earlier line precedes; ``place``: first lines with an earlier line near).
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
-    Together these are all lines that go; a line is judged by what stands before it, not by what stays.
+
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+    """``place`` of all lines that go; a line is judged by what stands before it, not by what stays.
+
+    Texts are not shuffled: equal lines meet by a 128-bit hash, and only the texts of candidates are gathered.
     """
-    spark = docs.sparkSession
     rows = split_lines(docs).where(F.length("line") >= least)
-    path = new_folder(spark, "lines")
-    rows.groupBy("line").agg(F.min("place").alias("place")).select("place", "line").write.option("compression", "zstd").parquet(path)
-    lines = spark.read.schema("place bigint, line string").parquet(path)
+    hashed = rows.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
+    equal = hashed.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
+    equal = _small(written(equal.drop("last"), "equal-lines"), BROADCAST)
+    again = hashed.select("h", "g", "place").join(equal, ["h", "g"]).where("place > first").select("place")
+    lines = hashed.join(equal, ["h", "g"], "left").where("first is null or place = first").select("place", "line")
 
     found = keys(lines, edits).repartition("key")
     probe = F.col("member") % 2 != 0
@@ -171,18 +179,16 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> t
     members = written(found.join(shared.hint("shuffle_hash"), "key").select("key", "member", "i_low", "i_high", "p_low", "p_high"), "line-keys")
     pivot = F.when(probe, F.col("i_low")).otherwise(F.col("p_low"))
     place = F.shiftright(own, 1)
+    asked = _small(written(members.select(place.alias("place")).distinct(), "asked-lines"), BROADCAST)
+    texts = written(lines.join(asked, "place", "left_semi"), "candidate-lines")
     first = members.select(place.alias("place"), F.shiftright(pivot, 1).alias("earlier")).where("earlier < place").distinct()
-    near = written(_near(first, lines, edits), "near-lines")
+    near = written(_near(first, texts, edits), "near-lines")
 
     # What is left of groups with more than the pivot: compared with every earlier line of the other role.
     more = F.when(probe, F.col("i_high") > F.col("i_low")).otherwise(F.col("p_high") > F.col("p_low"))
     open_members = members.where((pivot < own) & more).select("key", place.alias("place"), probe.alias("probe")).join(near, "place", "left_anti")
-    asked = open_members.select("place").distinct()
-    # Letter counts of the lines in question only.
     keyed = members.join(open_members.select("key").distinct(), "key", "left_semi").select("key", place.alias("place"), probe.alias("probe"))
-    counted = lines.join(keyed.select("place").union(asked).distinct(), "place", "left_semi").select(
-        "place", F.length("line").alias("n"), letter_counts(F.col("line")).alias("counts")
-    )
+    counted = texts.select("place", F.length("line").alias("n"), letter_counts(F.col("line")).alias("counts"))
     left = open_members.join(counted, "place").alias("l")
     right = keyed.join(counted, "place").alias("r")
     apart = sum((F.abs(F.col("l.counts")[k] - F.col("r.counts")[k]) for k in range(len(LETTERS))), F.lit(0))
@@ -192,23 +198,17 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> t
         & (F.abs(F.col("l.n") - F.col("r.n")) <= edits) & (apart <= 2 * edits),
     )
     pairs = met.select(F.col("l.place").alias("place"), F.col("r.place").alias("earlier")).distinct()
-    return rows.select("place", "line"), near.union(_near(pairs, lines, edits)).distinct()
+    return again.union(near).union(_near(pairs, texts, edits)).distinct()
 
 
 def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and the counts ``_lines`` and ``_gone`` of its lines.
 
-    The other columns are unchanged, but for ``_lines`` and ``_gone``, which are replaced; a null text stays null. All rows are returned. Lines that stay keep their
-    order. Rows that repeat a doc_id are taken as one document: their n-th lines share a place, so neither goes
-    because of the other.
+    The other columns are unchanged, but for ``_lines`` and ``_gone``, which are replaced; a null text stays null.
+    All rows are returned. Lines that stay keep their order. Rows that repeat a doc_id are taken as one document:
+    their n-th lines share a place, so equal ones do not remove each other.
     """
-    rows, near = repeated_lines(docs, edits, least)
-    first = F.min("place").alias("first")
-    # Equal lines: by a 128-bit hash, so that texts are not shuffled again.
-    hashed = rows.select("place", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
-    again = hashed.join(hashed.groupBy("h", "g").agg(first), ["h", "g"]).select("place", "first")
-    # A line goes if it is not the first of its kind, or if the first of its kind has a near line before it.
-    gone = again.join(near.withColumnRenamed("place", "first").withColumn("near", F.lit(True)), "first", "left").where("place > first or near")
+    gone = repeated_lines(docs, edits, least)
     number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))
     kept_columns = [c for c in docs.columns if c not in ("_lines", "_gone")]
     key, cut_column = fresh(docs, "_d", "_cut")
