@@ -106,44 +106,53 @@ def merge_words(word: Column, table: Ranks) -> Column:
     concatenation, or a number above all ranks. The leftmost pair of lowest rank is merged first. An empty word
     has no ids.
     """
-    def big(value: int) -> Column:
-        return F.lit(value).cast("bigint")
+    # Every literal stands once in the plan.
+    def with_tables(slots: Column, shifts: Column, first: Column, x: Column) -> Column:
+        def big(value: int) -> Column:
+            return F.lit(value).cast("bigint")
 
-    top = big(1 << BITS)
+        top = big(1 << BITS)
 
-    def number(left: Column, right: Column) -> Column:
-        return left * big(SPREAD << BITS) + right * big(SPREAD)
+        def number(left: Column, right: Column) -> Column:
+            return left * big(SPREAD << BITS) + right * big(SPREAD)
 
-    def rank(h: Column) -> Column:
-        shift = F.get(table.shifts, F.shiftright(h, 34).bitwiseAND(big(GROUPS - 1)).cast("int"))
-        return F.get(table.slots, (F.shiftright(h, 16) + shift).bitwiseAND(big(table.size - 1)).cast("int")).bitwiseXOR(h)
+        def rank(h: Column) -> Column:
+            shift = F.get(shifts, F.shiftright(h, 34).bitwiseAND(big(GROUPS - 1)).cast("int"))
+            return F.get(slots, (F.shiftright(h, 16) + shift).bitwiseAND(big(table.size - 1)).cast("int")).bitwiseXOR(h)
 
-    def start(p: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: number(F.get(p, i - 1), F.get(p, i)))
-        return F.struct(p.alias("p"), F.transform(pairs, rank).alias("r"))
+        def start(p: Column) -> Column:
+            pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: number(F.get(p, i - 1), F.get(p, i)))
+            return F.struct(p.alias("p"), F.transform(pairs, rank).alias("r"))
 
-    def merged(state: Column, at: Column, low: Column) -> Column:
-        p, r = state["p"], state["r"]
-        beside = F.transform(F.array(number(F.get(p, at - 2), low), number(low, F.get(p, at + 1))), rank)
-        return F.struct(
-            F.concat(F.slice(p, 1, at - 1), F.array(low), F.slice(p, at + 2, F.lit(1 << 30))).alias("p"),
-            F.concat(F.slice(r, 1, at - 2), beside, F.slice(r, at + 2, F.lit(1 << 30))).alias("r"),
-        )
+        def merged(state: Column, at: Column, low: Column) -> Column:
+            p, r = state["p"], state["r"]
+            beside = F.transform(F.array(number(F.get(p, at - 2), low), number(low, F.get(p, at + 1))), rank)
+            return F.struct(
+                F.concat(F.slice(p, 1, at - 1), F.array(low), F.slice(p, at + 2, F.lit(1 << 30))).alias("p"),
+                F.concat(F.slice(r, 1, at - 2), beside, F.slice(r, at + 2, F.lit(1 << 30))).alias("r"),
+            )
 
-    def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state["r"]), lambda low: F.when(low >= top, state).otherwise(
-            _let(F.array_position(state["r"], low).cast("int"), lambda at: merged(state, at, low))
-        ))
+        def step(state: Column, _: Column) -> Column:
+            return _let(F.array_min(state["r"]), lambda low: F.when(low >= top, state).otherwise(
+                _let(F.array_position(state["r"], low).cast("int"), lambda at: merged(state, at, low))
+            ))
 
-    def fold(raw: Column) -> Column:
-        mark = F.array(big(table.mark))
-        pieces = F.concat(mark, F.transform(F.split(raw, ""), lambda c: F.get(table.first, F.ascii(c))), mark)
-        rounds = F.sequence(F.lit(1), F.length(raw))
-        return _let(pieces, lambda x: F.aggregate(rounds, start(x), step, lambda state: F.slice(state["p"], 2, F.size(state["p"]) - 2)))
+        def fold(raw: Column) -> Column:
+            mark = F.array(big(table.mark))
+            pieces = F.concat(mark, F.transform(F.split(raw, ""), lambda c: F.get(first, F.ascii(c))), mark)
+            rounds = F.sequence(F.lit(1), F.length(raw))
+            return _let(pieces, lambda x: F.aggregate(rounds, start(x), step, lambda state: F.slice(state["p"], 2, F.size(state["p"]) - 2)))
+
+        return fold(x)
 
     # One character per byte.
     raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    return _let(raw, lambda x: F.when(F.length(x) == 0, F.array().cast("array<int>")).otherwise(fold(x).cast("array<int>")))
+
+    def with_raw(x: Column) -> Column:
+        ids = _let(table.slots, lambda a: _let(table.shifts, lambda b: _let(table.first, lambda c: with_tables(a, b, c, x))))
+        return F.when(F.length(x) == 0, F.array().cast("array<int>")).otherwise(ids.cast("array<int>"))
+
+    return _let(raw, with_raw)
 
 
 def frequent_words(docs: DataFrame, pattern: str, cache_words: int, sample_docs: int) -> DataFrame:
@@ -183,7 +192,7 @@ def _is_text(piece: bytes) -> bool:
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False, keep: list[str] | None = None,
-    cache_words: int = 400_000, sample_docs: int = 40_000,
+    cache_words: int = 300_000, sample_docs: int = 40_000,
 ) -> DataFrame:
     """The columns ``keep`` (all but text) of ``docs`` with ``ids`` (little-endian unsigned 32-bit numbers as binary).
 
