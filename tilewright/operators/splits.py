@@ -3,38 +3,47 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Sequence
 from itertools import accumulate, combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.hashing import hash_unit
 from ..schema import SUBSETS
 from ..session import cut_lineage
 from .rank import HASH_BUCKETS, bucketed_rank, shuffled_rank
 
 
+# Ranges of the key that are ranked apart.
+RANGES = 256
+
+
 def subset_sizes(lengths: Sequence[float], total: int) -> list[int]:
-    """Whole subset sizes.
+    """Rows per subset, none of them zero.
 
-    Fractions are floored and the remainder is dealt one by one from the first subset on; whole
-    lengths must add up to the total. No subset may be empty.
+    Whole numbers are taken as they are and have to make up the total. Fractions of 1 give the whole part of
+    their share; rows that are left over go to the subsets by turns, in order.
     """
-    if math.isclose(sum(lengths), 1) and sum(lengths) <= 1:
-        if not all(0 < part < 1 for part in lengths):
-            raise ValueError("fractions must lie strictly between 0 and 1")
-        floors = [math.floor(total * part) for part in lengths]
-        rounds, extra = divmod(total - sum(floors), len(floors))
-        lengths = [size + rounds + (i < extra) for i, size in enumerate(floors)]
-        if 0 in lengths:
-            raise ValueError(f"{total} rows are too few for {len(lengths)} subsets")
-    if sum(lengths) != total:
-        raise ValueError(f"lengths add up to {sum(lengths)}, but there are {total} rows")
-    return [int(size) for size in lengths]
+    if all(float(x).is_integer() for x in lengths):
+        sizes = [int(x) for x in lengths]
+        if min(sizes) < 0 or sum(sizes) != total:
+            raise ValueError(f"{sizes} do not make up {total} rows")
+        return sizes
+    if not math.isclose(sum(lengths), 1) or sum(lengths) > 1 or min(lengths) <= 0:
+        raise ValueError(f"{list(lengths)} are not fractions of 1")
+    whole = [int(total * x) for x in lengths]
+    left = total - sum(whole)
+    sizes = [w + len(range(k, left, len(whole))) for k, w in enumerate(whole)]
+    if min(sizes) == 0:
+        raise ValueError(f"{total} rows are too few for {len(sizes)} subsets")
+    return sizes
+
+
+def subset_names(count: int, names: Sequence[str]) -> list[str]:
+    """``count`` names: the given ones, then ``subset_3`` and so on."""
+    return [names[k] if k < len(names) else f"subset_{k}" for k in range(count)]
 
 
 def _subset_of(rank: Column, sizes: Sequence[int], names: Sequence[str]) -> Column:
@@ -44,21 +53,14 @@ def _subset_of(rank: Column, sizes: Sequence[int], names: Sequence[str]) -> Colu
     return subset
 
 
-def _position_in_subset(rank: Column, sizes: Sequence[int]) -> Column:
-    starts = [0, *accumulate(sizes)][: len(sizes)]
-    position = rank - starts[-1]
-    for start, nxt in reversed(list(zip(starts, starts[1:]))):
-        position = F.when(rank < nxt, rank - start).otherwise(position)
-    return position
-
-
 def random_split(
     images: DataFrame, lengths: Sequence[float], seed=0, key: str = "image", names: Sequence[str] = SUBSETS
 ) -> DataFrame:
     """Cut a seeded random order into subsets of exact sizes. Only the row count reaches the driver."""
     ids = images.select(key).distinct()
     sizes = subset_sizes(lengths, ids.count())
-    return shuffled_rank(ids, key, seed).select(key, _subset_of(F.col("rank"), sizes, names).alias("subset"))
+    subset = _subset_of(F.col("rank"), sizes, subset_names(len(sizes), names))
+    return shuffled_rank(ids, key, seed).select(key, subset.alias("subset"))
 
 
 def assign_batches(
@@ -69,10 +71,11 @@ def assign_batches(
     if shuffle:
         ranked = shuffled_rank(ids, key, seed)
     else:
-        # Ranges of the key's own extent are ranked apart; batches are the same however it is cut.
-        low, high = ids.agg(F.min(key), F.max(key)).first()
-        step = max(1, -(-((high or 0) - (low or 0) + 1) // HASH_BUCKETS))
-        spread = ids.withColumn("_bucket", F.floor((F.col(key) - F.lit(low)) / step).cast("int"))
+        # Ranges of like counts are ranked apart; batches are the same however the keys are cut.
+        shares = [k / RANGES for k in range(1, RANGES)]
+        cuts = ids.agg(F.percentile_approx(key, shares, 50 * RANGES).alias("cuts")).first().cuts or []
+        limits = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<bigint>")
+        spread = ids.withColumn("_bucket", F.size(F.filter(limits, lambda c: c <= F.col(key))))
         ranked = bucketed_rank(spread, "_bucket", [key]).drop("_bucket")
     batched = ranked.withColumn("batch", F.floor(F.col("rank") / size).cast("bigint"))
     if drop_last:
@@ -117,7 +120,7 @@ def full_class_support(counts: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def js_distances(histogram: DataFrame) -> DataFrame:
-    """Jensen-Shannon distance of each pair of subsets, logarithm to the number of classes."""
+    """Jensen-Shannon distance of each pair of subsets, logarithm to the number of classes (2 at least)."""
     # One row per class with the shares of the few subsets, unfolded to subset pairs.
     side = lambda name: F.explode("s").alias(name)
     pairs = (
@@ -130,8 +133,9 @@ def js_distances(histogram: DataFrame) -> DataFrame:
     )
     m = (F.col("p") + F.col("q")) / 2
     part = lambda v: F.when(F.col(v) > 0, F.col(v) * F.log(F.col(v) / m)).otherwise(0.0)
+    base = F.log(F.greatest(F.count("*"), F.lit(2)).cast("double"))
     return pairs.groupBy("this", "that").agg(
-        F.sqrt(F.greatest(F.sum(part("p") + part("q")), F.lit(0.0)) / (2 * F.log(F.count("*").cast("double")))).alias("distance")
+        F.sqrt(F.greatest(F.sum(part("p") + part("q")), F.lit(0.0)) / (2 * base)).alias("distance")
     )
 
 
@@ -142,6 +146,45 @@ def reduce_distance(distances: DataFrame, how: str = "avg") -> DataFrame:
     return distances.agg(reducers[how]("distance").alias("distance"))
 
 
+def _random_cuts(ids: DataFrame, numbers: list[int], sizes: Sequence[int], seed) -> DataFrame:
+    """``trial, cuts``: per random order of the images, where each subset but the first begins, as (hash, image).
+
+    Counts per range of the hash tell the range of each cut; only rows of those ranges are ranked.
+    """
+    trial = F.explode(F.array(*[F.lit(k) for k in numbers])).alias("trial")
+    drawn = ids.select("image", trial).withColumn("u", hash_unit(seed, F.col("trial"), F.col("image")))
+    drawn = drawn.withColumn("slot", F.floor(F.col("u") * HASH_BUCKETS).cast("int"))
+    counts = drawn.groupBy("trial", "slot").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("trial").orderBy("slot")) - F.col("n")
+    ends = [F.lit(e) for e in list(accumulate(sizes))[:-1]]
+    wanted = counts.withColumn("before", before).select("trial", "slot", "before", F.filter(
+        F.array(*ends), lambda e: (e >= F.col("before")) & (e < F.col("before") + F.col("n"))
+    ).alias("ends")).where(F.size("ends") > 0)
+    # One row per trial and cut at most.
+    near = drawn.join(F.broadcast(wanted), ["trial", "slot"])
+    place = F.row_number().over(W.partitionBy("trial", "slot").orderBy("u", "image")) - 1 + F.col("before")
+    cut = near.withColumn("place", place).where(F.array_contains("ends", F.col("place")))
+    return cut.groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("u", "image"))).alias("cuts"))
+
+
+def _spread(hists: list[Column]) -> Column:
+    """Mean Jensen-Shannon distance of all pairs of class sums."""
+    shares = []
+    for h in hists:
+        total = F.aggregate(h, F.lit(0.0), lambda s, x: s + x)
+        shares.append(F.transform(F.array(F.struct(h.alias("h"), total.alias("t"))), lambda r: F.transform(r["h"], lambda x: x / r["t"]))[0])
+    base = 2 * F.log(F.greatest(F.size(hists[0]), F.lit(2)).cast("double"))
+
+    def part(x: Column, y: Column) -> Column:
+        return F.when(x > 0, x * F.log(2 * x / (x + y))).otherwise(0.0)
+
+    distances = [
+        F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x)), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)) / base)
+        for p, q in combinations(shares, 2)
+    ]
+    return sum(distances, F.lit(0.0)) / max(len(distances), 1)
+
+
 def stratified_split(
     counts: DataFrame,
     lengths: Sequence[float],
@@ -149,22 +192,27 @@ def stratified_split(
     swaps: int = 1000,
     seed=0,
     names: Sequence[str] = SUBSETS,
+    per_round: int = 50,
+    max_starts: int | None = None,
 ) -> DataFrame:
     """A split whose subsets have similar class distributions, as ``image, subset``.
 
-    1. All random starts are ranked at once, and one aggregate gives class sums per trial and subset
-       together with a random sample of its images, enough for ``swaps`` draws.
-    2. Starts without full class support are out. A task per trial then climbs: draw two images of
-       two subsets, swap if support stays full and the mean Jensen-Shannon distance falls. It needs
-       the class sums and the sample only, both of fixed size.
-    3. The moves of the best trial, at most three samples long, are applied to its start.
+    1. Random starts are cut from seeded orders, and those with all classes in every subset are kept, until there
+       are ``trials``. It raises if ``max_starts`` starts (20 per trial, 200 at least) do not hold so many.
+    2. In rounds, every trial draws ``per_round`` images of each subset, from all of them, pairs the draws of each
+       two subsets and scores the exchanges by class sums alone. Of those that keep all classes, the one with the
+       least mean Jensen-Shannon distance is made if that falls. Rounds go on until every trial has scored
+       ``swaps`` exchanges that keep all classes, or for four times as many rounds as that takes if all do.
+    3. The trial with the least distance is returned.
 
-    Sizes and support are kept and the distance never rises. Steps 1 and 2 run when this is called;
-    it raises if no start has support.
+    Per round only the best exchange and class sums of each trial reach the driver. Sizes and support are kept
+    and the distance never rises. The search runs when this is called.
     """
-    # A mask pixel is one byte, so there are at most 255 classes.
+    spark = counts.sparkSession
     known = counts.where("class_id is not null and n > 0")
-    classes = sorted(r["class_id"] for r in known.select("class_id").distinct().collect())
+    classes = sorted(r["class_id"] for r in known.select("class_id").distinct().limit(257).collect())
+    if len(classes) > 256:
+        raise ValueError("a class is one byte; there are more than 256")
     vector = F.array(
         *[F.coalesce(F.sum(F.when(F.col("class_id") == c, F.col("n"))), F.lit(0)).cast("double") for c in classes]
     )
@@ -172,89 +220,71 @@ def stratified_split(
     images = cut_lineage(counts.groupBy("image").agg(vector.alias("vector")))
     ids = images.select("image")
     sizes = subset_sizes(lengths, ids.count())
-    order = list(names[: len(sizes)])
-
-    def start(rows: DataFrame) -> DataFrame:
-        ranked = shuffled_rank(rows, "image", seed, ["trial"])
-        return ranked.withColumns(
-            {"subset": _subset_of(F.col("rank"), sizes, names), "position": _position_in_subset(F.col("rank"), sizes)}
-        )
-
-    drawn = start(images.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))))
-    # Ranks are random, so the first ones of each subset are a random sample of it.
-    sampled = F.when(F.col("position") < swaps, F.struct("image", "vector"))
-    summary = drawn.groupBy("trial", "subset").agg(
-        F.array(*[F.sum(F.col("vector")[i]) for i in range(len(classes))]).alias("total"),
-        F.collect_list(sampled).alias("sample"),
-    )
-    image_type = ids.schema["image"].dataType.simpleString()
-
-    def climb(group: pd.DataFrame) -> pd.DataFrame:
-        return _climb(group, order, swaps, seed)
-
-    # Climbing costs far more than its bytes suggest, so each trial keeps a task of its own.
-    found = summary.repartition(trials, "trial").groupBy("trial").applyInPandas(
-        climb, f"trial int, distance double, moves array<struct<image: {image_type}, subset: string>>"
-    )
-    best = found.where("distance is not null").orderBy("distance", "trial").first()
-    if best is None:
-        raise RuntimeError(f"no random start out of {trials} has full class support")
-    moves = counts.sparkSession.createDataFrame(
-        [(m["image"], m["subset"]) for m in best["moves"]], f"image {image_type}, moved_to string"
-    )
-    chosen = start(ids.withColumn("trial", F.lit(best["trial"]).cast("int")))
-    return chosen.join(F.broadcast(moves), "image", "left").select(
-        "image", F.coalesce("moved_to", "subset").alias("subset")
-    )
-
-
-def _mean_js(hists: np.ndarray) -> float:
-    shares = hists / hists.sum(axis=1, keepdims=True)
-    distances = []
-    for a, b in combinations(range(len(shares)), 2):
-        p, q = shares[a], shares[b]
-        m = (p + q) / 2
-        parts = sum(np.sum(v[v > 0] * np.log(v[v > 0] / m[v > 0])) for v in (p, q))
-        distances.append(math.sqrt(max(parts, 0.0) / (2 * math.log(max(len(p), 2)))))
-    return float(np.mean(distances)) if distances else 0.0
-
-
-def _climb(group: pd.DataFrame, order: list[str], swaps: int, seed) -> pd.DataFrame:
-    """Hill climb of one trial on its class sums and its samples; distance NULL without support."""
-    trial, group = int(group["trial"].iloc[0]), group.set_index("subset")
-    hists = np.array([group.at[name, "total"] for name in order], dtype=float)
-    if not (hists > 0).all():
-        return pd.DataFrame({"trial": [trial], "distance": [None], "moves": [[]]})
-    images, vectors, home = [], [], []
-    for k, name in enumerate(order):
-        # Fixed order: the draws must not depend on how rows arrive.
-        for row in sorted(group.at[name, "sample"], key=lambda r: r["image"]):
-            images.append(row["image"])
-            vectors.append(row["vector"])
-            home.append(k)
-    vectors, home = np.array(vectors, dtype=float), np.array(home)
-    members = [list(np.flatnonzero(home == k)) for k in range(len(order))]
-    rng = np.random.default_rng([zlib.crc32(str(seed).encode()), trial])
-    pairs = list(combinations(range(len(order)), 2))
-    current, previous = _mean_js(hists), None
-    for attempt in range(swaps if pairs else 0):
-        stalled = previous is not None and math.isclose(current, previous, rel_tol=1e-6)
-        if stalled or math.isclose(current, 0, abs_tol=1e-12):
-            break
-        a, b = pairs[attempt % len(pairs)]
-        i, j = rng.integers(len(members[a])), rng.integers(len(members[b]))
-        change = vectors[members[b][j]] - vectors[members[a][i]]
-        proposed = hists.copy()
-        proposed[a] += change
-        proposed[b] -= change
-        if not (proposed[[a, b]] > 0).all():
-            continue
-        distance = _mean_js(proposed)
-        if distance < current:
-            previous, current, hists = current, distance, proposed
-            members[a][i], members[b][j] = members[b][j], members[a][i]
-    moves = [
-        {"image": images[i], "subset": name}
-        for k, (name, rows) in enumerate(zip(order, members)) for i in rows if home[i] != k
-    ]
-    return pd.DataFrame({"trial": [trial], "distance": [current], "moves": [moves]})
+    order = subset_names(len(sizes), names)
+    kind = ids.schema["image"].dataType.simpleString()
+    cut_type = f"array<struct<u: double, image: {kind}>>"
+    state_type = f"trial int, cuts {cut_type}, sums array<array<double>>, moved array<struct<image: {kind}, subset: int>>"
+
+    def placed(state: DataFrame) -> DataFrame:
+        """``trial, image, vector, sums, subset`` of every image in every trial of ``state``."""
+        numbers = [r["trial"] for r in state.select("trial").collect()]
+        rows = images.select("image", "vector", F.explode(F.array(*[F.lit(k) for k in numbers])).alias("trial"))
+        # At most a row per trial.
+        rows = rows.join(F.broadcast(state), "trial")
+        own = F.struct(hash_unit(seed, F.col("trial"), F.col("image")).alias("u"), F.col("image").alias("image"))
+        begun = F.transform(F.array(own), lambda x: F.size(F.filter("cuts", lambda c: c <= x)))[0]
+        moved = F.filter("moved", lambda m: m["image"] == F.col("image"))
+        subset = F.when(F.size(moved) > 0, F.element_at(moved, -1)["subset"]).otherwise(begun)
+        return rows.select("trial", "image", "vector", "sums", subset.alias("subset"))
+
+    found: list[tuple] = []
+    first, max_starts = 0, max_starts or max(20 * trials, 200)
+    while len(found) < trials:
+        if first >= max_starts:
+            raise RuntimeError(f"{len(found)} of {first} random starts have full class support, not {trials}")
+        numbers = list(range(first, min(first + max(trials, 100), max_starts)))
+        first = numbers[-1] + 1
+        cuts = _random_cuts(ids, numbers, sizes, seed) if len(sizes) > 1 else spark.createDataFrame([(k, []) for k in numbers], f"trial int, cuts {cut_type}")
+        start = spark.createDataFrame([(r["trial"], r["cuts"], [], []) for r in cuts.collect()], state_type)
+        sums = placed(start).groupBy("trial", "subset").agg(F.array(*[F.sum(F.col("vector")[i]) for i in range(len(classes))]).alias("sums"))
+        total: dict[int, dict[int, list[float]]] = {}
+        for r in sums.collect():
+            total.setdefault(r["trial"], {})[r["subset"]] = r["sums"]
+        for r in sorted(start.collect()):
+            own = [total[r["trial"]].get(k, []) for k in range(len(sizes))]
+            if all(own) and min(map(min, own)) > 0 and len(found) < trials:
+                found.append((r["trial"], r["cuts"], own, []))
+
+    pairs = list(combinations(range(len(sizes)), 2))
+    scored, rounds = dict.fromkeys((t[0] for t in found), 0), 0
+    most = 4 * -(-swaps // max(per_round * len(pairs), 1))
+    # Distances of the starts, then of what each round leaves.
+    begun = spark.createDataFrame(found, state_type)
+    distance = {r["trial"]: r["d"] for r in begun.select("trial", _spread([F.col("sums")[k] for k in range(len(sizes))]).alias("d")).collect()}
+    while pairs and rounds < most and min(scored.values()) < swaps:
+        order_of = F.xxhash64(F.lit(str(seed)), F.lit(rounds), "trial", "image")
+        drawn = placed(spark.createDataFrame(found, state_type)).withColumn("at", F.row_number().over(W.partitionBy("trial", "subset").orderBy(order_of, "image")))
+        drawn = drawn.where(F.col("at") <= per_round).select("trial", "at", "subset", "image", "vector", "sums")
+        give = drawn.select("trial", "at", F.col("subset").alias("a"), F.col("image").alias("i"), F.col("vector").alias("v"), "sums")
+        take = drawn.select("trial", "at", F.col("subset").alias("b"), F.col("image").alias("j"), F.col("vector").alias("w"))
+        change = F.zip_with("w", "v", lambda w, v: w - v)
+        swapped = [
+            F.when(F.col("a") == k, F.zip_with(F.col("sums")[k], change, lambda s, c: s + c))
+            .when(F.col("b") == k, F.zip_with(F.col("sums")[k], change, lambda s, c: s - c)).otherwise(F.col("sums")[k])
+            for k in range(len(sizes))
+        ]
+        tried = give.join(take, ["trial", "at"]).where("a < b").select("trial", "a", "b", "i", "j", F.array(*swapped).alias("sums"))
+        tried = tried.where(F.forall("sums", lambda h: F.forall(h, lambda x: x > 0)))
+        tried = tried.withColumn("d", _spread([F.col("sums")[k] for k in range(len(sizes))]))
+        best = tried.groupBy("trial").agg(F.count("*").alias("n"), F.min_by(F.struct("d", "a", "b", "i", "j", "sums"), F.struct("d", "i", "j")).alias("x"))
+        made = {r["trial"]: r for r in best.collect()}
+        for k, (trial, cuts, sums, moved) in enumerate(found):
+            if (r := made.get(trial)) is not None:
+                scored[trial] += r["n"]
+                if r["x"]["d"] < distance[trial]:
+                    distance[trial] = r["x"]["d"]
+                    found[k] = (trial, cuts, r["x"]["sums"], [*moved, (r["x"]["i"], r["x"]["b"]), (r["x"]["j"], r["x"]["a"])])
+        rounds += 1
+    least = min(found, key=lambda t: (distance[t[0]], t[0]))
+    chosen = placed(spark.createDataFrame([least], state_type))
+    return chosen.select("image", F.element_at(F.array(*[F.lit(n) for n in order]), F.col("subset") + 1).alias("subset"))

@@ -171,7 +171,7 @@ def split_support(inputs):
 
 @query("stratified_split")
 def stratified_split_query(inputs):
-    return stratified_split(_counts(inputs), [0.7, 0.15, 0.15], trials=20, swaps=300)
+    return stratified_split(_counts(inputs), [0.7, 0.15, 0.15])
 
 
 @query(
