@@ -151,14 +151,14 @@ def test_histograms_and_distance(spark):
     counts = golden.counts(spark)
     splits = random_split(counts, [0.5, 0.3, 0.2], seed=4)
     subset = {r["image"]: r["subset"] for r in splits.collect()}
-    sums = {s: [0] * 7 for s in ("training", "validation", "test")}
+    sums = {s: [0] * len(golden.PIXELS) for s in ("training", "validation", "test")}
     for c, values in golden.PIXELS.items():
         for image, n in zip(golden.IMAGES, values):
             sums[subset[image]][c - 1] += n
     local = {(r["subset"], r["class_id"]): r["share"] for r in subset_histogram(counts, splits).collect()}
     overall = {(r["subset"], r["class_id"]): r["share"] for r in subset_histogram(counts, splits, "global").collect()}
     for s, row in sums.items():
-        for c in range(7):
+        for c in range(len(golden.PIXELS)):
             assert local[(s, c + 1)] == pytest.approx(row[c] / sum(row))
             assert overall[(s, c + 1)] == pytest.approx(row[c] / sum(golden.PIXELS[c + 1]))
     support = {r["subset"]: r["full_support"] for r in full_class_support(counts, splits).collect()}
