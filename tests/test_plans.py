@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators.chips import background_filter
-from tilewright.operators.joins import join_small
 from tilewright.operators.neighbors import radius_join
 from tilewright.operators.points import crop_points, grid_idw
 from tilewright.operators.raster import fill_voids, resample_bilinear, resample_nearest, slope
@@ -58,18 +57,6 @@ def test_crop_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters" in plan and "LessThanOrEqual(xi,5)" in plan
 
 
-def test_join_small_falls_back_to_a_shuffle(spark):
-    big, small = spark.range(100), spark.range(50).withColumn("w", F.lit(1))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in plan_of(join_small(big, small, "id"))
-        wide = join_small(big, small, "id", max_rows=10)
-        assert "SortMergeJoin" in plan_of(wide) and wide.count() == 50
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
-@pytest.fixture()
 def skewed(spark):
     """Settings under which a few thousand rows count as skew."""
     values = {

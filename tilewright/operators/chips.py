@@ -12,7 +12,6 @@ from ..functions.hashing import hash_unit
 from ..functions.naming import chip_id
 from ..schema import BLOCK_SIZE
 from .grid import on_tile
-from .joins import join_small
 from .rank import bucketed_rank
 
 
@@ -90,7 +89,7 @@ def limit_chips(chips: DataFrame, limit: int, order: Sequence[str] = ("tile_id",
 def cells_of_chips(cells: DataFrame, chips: DataFrame, size: int = BLOCK_SIZE) -> DataFrame:
     """The cells of chosen chips only."""
     keyed = _with_blocks(cells, size)
-    return join_small(keyed, chips.select("tile_id", "brow", "bcol", "chip_id"), ["tile_id", "brow", "bcol"])
+    return keyed.join(chips.select("tile_id", "brow", "bcol", "chip_id"), ["tile_id", "brow", "bcol"])
 
 
 def augment_dihedral(cells: DataFrame, image: str, size: int, seed) -> DataFrame:

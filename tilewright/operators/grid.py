@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_SIZE
-from .joins import join_small
 
 
 def with_shape(grids: DataFrame) -> DataFrame:
@@ -16,8 +15,8 @@ def with_shape(grids: DataFrame) -> DataFrame:
 
 
 def on_tile(df: DataFrame, per_tile: DataFrame) -> DataFrame:
-    """Attach one-row-per-tile facts, without a shuffle while the tile list is small."""
-    return join_small(df, per_tile, "tile_id")
+    """Attach one-row-per-tile facts; adaptive execution picks the join by their size."""
+    return df.join(per_tile, "tile_id")
 
 
 def center_x(col: Column) -> Column:

@@ -5,22 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A table is broadcast only after at most this many rows were counted in it.
-BROADCAST_ROWS = 200_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Equi-join with a derived table that is expected to be small (per-tile or per-class facts).
-
-    The table is evaluated once, up to ``max_rows`` rows. If it fits, those rows are broadcast and
-    ``big`` is not shuffled; if not, it is an ordinary shuffle join, which adaptive execution splits
-    where a key is hot.
-    """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return big.join(small, on, how)
-    return big.join(F.broadcast(small.sparkSession.createDataFrame(rows, small.schema)), on, how)
-
 
 def scalar_struct(one_row: DataFrame) -> Column:
     """The single row of a global aggregate as a scalar subquery, to be read by field name."""

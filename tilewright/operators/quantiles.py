@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .joins import join_small
 
 SLICES = 1024
 ACCURACY = 1000
@@ -56,7 +55,7 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float], by: S
     )
     key = [*by, "q"]
     asked = values.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in fractions])))
-    sliced = join_small(asked, brackets, key).withColumn("slot", slot)
+    sliced = asked.join(brackets, key).withColumn("slot", slot)
     before = W.partitionBy(*key).orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     slots = (
         sliced.groupBy(*key, "slot")
@@ -65,7 +64,7 @@ def exact_quantiles(df: DataFrame, value: str, fractions: Sequence[float], by: S
         .where((F.col("skip") <= F.ceil("at")) & (F.col("skip") + F.col("n") > F.floor("at")))
         .select(*key, "slot", "skip")
     )
-    picked = join_small(sliced, slots, [*key, "slot"])
+    picked = sliced.join(slots, [*key, "slot"])
     upto = W.partitionBy(*key, "slot").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     ranked = (
         picked.groupBy(*key, "slot", "v")

@@ -12,7 +12,6 @@ from ..functions.numeric import clip
 from ..schema import BLOCK_SIZE, CELL_KEY
 from ..session import cut_lineage
 from .grid import halo_blocks, on_tile
-from .joins import join_small
 from .quantiles import exact_quantiles
 
 
@@ -203,7 +202,7 @@ def preserve_total(resampled: DataFrame, original: DataFrame, value: str) -> Dat
     before = original.groupBy("tile_id").agg(F.sum(value).alias("_before"))
     after = resampled.groupBy("tile_id").agg(F.sum(value).alias("_after"))
     factor = before.join(after, "tile_id").select("tile_id", (F.col("_before") / F.nullif("_after", F.lit(0))).alias("_f"))
-    return join_small(resampled, factor, "tile_id").withColumn(value, F.col(value) * F.col("_f")).drop("_f")
+    return resampled.join(factor, "tile_id").withColumn(value, F.col(value) * F.col("_f")).drop("_f")
 
 
 def percentile_clip(
@@ -215,7 +214,7 @@ def percentile_clip(
     wide = limits.groupBy(*by).agg(pick(low).alias("low"), pick(high).alias("high"))
     pair = F.struct("low", "high").alias("_limits")
     if by:
-        rows = join_small(cells, wide.select(*by, pair), list(by))
+        rows = cells.join(wide.select(*by, pair), list(by))
     else:
         rows = cells.withColumn("_limits", wide.select(pair).scalar())
     bounds = [F.col(f"_limits.{c}") if q is not None else None for c, q in (("low", low), ("high", high))]
