@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +221,24 @@ def test_require_stacks(spark):
     assert require_stacks(tiles, tiles).count() == 2
     with pytest.raises(Exception, match="no raster stack for tile b"):
         require_stacks(tiles, tiles.where("tile_id = 'a'")).collect()
+
+
+def test_losses_of_scores_that_lie_far_apart(spark):
+    """A softmax that underflows is the worst prediction, not the best."""
+    rows = [(0, 1, [800.0, 0.0, 0.0]), (0, 1, [0.0, 1.0, 0.0]), (0, 2, [0.0, 0.0, 2.0])]
+    scored = spark.createDataFrame(rows, "image int, truth int, scores array<double>")
+
+    def logp(s):
+        return np.array(s) - max(s) - math.log(sum(math.exp(v - max(s)) for v in s))
+
+    own = [-logp(s)[t] for _, t, s in rows]
+    assert cross_entropy(scored).first().loss == pytest.approx(np.mean(own))
+    focal = [(1 - math.exp(-x)) ** 2 * x for x in own]
+    assert region_loss(scored, "focalloss").first().loss == pytest.approx(sum(focal) / 9)
+    inner = [-logp(s[1:])[t - 1] for _, t, s in rows]
+    focal = [(1 - math.exp(-x)) ** 2 * x for x in inner]
+    assert region_loss(scored, "focalloss", include_background=False).first().loss == pytest.approx(sum(focal) / 6)
+    probs = spark.createDataFrame([(0, 1, [1.0, 0.0]), (0, 1, [0.5, 0.5])], "image int, truth int, probs array<double>")
+    assert cross_entropy(probs).first().loss == math.inf
+    assert region_loss(probs, "focalloss").first().loss == math.inf
+    assert math.isfinite(region_loss(probs, "diceloss").first().loss)

@@ -12,8 +12,23 @@ SMOOTH, TVERSKY_FP, TVERSKY_FN, GAMMA = 1e-5, 0.5, 0.5, 2.0
 LOSSES = ["crossentropyloss", "diceloss", "generalizeddiceloss", "focalloss", "tverskyloss"]
 
 
-def _true_prob() -> Column:
-    return F.col("probs")[F.col("truth")]
+def log_softmax(scores: Column) -> Column:
+    """Log-probabilities of class scores by log-sum-exp, finite however far the scores lie apart."""
+    top = F.transform(F.array(F.array_max(scores)), lambda m: F.transform(scores, lambda v: v - m))[0]
+    return F.transform(F.array(top), lambda d: F.transform(d, lambda v: v - F.log(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + F.exp(x)))))[0]
+
+
+def _ln(p: Column) -> Column:
+    """Logarithm with minus infinity at 0, where the built-in one gives NULL and a sum would pass over the pixel."""
+    return F.when(p > 0, F.log(p)).when(p == 0, F.lit(float("-inf")))
+
+
+def _logs(scored: DataFrame) -> DataFrame:
+    """``scored`` with ``logp``: from ``scores`` where the table has them, else from ``probs``, which it makes up if absent."""
+    if "scores" in scored.columns:
+        rows = scored.withColumn("logp", log_softmax(F.col("scores")))
+        return rows if "probs" in scored.columns else rows.withColumn("probs", F.transform("logp", F.exp))
+    return scored.withColumn("logp", F.transform("probs", _ln))
 
 
 def cross_entropy(
@@ -25,20 +40,21 @@ def cross_entropy(
 ) -> DataFrame:
     """Weighted cross entropy with label smoothing, as one row ``loss``.
 
-    Pixels of class 0 are skipped without ``include_background``. The mean divides by the summed
-    weights of the true classes.
+    Takes class ``scores`` where the table has them (finite for any scores), else ``probs``: a true class of
+    probability 0 then makes the loss infinite. Pixels of class 0 are skipped without ``include_background``.
+    The mean divides by the summed weights of the true classes.
     """
-    rows = scored if include_background else scored.where("truth <> 0")
-    count = F.size("probs")
+    rows = _logs(scored if include_background else scored.where("truth <> 0"))
+    count = F.size("logp")
+    own = -F.col("logp")[F.col("truth")]
     if weights is None:
-        weight, spread = F.lit(1.0), F.aggregate("probs", F.lit(0.0), lambda acc, p: acc - F.log(p))
+        weight, spread = F.lit(1.0), F.aggregate("logp", F.lit(0.0), lambda acc, p: acc - p)
     else:
         table = F.array(*[F.lit(float(w)) for w in weights])
         weight = table[F.col("truth")]
-        spread = F.aggregate(
-            F.zip_with("probs", table, lambda p, w: w * F.log(p)), F.lit(0.0), lambda acc, t: acc - t
-        )
-    pixel = weight * -F.log(_true_prob())
+        term = F.zip_with("logp", table, lambda p, w: F.when(w == 0, 0.0).otherwise(-w * p))
+        spread = F.aggregate(term, F.lit(0.0), lambda acc, t: acc + t)
+    pixel = F.when(weight == 0, 0.0).otherwise(weight * own)
     if smoothing:
         pixel = pixel * (1.0 - smoothing) + spread * smoothing / count
     total = F.sum("pixel")
@@ -51,6 +67,7 @@ def cross_entropy(
 
 def _overlaps(scored: DataFrame, include_background: bool) -> DataFrame:
     """``image, class_id, tp, p, y``: soft overlap, soft size and true size, summed before the shuffle."""
+    scored = scored if "probs" in scored.columns else _logs(scored)
     rows = scored.select("image", "truth", F.posexplode("probs").alias("class_id", "prob"))
     if not include_background:
         rows = rows.where("class_id > 0")
@@ -98,9 +115,16 @@ def _focal(scored: DataFrame, include_background: bool, reduction: str) -> DataF
     """Focal loss over the class axis. Without background the other classes are renormalised; such
     pixels then add nothing but still count in the mean, which is over pixels and classes (the sum
     is over images and classes of the mean per image)."""
-    count = F.size("probs") if include_background else F.size("probs") - 1
-    prob = _true_prob() if include_background else _true_prob() / (1.0 - F.col("probs")[0])
-    pixel = F.pow(1.0 - prob, F.lit(GAMMA)) * -F.log(prob)
+    scored = _logs(scored)
+    count = F.size("logp") if include_background else F.size("logp") - 1
+    logp = F.col("logp")[F.col("truth")]
+    if not include_background:
+        # The others' total by log-sum-exp over their own largest; all zero gives minus infinity.
+        rest = F.slice("logp", 2, F.greatest(F.size("logp") - 1, F.lit(0)))
+        top = F.array_max(rest)
+        summed = F.aggregate(rest, F.lit(0.0), lambda acc, p: acc + F.exp(p - top))
+        logp = F.when(logp == float("-inf"), logp).otherwise(logp - top - F.log(summed))
+    pixel = F.pow(1.0 - F.exp(logp), F.lit(GAMMA)) * -logp
     if not include_background:
         pixel = F.when(F.col("truth") > 0, pixel).otherwise(0.0)
     rows = scored.select("image", pixel.alias("pixel"), count.alias("classes"))
