@@ -159,4 +159,4 @@ def test_sample_tiles(spark):
     first = sorted((r["draw"], r["tile_id"]) for r in found.collect())[:3]
     assert sorted((r["draw"], r["tile_id"]) for r in quota) == first
     with pytest.raises(RuntimeError):
-        sample_tiles(seeds, tiles, chips_of, 10_000, 5.0, draws=4, rounds=2, radius=15.0)
+        sample_tiles(seeds, tiles, chips_of, 10_000, 5.0, draws=4, radius=15.0)

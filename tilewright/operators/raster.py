@@ -20,15 +20,18 @@ def _block_window(line: str, order: str):
 
 
 def slope(
-    cells: DataFrame, value: str, res: float, degrees: bool = True, block: int = BLOCK_SIZE, keep: Sequence[str] = ()
+    cells: DataFrame, value: str, res: float | str, degrees: bool = True, block: int = BLOCK_SIZE, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Steepness of a surface: central differences inside, one-sided at the raster's edge.
 
-    NULL where the cell or a neighbour it needs is NULL, or an axis is one cell wide. Blocks carry
+    ``res`` is a number, or the name of a column with the resolution of each tile. NULL where the cell or a
+    neighbour it needs is NULL, or an axis is one cell wide. Blocks carry
     a one-cell border, so both directions cost one shuffle together. Columns in ``keep`` come along,
     which saves joining the slope back.
     """
-    blocks = halo_blocks(cells.select(*dict.fromkeys([*CELL_KEY, value, *keep])), 1, block)
+    own = [res] if isinstance(res, str) else []
+    blocks = halo_blocks(cells.select(*dict.fromkeys([*CELL_KEY, value, *own, *keep])), 1, block)
+    size = F.col(res) if own else F.lit(res)
 
     def gradient(line: str, order: str) -> Column:
         window = _block_window(line, order)
@@ -37,9 +40,9 @@ def slope(
         has_next = F.lead(order).over(window) == here + 1
         prev, nxt = F.lag(value).over(window), F.lead(value).over(window)
         return (
-            F.when(has_prev & has_next, (nxt - prev) / (2 * res))
-            .when(has_next, (nxt - v) / res)
-            .when(has_prev, (v - prev) / res)
+            F.when(has_prev & has_next, (nxt - prev) / (size * 2))
+            .when(has_next, (nxt - v) / size)
+            .when(has_prev, (v - prev) / size)
         )
 
     steps = blocks.withColumn("_gy", gradient("col_no", "row_no")).withColumn("_gx", gradient("row_no", "col_no"))

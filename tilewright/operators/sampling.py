@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_normal_pair, hash_unit
 from ..schema import MAX_TILE_AREA
+from ..session import cut_lineage
 from .catalog import exclude_seen
 from .rank import count_scalar, running_total, shuffled_rank
 from .surfaces import filter_tile_area, tiles_containing
@@ -65,19 +66,28 @@ def fill_quota(candidates: DataFrame, chips: DataFrame, size: int, chunk: int =
 
 def sample_tiles(
     seeds: DataFrame, tiles: DataFrame, chips_of: Callable[[DataFrame], DataFrame], size: int, width: float,
-    draws: int = 1000, rounds: int = 10, radius: float = RADIUS, seed=0, max_area: float = MAX_TILE_AREA,
+    draws: int = 1000, radius: float = RADIUS, seed=0, max_area: float = MAX_TILE_AREA, idle: int = 5,
 ) -> DataFrame:
-    """Draw tiles until they give ``size`` chips, many draws per round.
+    """Draw tiles until they give ``size`` chips: ``tile_id, draw, take``.
 
-    ``chips_of`` turns candidate tiles into ``tile_id, n``. Draws double until the quota is met; a
-    round re-reads no tile list on the driver, only one count. Raises if the rounds do not suffice.
+    ``chips_of`` turns candidate tiles into ``tile_id, n``. Each round goes on from the last draw with twice as many
+    draws, leaves out tiles that were met before, and asks only for the chips still missing. It raises when all
+    usable tiles were met, or when ``idle`` rounds on end met no new one.
     """
-    nothing = tiles.select("tile_id").limit(0)
-    for attempt in range(rounds):
-        n = draws * 2**attempt
-        candidates = candidate_tiles(seeds, tiles, nothing, n, width, radius, seed, max_area)
-        sample = fill_quota(candidates, chips_of(candidates), size)
-        got = sample.agg(F.coalesce(F.sum("take"), F.lit(0)).alias("n")).first()["n"]
-        if got >= size:
-            return sample
-    raise RuntimeError(f"{n} draws gave {got} of {size} chips")
+    usable = filter_tile_area(tiles, max_area)
+    total = usable.count()
+    seen, parts, start, n, got, quiet = tiles.select("tile_id").limit(0), [], 0, draws, 0, 0
+    while got < size:
+        candidates = cut_lineage(candidate_tiles(seeds, tiles, seen, n, width, radius, seed, max_area, start))
+        part = cut_lineage(fill_quota(candidates, chips_of(candidates), size - got))
+        parts.append(part)
+        got += part.agg(F.coalesce(F.sum("take"), F.lit(0)).alias("n")).first()["n"]
+        seen = seen.union(candidates.select("tile_id"))
+        quiet = quiet + 1 if candidates.isEmpty() else 0
+        start, n = start + n, 2 * n
+        if got < size and (seen.count() >= total or quiet >= idle):
+            raise RuntimeError(f"{start} draws gave {got} of {size} chips")
+    sample = tiles.select("tile_id", F.lit(0).cast("bigint").alias("draw"), F.lit(0).cast("bigint").alias("take")).limit(0)
+    for part in parts:
+        sample = sample.union(part)
+    return sample

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import area, clipped_area, edges, point_in_edges, ring_bounds
 from ..schema import CELL_KEY, MAX_TILE_AREA
 from .grid import center_x, center_y, empty_cells, on_tile, with_shape
-from .joins import binned_join, explode_box, put_in_bin
+from .joins import bin_of, binned_join, explode_box, put_in_bin
 
 
 def with_ring_bounds(surfaces: DataFrame) -> DataFrame:
@@ -45,14 +45,18 @@ def flag_invalid_rings(surfaces: DataFrame, mode: str = "keep") -> DataFrame:
     raise ValueError(f"unknown mode: {mode}")
 
 
-def dissolve(surfaces: DataFrame, by: Sequence[str], order: str, carry: Sequence[str]) -> DataFrame:
+def dissolve(surfaces: DataFrame, by: Sequence[str] | None, order: str, carry: Sequence[str]) -> DataFrame:
     """Group rings into features: each ring keeps its row, and takes the other columns' values from
-    its group (the first one known, by ``order``).
+    its group (the first one known, by ``order``). Without ``by`` the whole table is one feature.
 
     Features stay lists of rings in long form. All uses ask whether a centre lies in any part, so
     no boundary has to be merged, and no group is ever collected.
     """
     known = lambda c: F.when(F.col(c).isNotNull(), F.col(order))
+    if not by:
+        values = [F.min_by(c, known(c)).alias(c) for c in carry]
+        one = surfaces.agg(*values).select(F.struct(*carry).alias("s")).scalar() if carry else F.lit(None)
+        return surfaces.withColumn("_all", one).select(*[c for c in surfaces.columns if c not in carry], *[F.col("_all")[c].alias(c) for c in carry])
     first = surfaces.groupBy(*by).agg(*[F.min_by(c, known(c)).alias(c) for c in carry])
     return surfaces.drop(*carry).join(first, list(by))
 
@@ -207,10 +211,14 @@ def match_sheets(surfaces: DataFrame, sheets: DataFrame, width: float) -> DataFr
     )
     part = clipped_area(c("l.ring"), c("r.xmin"), c("r.ymin"), c("r.xmax"), c("r.ymax"))
     overlap = touches & F.when(within, area(c("l.ring")) > 0).otherwise(part > 0)
-    hits = binned_join(left, right, overlap).select(c("l.tile_id"), c("r.kind"), c("r.tid"), c("r.url")).distinct()
-    return hits.groupBy("tile_id", "kind").agg(
-        F.array_sort(F.collect_set("tid")).alias("tid"), F.array_sort(F.collect_set("url")).alias("url")
-    )
+    # A pair shares several bins; it is decided in that of the lower left corner of both boxes' overlap only.
+    corner = (c("r.bx") == F.greatest(bin_of(c("l.xmin"), width), bin_of(c("r.xmin"), width))) & (
+        c("r.by") == F.greatest(bin_of(c("l.ymin"), width), bin_of(c("r.ymin"), width))
+    )
+    hits = binned_join(left, right, corner & overlap).select(c("l.tile_id"), c("r.kind"), c("r.tid"), c("r.url"))
+    # The two arrays are sorted together, so that a url stands where its id stands.
+    pairs = hits.groupBy("tile_id", "kind").agg(F.array_sort(F.collect_set(F.struct("tid", "url"))).alias("s"))
+    return pairs.select("tile_id", "kind", F.col("s.tid").alias("tid"), F.col("s.url").alias("url"))
 
 
 def asset_manifests(matches: DataFrame) -> DataFrame:

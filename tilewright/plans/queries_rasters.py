@@ -16,7 +16,7 @@ from ..operators.raster import (
     fill_voids, mosaic, percentile_clip, preserve_total, replace_null, resample_bilinear, resample_nearest, slope,
     snap_bounds, stack_bands,
 )
-from ..operators.sampling import candidate_tiles, fill_quota, seeded_locations
+from ..operators.sampling import sample_tiles, seeded_locations
 from ..operators.scoring import blend_windows, majority_of_zones, score_windows, tile_windows, zonal_majority
 from ..operators.stats import band_ranges, minmax_scale
 from ..operators.surfaces import (
@@ -473,9 +473,8 @@ def sample_tiles_query(inputs):
     surfaces = roofs(inputs).select(F.col("surface_id").alias("tile_id"), "ring", "h50")
     seeds = _seeds(inputs).select("seed_id", F.lit(50.0).alias("x"), F.col("seed_id").cast("double").alias("y"))
     n = inputs("events").count()
-    found = candidate_tiles(seeds, surfaces, surfaces.where("h50 < 0"), n, 8.0, 40.0, 5, 90.5)
     chips = surfaces.select("tile_id", F.floor("h50").alias("n"))
-    return fill_quota(found, chips, 300)
+    return sample_tiles(seeds, surfaces.where("h50 >= 0"), lambda tiles: chips, 300, 8.0, n, 40.0, 5, 90.5)
 
 
 def _terms(terms, u, v):

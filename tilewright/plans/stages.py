@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.naming import sanitize_name
 from ..functions.numeric import db_to_linear
 from ..operators.chips import background_filter, cells_of_chips, chip_blocks, thin_chips
-from ..operators.grid import with_shape
+from ..operators.grid import on_tile, with_shape
 from ..operators.labels import class_counts, class_mapping, drop_invalid_class, reindex_class_table, reindex_classes, restrict_to_split
 from ..operators.points import crop_to_grids, dedupe_points, grid_idw, point_density
 from ..operators.raster import (
@@ -71,8 +71,6 @@ def parse_points(
     reflectance come from one pass over the points; with ``fill`` their voids are filled.
     """
     coarse = grids.withColumn("res", F.col("res") * coarser)
-    # One resolution serves all tiles of a run; it is a property of the image product.
-    res = coarse.select("res").first()["res"]
     gridded = grid_idw(points, coarse, ["z", "reflectance"])
     if fill:
         # Read once per band and filling pass, so it is stored once in the shared folder.
@@ -83,7 +81,7 @@ def parse_points(
     return {
         "reflectance": reflectance,
         "elevation": elevation,
-        "slope": slope(elevation, "z", res),
+        "slope": slope(on_tile(elevation, coarse.select("tile_id", "res")), "z", "res"),
         "ndrm": height_above_roof(elevation, surfaces, coarse),
         "density": point_density(points, grids.withColumn("res", F.lit(1.0))),
     }
