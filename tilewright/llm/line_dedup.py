@@ -24,7 +24,7 @@ EDITS, LEAST = 2, 20
 BROADCAST = 1_000_000
 # A place is doc_id * LINES + line number; both are checked to fit.
 LINES = 1 << 22
-LETTERS = "etaoinsrhlu ."
+LETTERS = "etaoinsrhludcwmgpbfyv .|,0123456789"
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -65,6 +65,9 @@ def keys(lines: DataFrame, edits: int) -> DataFrame:
         start, size = _segment(n, i, edits)
         found.append(F.struct(F.xxhash64(F.lit(i), n, F.substring("line", start, size)).alias("key"), (F.col("place") * 2).alias("member")))
     for delta, i, shift in selection(edits):
+        if delta == shift == 0:
+            # The line's own segment, which is there already: segments meet segments, too.
+            continue
         start, size = _segment(n - delta, i, edits)
         at = start + shift
         key = F.xxhash64(F.lit(i), n - delta, F.substring("line", at, size))
@@ -175,17 +178,18 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
         F.min(F.when(probe, own)).alias("p_low"), F.max(F.when(probe, own)).alias("p_high"),
     )
     # A key that only one line has, as its segment and its probe, links nothing.
-    shared = sums.where("i_low is not null and p_low is not null and not (i_low = p_high and i_high = p_low)")
+    shared = sums.where("i_low is not null and least(i_low, p_low) < greatest(i_high, p_high)")
     members = written(found.join(shared.hint("shuffle_hash"), "key").select("key", "member", "i_low", "i_high", "p_low", "p_high"), "line-keys")
-    pivot = F.when(probe, F.col("i_low")).otherwise(F.col("p_low"))
+    # Segments meet segments and probes, probes meet segments.
+    pivot = F.when(probe, F.col("i_low")).otherwise(F.least("i_low", "p_low"))
     place = F.shiftright(own, 1)
     asked = _small(written(members.select(place.alias("place")).distinct(), "asked-lines"), BROADCAST)
     texts = written(lines.join(asked, "place", "left_semi"), "candidate-lines")
     first = members.select(place.alias("place"), F.shiftright(pivot, 1).alias("earlier")).where("earlier < place").distinct()
     near = written(_near(first, texts, edits), "near-lines")
 
-    # What is left of groups with more than the pivot: compared with every earlier line of the other role.
-    more = F.when(probe, F.col("i_high") > F.col("i_low")).otherwise(F.col("p_high") > F.col("p_low"))
+    # What is left of groups with more than the pivot: compared with every earlier line that it may meet.
+    more = F.when(probe, F.col("i_high") > pivot).otherwise(F.greatest("i_high", "p_high") > pivot)
     open_members = members.where((pivot < own) & more).select("key", place.alias("place"), probe.alias("probe")).join(near, "place", "left_anti")
     keyed = members.join(open_members.select("key").distinct(), "key", "left_semi").select("key", place.alias("place"), probe.alias("probe"))
     counted = texts.select("place", F.length("line").alias("n"), letter_counts(F.col("line")).alias("counts"))
@@ -194,7 +198,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     apart = sum((F.abs(F.col("l.counts")[k] - F.col("r.counts")[k]) for k in range(len(LETTERS))), F.lit(0))
     met = left.join(
         right,
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.probe") != F.col("r.probe")) & (F.col("r.place") < F.col("l.place"))
+        (F.col("l.key") == F.col("r.key")) & ~(F.col("l.probe") & F.col("r.probe")) & (F.col("r.place") < F.col("l.place"))
         & (F.abs(F.col("l.n") - F.col("r.n")) <= edits) & (apart <= 2 * edits),
     )
     pairs = met.select(F.col("l.place").alias("place"), F.col("r.place").alias("earlier")).distinct()
