@@ -272,6 +272,45 @@ def test_op9(spark):
     assert got == want
 
 
+def similar_roots(texts, least=0.8):
+    """Smallest position reachable over all pairs with a Jaccard similarity of five-word shingles of ``least`` or more."""
+    sets = []
+    for text in texts:
+        found = text.encode().lower().split()
+        sets.append({b" ".join(found[k:k + 5]) for k in range(max(len(found) - 4, 1))} if found else set())
+    label = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            common = len(sets[a] & sets[b])
+            union = len(sets[a]) + len(sets[b]) - common
+            if label[a] != label[b] and (not union or 5 * common >= 4 * union):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def test_similar_documents_against_all_pairs(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (6, 20, 60, 300):
+        for _ in range(4):
+            base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            for _ in range(8):
+                copy = list(base)
+                # Each edited word changes up to five shingles.
+                for _ in range(rng.randint(0, max(1, n // 25))):
+                    copy[rng.randrange(n)] = f"w{rng.randrange(5000)}"
+                texts.append(" ".join(copy))
+    texts += ["", " \n", "one", "One", "one two three four", "one two three"]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = similar_roots(texts)
+    assert {r.doc_id: r.component_id for r in near_dedup.similar_documents(docs).collect()} == dict(enumerate(want))
+    assert sorted(r.doc_id for r in near_dedup.keep_first(docs).collect()) == [k for k, x in enumerate(want) if k == x]
+    # Most of these are out of reach of a radius of 4 bits.
+    assert len(set(roots([fingerprint(t, 5) for t in texts], 4))) > len(set(want))
+
+
 @pytest.mark.parametrize("m", [1, 2, 3, 4, 5])
 @pytest.mark.parametrize("pairs", [near_dedup.PAIRS, 50])
 def test_links_for_any_partitioning(spark, monkeypatch, m, pairs):
