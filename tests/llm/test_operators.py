@@ -160,6 +160,13 @@ def test_line_dedup_against_all_pairs(spark, edits):
         assert got[d] == want
 
 
+def test_short_equal_lines_go(spark, folder, rows_of):
+    docs = [(1, "Page 1\n\nRead more\na"), (2, "Read more\n\n \na\nRead mora"), (3, "Page 1\nPage 2\n \n")]
+    got = {r["doc_id"]: (r["n_removed"], r["kept_chars"]) for r in rows_of("op3_line_dedup", folder(documents=docs))}
+    kept = {1: docs[0][1], 2: "\n \nRead mora", 3: "Page 2\n \n"}
+    assert got == {k: (n, len(kept[k])) for k, n in ((1, 0), (2, 2), (3, 1))}
+
+
 def test_warc_parts(spark, tmp_path):
     pages = spark.createDataFrame(
         [(1, "http://a/b?c", "<p>é\r\n\r\nWARC/1.1</p>"), (2, "http://a/d", "<p>é\r\n\r\nWARC/1.1</p>"), (3, None, None), (4, "http://a/e", None)],

@@ -1,7 +1,8 @@
 """Line de-duplication by a segment-partition edit join, in DataFrame functions only.
 
 A line goes if an earlier line of the corpus (by doc_id, then line number) is equal or within ``edits`` edits.
-Lines of fewer than ``least`` characters are left alone: so short, a few edits do not show a copy.
+Lines of fewer than ``least`` characters are not compared by edits: so short, a few edits do not show a copy. Equal
+lines that are not blank are copies from ``equal_least`` characters on.
 
 Lines of length l are split into ``edits + 1`` segments. A line within ``edits`` edits holds one of them unchanged,
 shifted by a bounded number of places, so each line probes the segments of lines of its own and the next shorter
@@ -158,17 +159,18 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, equal_least: int = LEAST) -> DataFrame:
     """``place`` of all lines that go; a line is judged by what stands before it, not by what stays.
 
     Texts are not shuffled: equal lines meet by a 128-bit hash, and only the texts of candidates are gathered.
     """
-    rows = split_lines(docs).where(F.length("line") >= least)
+    long = F.length("line") >= least
+    rows = split_lines(docs).where(long | ((F.length("line") >= equal_least) & F.col("line").rlike(r"\S")))
     hashed = rows.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
     equal = hashed.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
     equal = _small(written(equal.drop("last"), "equal-lines"), BROADCAST)
     again = hashed.select("h", "g", "place").join(equal, ["h", "g"]).where("place > first").select("place")
-    lines = hashed.join(equal, ["h", "g"], "left").where("first is null or place = first").select("place", "line")
+    lines = hashed.join(equal, ["h", "g"], "left").where(long & F.expr("first is null or place = first")).select("place", "line")
 
     found = keys(lines, edits).repartition("key")
     probe = F.col("member") % 2 != 0
@@ -205,14 +207,14 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> D
     return again.union(near).union(_near(pairs, texts, edits)).distinct()
 
 
-def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, equal_least: int | None = None) -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and the counts ``_lines`` and ``_gone`` of its lines.
 
     The other columns are unchanged, but for ``_lines`` and ``_gone``, which are replaced; a null text stays null.
     All rows are returned. Lines that stay keep their order. Rows that repeat a doc_id are taken as one document:
     their n-th lines share a place, so equal ones do not remove each other.
     """
-    gone = repeated_lines(docs, edits, least)
+    gone = repeated_lines(docs, edits, least, least if equal_least is None else equal_least)
     number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))
     kept_columns = [c for c in docs.columns if c not in ("_lines", "_gone")]
     key, cut_column = fresh(docs, "_d", "_cut")

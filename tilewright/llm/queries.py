@@ -166,7 +166,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every document without lines that come again, edited or not."""
-    rows = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), equal_least=1)
     return rows.select(
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"),
         F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
