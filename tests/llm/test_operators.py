@@ -102,6 +102,23 @@ def test_repeated_runs_without_article(spark):
     assert got[0].n_repeated == 10
 
 
+def test_copied_pages_without_article(spark):
+    notice = "please read these ten words that all pages repeat here"
+
+    def own(k):
+        return " ".join(f"word{k}x{j}" for j in range(12))
+
+    pages = [(k, "http://h.example/x", f"<div>{notice}</div><p>{own(k // 3)}</p>") for k in range(6)]
+    # Articles whose other text is the same on every page, and a copy of one of them.
+    pages += [(10 + k, "http://a.example/", f"<article><p>{own(k // 2)}</p></article><div>{notice}</div>") for k in range(4)]
+    # Copies only: nothing shows that a part is boilerplate.
+    pages += [(20 + k, "http://c.example/", f"<p>{own(9)}</p>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert all(got[k] == own(k // 3) for k in range(6))
+    assert all(got[10 + k] == own(k // 2) for k in range(4))
+    assert all(got[20 + k] == own(9) for k in range(3))
+
+
 def edit_distance(a, b):
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

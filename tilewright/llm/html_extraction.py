@@ -152,7 +152,8 @@ def repeated_runs(streams: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """``host, stream, starts`` of ``streams(host, stream, tokens, pages)``: where windows of ``min_run`` tokens begin
     that also stand in another page of the host.
 
-    A stream that several pages have is covered by itself. Streams with no repeated window are left out.
+    ``pages`` is the number of distinct pages with a stream, at least up to 2: a stream that pages of other articles
+    have, too, is covered by itself, one of whole-page copies only is not. Streams with no repeated window are left out.
     """
     suffixes = streams.select("host", "stream", "pages", F.posexplode(name_suffixes(F.col("tokens"), min_run)).alias("at", "name"))
     # Only the smallest and largest stream of a name are kept, so partial sums absorb hot names.
@@ -166,12 +167,16 @@ def extract(pages: DataFrame, min_run: int = MIN_RUN, covered: float = COVERED)
     """``page_id, url, text, n_chars, n_removed, n_repeated`` per row of ``pages(page_id, url, html)``.
 
     ``n_removed`` counts the blocks left out, ``n_repeated`` the tokens outside articles that repeated runs cover. Null or empty html gives an empty text; a null or broken url
-    belongs to the host without a name. Repeated rows count as distinct pages and are all returned.
+    belongs to the host without a name. Repeated rows count as one page and are all returned.
     """
     parsed = parse(pages)
     words = F.filter(F.split(F.array_join(F.transform(F.filter("blocks", lambda b: ~b["article"]), lambda b: b["text"]), " "), " "), lambda w: w != "")
     with_stream = parsed.withColumn("tokens", words).withColumn("stream", F.xxhash64("host", F.array_join("tokens", " ")))
-    streams = with_stream.where(F.size("tokens") > 0).groupBy("host", "stream").agg(F.first("tokens").alias("tokens"), F.count("*").alias("pages"))
+    # Copies of a whole page are one page: they do not make each other boilerplate.
+    with_page = with_stream.withColumn("page", F.xxhash64(F.transform("blocks", lambda b: F.struct(b["text"], b["article"]))))
+    streams = with_page.where(F.size("tokens") > 0).groupBy("host", "stream").agg(
+        F.first("tokens").alias("tokens"), F.when(F.min("page") < F.max("page"), 2).otherwise(1).alias("pages")
+    )
     runs = written(repeated_runs(streams, min_run), "repeated-runs")
     # Distinct streams with repeats are few; beyond the bound it is a shuffle join.
     size = runs.agg(F.coalesce(F.sum(F.size("starts") + 10), F.lit(0)).alias("n")).first().n
