@@ -385,6 +385,23 @@ def test_hmm_counts_against_plain_recursion():
     assert total[2].sum() == pytest.approx(sum(map(len, sequences)), rel=1e-4)
 
 
+def test_hmm_learns_from_long_texts_only(spark):
+    rng = np.random.default_rng(3)
+    totals = np.zeros(lm_scoring.SYMBOLS)
+    sequences = []
+    for _ in range(6):
+        # Two kinds of stretches with words of their own.
+        parts = [rng.integers(1, 20, 40) + 20 * (k % 2) for k in range(80)]
+        sequences.append(np.concatenate([*parts, [0]]).astype("<u2"))
+        totals += np.bincount(sequences[-1], minlength=lm_scoring.SYMBOLS)
+    rows = [(k, len(x), x.tobytes()) for k, x in enumerate(sequences)]
+    encoded = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, ids binary")
+    model = lm_scoring.baum_welch(encoded, totals, 2)
+    start = lm_scoring.first_guess(totals, 2, 3)
+    gain = lm_scoring.log_likelihoods(sequences, model) - lm_scoring.log_likelihoods(sequences, start)
+    assert (gain > 0.1 * 3201).all()
+
+
 def test_op10(spark):
     texts = documents(spark)
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}

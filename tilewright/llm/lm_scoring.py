@@ -6,7 +6,7 @@ words discounted (Good-Turing) in favour of one unknown word per symbol. So the
 table of bounded size, and the counts of rare words, which grow with the corpus, meet the texts in one join whose
 keys cannot be hot: all frequent words have left it.
 
-Training: Baum-Welch. A sample of bounded size gives the start; then every round runs over all training texts,
+Training: Baum-Welch. A sample of bounded size gives the start; then rounds over all training texts until they settle,
 expected counts are summed per partition and then by Spark, and the driver divides them. In training a text is
 taken in pieces of ``SEGMENT`` tokens, later pieces starting from the stationary mix; scoring never cuts a text.
 """
@@ -31,6 +31,8 @@ FREQUENT, SUFFIXES = 32_000, 1_024
 OFTEN = 5
 SYMBOLS = 1 + FREQUENT + SUFFIXES
 SEGMENT = 256
+# Tokens of a text that the start sees, and the rounds over all texts.
+START_TOKENS, MOST_ROUNDS, GAIN = 2_000, 100, 1e-3
 _WORDS_HELD = 400_000
 _CELLS = 200_000
 
@@ -183,9 +185,10 @@ def segments(sequences: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarr
         yield block, lengths, np.array([a == 0 for _, _, a in rows])
 
 
-def expected_counts(sequences: list[np.ndarray], model: Hmm, total: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
-    """One expectation step: adds to ``total`` = (starts, transitions, emissions)."""
+def expected_counts(sequences: list[np.ndarray], model: Hmm, total: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
+    """One expectation step: adds to ``total`` = (starts, transitions, emissions). Returns the log-likelihood of the pieces."""
     starts, moves, emitted = total
+    likelihood = 0.0
     states, later = len(model.start), model.stationary
     for block, lengths, first in segments(sequences):
         steps, width = block.shape
@@ -199,7 +202,9 @@ def expected_counts(sequences: list[np.ndarray], model: Hmm, total: tuple[np.nda
             if t:
                 now = forward[t - 1, :n] @ step
             now = now[:n] * shares[block[t, :n]]
-            forward[t, :n] = now / np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
+            scale = np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
+            likelihood += float(np.log(scale).sum(dtype=np.float64))
+            forward[t, :n] = now / scale
         back = np.ones((width, states), np.float32)
         gamma = forward
         for t in range(steps - 1, -1, -1):
@@ -220,6 +225,7 @@ def expected_counts(sequences: list[np.ndarray], model: Hmm, total: tuple[np.nda
         symbols, values = block[inside], gamma[inside]
         for s in range(states):
             emitted[:, s] += np.bincount(symbols, weights=values[:, s], minlength=len(emitted))
+    return likelihood
 
 
 def maximise(total: tuple[np.ndarray, np.ndarray, np.ndarray], totals: np.ndarray) -> Hmm:
@@ -239,36 +245,46 @@ def _zeros(states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def baum_welch(encoded: DataFrame, totals: np.ndarray, states: int = 8, rounds: int = 3, sample_texts: int = 1500, sample_rounds: int = 15, seed: int = 3) -> Hmm:
     """Fits on all of ``encoded(doc_id, n_tokens, ids)``.
 
-    The start is fitted on at most ``sample_texts`` texts of at most 2000 tokens, chosen by a hash of the id;
-    then ``rounds`` rounds sum expected counts over every text. What comes to the driver has ``SYMBOLS`` rows.
+    The start is fitted on at most ``sample_texts`` texts of any length, of each the first ``START_TOKENS``, chosen by
+    a hash of the id. Then at least ``rounds`` rounds sum expected counts over every text, until a round gains less
+    than ``GAIN`` of log-likelihood (natural) a token; without that after ``MOST_ROUNDS`` it raises. What comes to the
+    driver has ``SYMBOLS`` rows.
     """
     model = first_guess(totals, states, seed)
-    chosen = encoded.where("n_tokens <= 2000").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_texts).select("ids").toArrow()
+    short = encoded.select("doc_id", F.substring("ids", 1, 2 * START_TOKENS).alias("ids"))
+    chosen = short.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample_texts).select("ids").toArrow()
     sequences = [np.frombuffer(x, "<u2") for x in chosen.column(0).to_pylist()]
-    for _ in range(sample_rounds if sequences else 0):
+    if not sequences:
+        return model
+    for _ in range(sample_rounds):
         total = _zeros(states)
         expected_counts(sequences, model, total)
         model = maximise(total, totals)
     names = [f"c{s}" for s in range(states)]
     schema = "place bigint, " + ", ".join(f"{n} double" for n in names)
     context = encoded.sparkSession.sparkContext
-    for _ in range(rounds if sequences else 0):
+    tokens, last = totals.sum(), -np.inf
+    for done in range(1, MOST_ROUNDS + 1):
         held = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            total = _zeros(states)
+            total, likelihood = _zeros(states), 0.0
             for batch in batches:
                 for k in range(0, batch.num_rows, 1000):
-                    expected_counts([np.frombuffer(x, "<u2") for x in batch.column(0).slice(k, 1000).to_pylist()], held.value, total)
-            every = np.concatenate([total[2], total[1], total[0][None, :]])
+                    likelihood += expected_counts([np.frombuffer(x, "<u2") for x in batch.column(0).slice(k, 1000).to_pylist()], held.value, total)
+            every = np.concatenate([total[2], total[1], total[0][None, :], np.full((1, states), likelihood)])
             at = np.flatnonzero(every.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(every[at, s]) for s in range(states)]], names=["place", *names])
 
         summed = encoded.select("ids").mapInArrow(run, schema).groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-        every = np.zeros((SYMBOLS + states + 1, states))
+        every = np.zeros((SYMBOLS + states + 2, states))
         every[summed.column(0).to_numpy()] = np.stack([summed.column(1 + s).to_numpy() for s in range(states)], axis=1)
-        model = maximise((every[-1], every[SYMBOLS:SYMBOLS + states], every[:SYMBOLS]), totals)
-    return model
+        model = maximise((every[-2], every[SYMBOLS:SYMBOLS + states], every[:SYMBOLS]), totals)
+        now = every[-1, 0] / tokens
+        if done >= rounds and now - last < GAIN:
+            return model
+        last = now
+    raise RuntimeError("training did not settle")
 
 
 def log_likelihoods(sequences: list[np.ndarray], model: Hmm) -> np.ndarray:
