@@ -57,6 +57,7 @@ def test_crop_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters" in plan and "LessThanOrEqual(xi,5)" in plan
 
 
+@pytest.fixture()
 def skewed(spark):
     """Settings under which a few thousand rows count as skew."""
     values = {
