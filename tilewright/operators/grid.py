@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK_SIZE
+from .joins import checked_broadcast
 
 
 def with_shape(grids: DataFrame) -> DataFrame:
@@ -15,8 +16,12 @@ def with_shape(grids: DataFrame) -> DataFrame:
 
 
 def on_tile(df: DataFrame, per_tile: DataFrame) -> DataFrame:
-    """Attach one-row-per-tile facts; adaptive execution picks the join by their size."""
-    return df.join(per_tile, "tile_id")
+    """Attach one-row-per-tile facts.
+
+    Tiles are skewed keys, so ``df`` should not be shuffled by them: the facts are sent to every task after a check of
+    their bytes (see ``checked_broadcast``). Facts beyond that bound join as adaptive execution finds best.
+    """
+    return df.join(checked_broadcast(per_tile), "tile_id")
 
 
 def center_x(col: Column) -> Column:

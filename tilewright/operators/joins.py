@@ -4,6 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
+
+# A table is sent to every task only if it was found to be no larger than this.
+BROADCAST_BYTES = 16 << 20
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Rows times the width of plain columns, plus the bytes of texts. One aggregate runs; no row reaches the driver."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    nested = [f.name for f in df.schema if isinstance(f.dataType, (ArrayType, MapType, StructType))]
+    size = F.lit(16 * len(df.columns))
+    for name in texts:
+        size = size + F.coalesce(F.octet_length(name), F.lit(0))
+    for name in nested:
+        size = size + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
+    return df.agg(F.sum(size.cast("bigint")).alias("bytes")).first().bytes or 0
+
+
+def checked_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, with the hint to send it to every task if it measures at most ``limit`` bytes when this is called.
+
+    A larger table comes back without a hint, and adaptive execution picks the join by the sizes it meets.
+    """
+    return F.broadcast(df) if measured_bytes(df) <= limit else df
 
 
 def scalar_struct(one_row: DataFrame) -> Column:
