@@ -12,6 +12,13 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
+# Words are cut at these bytes: blank, tab, line feed, vertical tab, form feed, carriage return.
+SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACES)] = True
+# Texts are worked on together up to about so many bytes; a longer text by itself.
+SLICE_BYTES = 2_000_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,6 +58,39 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(UTF-8 bytes, offsets) of a string column of a record batch without nulls."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, number of the first word of each text and of the end) of texts that lie in one buffer."""
+    base = int(offsets[0])
+    data = data[base:int(offsets[-1])]
+    solid = ~_IS_SPACE[data]
+    border = np.zeros(len(data) + 1, bool)
+    border[offsets - base] = True
+    before = np.concatenate([[False], solid[:-1]])
+    starts = np.flatnonzero(solid & (~before | border[:-1]))
+    after = np.concatenate([solid[1:], [False]])
+    stops = np.flatnonzero(solid & (~after | border[1:])) + 1
+    places = np.concatenate([[0], np.cumsum(stops - starts)]).astype(np.int64)
+    packed = np.ascontiguousarray(data[solid])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(packed)])
+    return words, np.searchsorted(starts, offsets - base)
+
+
+def text_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``SLICE_BYTES`` together."""
+    start = 0
+    while start < len(offsets) - 1:
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1)
+        yield start, stop
+        start = stop
+
+
 def map_batches(df: DataFrame, fill: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Row-wise Arrow mapper: ``fill`` turns a batch into columns, given by name, of ``schema``."""
     names = [f.split()[0] for f in schema.split(",")]

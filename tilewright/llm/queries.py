@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, fingerprints, html_extraction, labelled, line_dedup, lm_scoring, near_dedup, quality, toxicity, warc
+from . import (
+    bpe, decontamination, fingerprints, html_extraction, labelled, line_dedup, lm_scoring, near_dedup, periodic_runs, quality, token_records, toxicity, warc,
+)
 from .common import new_folder, read, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +173,31 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_removed"),
         F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op11_token_records")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as records in order of doc_id and read back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    cuts = fingerprints.range_starts(docs, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = new_folder(spark, "token-records")
+    rows = token_records.encode(docs, public_tokenizers.path("word_bpe_49k.json"), 1, cuts)
+    token_records.write_records(rows, path, len(cuts))
+    found = token_records.read_records(spark, path)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").cast("bigint").alias("ids_crc32"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of the words of every document, every tenth of which gets one planted, and what is left without them."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", periodic_runs.with_planted_run("doc_id", "text").alias("text"))
+    rows = periodic_runs.find_runs(docs, keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("_start"), (-r["period"]).alias("_period"), r.alias("run")
+    )))["run"]
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    rows = rows.select("doc_id", "n_words", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").alias("lines"), "collapsed")
+    return rows.select(
+        "doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
