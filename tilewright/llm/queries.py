@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, decontamination, fingerprints, html_extraction, labelled, line_dedup, lm_scoring, near_dedup, periodic_runs, quality, token_records, toxicity, warc,
+    bpe, decontamination, fingerprints, html_extraction, labelled, line_dedup, lm_scoring, near_dedup, periodic_runs, prefix_trie, quality, token_records, toxicity,
+    warc,
 )
 from .common import new_folder, read, written
 
@@ -201,3 +202,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations that were rebuilt on the first turns of their group's first one."""
+    packs = prefix_trie.packs_of(read(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_nodes(prefix_trie.with_borrowed_heads(packs))
