@@ -7,9 +7,10 @@ SCHEMAS = {
     "labels": [("doc_id", pa.int64()), ("quality", pa.int64()), ("toxic", pa.int64())],
     "pages": [("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())],
     "benchmark": [("item_id", pa.int64()), ("text", pa.string())],
+    "conversations": [("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())],
 }
 # Columns that queries make up themselves; a table may have them, too.
-CLASHING = ["fp", "score", "key", "row", "ids", "_quality", "_whole", "_d", "_cut", "_leak", "word", "first", "bucket"]
+CLASHING = ["fp", "score", "key", "row", "ids", "_quality", "_whole", "_d", "_cut", "_leak", "word", "first", "bucket", "shard", "record", "runs", "collapsed", "pack", "turns", "before", "f1", "rep"]
 
 
 @pytest.fixture()

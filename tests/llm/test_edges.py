@@ -16,18 +16,22 @@ PAGES = [
     (None, None, None), (1, "", ""), (2, "not a url ::", "<p>a<p>b"), (3, "http://h/a", "<article><h1>T</h1><p>x &amp; y"), (3, "http://h/a", "<article><h1>T</h1><p>x &amp; y"),
     (4, "http://h/b", "<nav>a b c</nav><article>" + "<p>" + "w " * 30_000 + "</article>"), (5, "http://h/c\r\nX: y", "<article>é\r\n\r\nWARC/1.1\r\n</article>"),
 ]
+CONVERSATIONS = [
+    (None, 0, "user", "no conversation"), (100, None, "user", "first"), (100, 1, None, None), (100, 1, None, None), (101, 0, "user", "own"), (101, 5, "user", LONG),
+    (102, 0, "user", "own"), (7, None, None, None), (250, 3, "assistant", "without a base"), (250, 3, "assistant", "without a base"), (-5, 0, "user", "first"),
+]
 BENCHMARK = [(None, None), (1, ""), (2, "one"), (3, " ".join(f"w{k}" for k in range(14)))]
 
 
 def same_count(name, rows, folder_rows):
-    if name.startswith(("op1_", "op3_", "op5_", "op6_", "op7_", "op9_", "op10_")):
+    if name.startswith(("op1_", "op3_", "op5_", "op6_", "op7_", "op9_", "op10_", "op11_", "op12_")):
         assert len(rows) == folder_rows
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 @pytest.mark.parametrize("clashing", [False, True])
 def test_odd_rows(name, clashing, folder, rows_of):
-    path = folder(clashing, documents=ODD, labels=LABELS, pages=PAGES, benchmark=BENCHMARK)
+    path = folder(clashing, documents=ODD, labels=LABELS, pages=PAGES, benchmark=BENCHMARK, conversations=CONVERSATIONS)
     same_count(name, rows_of(name, path), len(ODD))
 
 

@@ -27,7 +27,7 @@ def documents(spark):
 
 def test_registered():
     names = set(contract.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n[: n.index("_") + 1] for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {n[: n.index("_") + 1] for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names
 
 
