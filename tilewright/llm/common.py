@@ -65,13 +65,18 @@ def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8), np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """(words of all texts, number of the first word of each text and of the end) of texts that lie in one buffer."""
+def words_of(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, number of the first word of each text and of the end) of texts that lie in one buffer.
+
+    ``cuts`` marks the bytes of the texts before which a word is cut further.
+    """
     base = int(offsets[0])
     data = data[base:int(offsets[-1])]
     solid = ~_IS_SPACE[data]
     border = np.zeros(len(data) + 1, bool)
     border[offsets - base] = True
+    if cuts is not None:
+        border[:-1] |= cuts
     before = np.concatenate([[False], solid[:-1]])
     starts = np.flatnonzero(solid & (~before | border[:-1]))
     after = np.concatenate([solid[1:], [False]])
@@ -82,11 +87,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words, np.searchsorted(starts, offsets - base)
 
 
-def text_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``SLICE_BYTES`` together."""
+def text_slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes together."""
     start = 0
     while start < len(offsets) - 1:
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + size, "right")) - 1)
         yield start, stop
         start = stop
 

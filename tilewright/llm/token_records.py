@@ -39,7 +39,15 @@ HEADER = 12
 FILE_BYTES = 256 << 20
 BLOCK_BYTES = 1 << 20
 # Known words of a worker; more are forgotten and encoded again. Longer words are always encoded again.
-WORDS_KEPT, WORD_BYTES = 300_000, 100
+WORDS_KEPT, WORD_BYTES = 500_000, 100
+# Texts that are encoded together, in bytes: the more there are, the more often a word comes again.
+ENCODED_BYTES = 8_000_000
+# 1: ASCII letter, 2: digit, 3: other printable ASCII but the apostrophe; 0: never cut beside it.
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] = 3
+_KINDS[48:58] = 2
+_KINDS[[*range(65, 91), *range(97, 123)]] = 1
+_KINDS[39] = 0
 INDEX = "shard int, part int, file string, record bigint, doc_id bigint, offset bigint, n_bytes bigint, n_tokens bigint, block int"
 
 
@@ -125,10 +133,12 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer of the ``tokenizers`` library that drops white space and cuts words at it.
+    """Ids of texts by a lower-casing tokenizer of the ``tokenizers`` library that cuts words like ``word_bpe_49k.json``.
 
-    For such a tokenizer the ids of a text are those of its words, one after another: no rule looks across
-    white space. So every distinct word of a slice of texts is encoded once by the library.
+    Its rules look across neither white space nor a change between ASCII letters, digits and other printable ASCII (apostrophes
+    excepted, which begin contractions), and it takes every digit by itself. So the ids of a text are those of its pieces between such places,
+    one after another, and every distinct piece of a slice of texts is encoded once by the library. ASCII letters are lower-cased
+    before, but for those in front of a character that is not ASCII, which may be a mark that joins the letter.
     """
 
     def __init__(self, path: str) -> None:
@@ -142,21 +152,33 @@ class WordEncoder:
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() if len(e.ids) > 64 else array("I", e.ids).tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        base, end = int(offsets[0]), int(offsets[-1])
+        text = data[base:end].copy()
+        ahead = np.append(text[1:], 0)
+        text[(text >= 65) & (text <= 90) & (ahead < 128)] += 32
+        kind = _KINDS[text]
+        cuts = np.zeros(len(text), bool)
+        cuts[1:] = (kind[1:] > 0) & (kind[:-1] > 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2))
+        return words_of(text, offsets - base, cuts)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids before each text and at the end)."""
-        words, first = words_of(data, offsets)
+        words, first = self._pieces(data, offsets)
         coded = words.dictionary_encode()
         names = coded.dictionary.to_pylist()
-        if len(self.known) > WORDS_KEPT:
+        parts = list(map(self.known.get, names))
+        new = [k for k, ids in enumerate(parts) if ids is None]
+        if len(self.known) + len(new) > WORDS_KEPT:
             self.known.clear()
-        new = [w for w in names if w not in self.known]
-        own = dict(zip(new, self._encode(new)))
-        parts = [own[w] if w in own else self.known[w] for w in names]
-        self.known.update((w, ids) for w, ids in own.items() if len(w) <= WORD_BYTES)
+        for k, ids in zip(new, self._encode([names[k] for k in new])):
+            parts[k] = ids
+            if len(names[k]) <= WORD_BYTES:
+                self.known[names[k]] = ids
         flat = np.frombuffer(b"".join(parts), "<u4")
-        sizes = np.array([len(p) for p in parts], np.int64) // 4
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begins = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         codes = coded.indices.to_numpy()
         count = sizes[codes]
@@ -190,7 +212,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, cuts: list[int], id_byt
         for batch in batches:
             data, offsets = flat_texts(batch.column(1))
             shards = np.searchsorted(edges, batch.column(0).fill_null(-(2**63)).to_numpy(), "right").astype(np.int32)
-            for start, stop in text_slices(offsets):
+            for start, stop in text_slices(offsets, ENCODED_BYTES):
                 ids, before = coder(data, offsets[start:stop + 1])
                 if len(ids) and ids.max() >= most:
                     raise ValueError(f"id {ids.max()} does not fit into {id_bytes} bytes")
