@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import sanitize_name
 from ..functions.numeric import db_to_linear
-from ..operators.chips import background_filter, cells_of_chips, chip_blocks, thin_chips
+from ..operators.chips import background_filter, cells_of_chips, chip_blocks, limit_chips, thin_chips
 from ..operators.grid import on_tile, with_shape
 from ..operators.labels import class_counts, class_mapping, drop_invalid_class, reindex_class_table, reindex_classes, restrict_to_split
 from ..operators.points import crop_to_grids, dedupe_points, grid_idw, point_density
@@ -108,16 +108,21 @@ def build_stack(rgb: DataFrame, layers: dict[str, DataFrame], grids: DataFrame,
 
 
 def cut_chips(
-    stack: DataFrame, surfaces: DataFrame, grids: DataFrame, cutoff: float, seed=0, size: int = BLOCK_SIZE
+    stack: DataFrame, surfaces: DataFrame, grids: DataFrame, cutoff: float, seed=0, size: int = BLOCK_SIZE,
+    bands: Sequence[str] = BANDS, limit: int | None = None,
 ) -> DataFrame:
-    """Accepted chips as cells with ``chip_id``; masked cells are 0.
+    """Accepted chips as cells with ``chip_id``; masked cells are 0. With ``limit``, only the first so many in scan order.
 
     Blocks are chosen from the grid shapes first, so only their cells are read and masked.
     """
     blocks = thin_chips(chip_blocks(with_shape(grids), size), seed)
     cells = cells_of_chips(stack, blocks, size)
-    masked = mask_to_surfaces(cells.withColumn("_valid", F.lit(1)), surfaces, grids, [*BANDS, "_valid"])
-    return replace_null(background_filter(masked, "_valid", cutoff).drop("_valid"), BANDS)
+    masked = mask_to_surfaces(cells.withColumn("_valid", F.lit(1)), surfaces, grids, [*bands, "_valid"])
+    accepted = replace_null(background_filter(masked, "_valid", cutoff).drop("_valid"), bands)
+    if limit is None:
+        return accepted
+    key = ["tile_id", "brow", "bcol"]
+    return accepted.join(limit_chips(accepted.select(*key).distinct(), limit), key, "left_semi")
 
 
 @dataclass(frozen=True)
