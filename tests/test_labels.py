@@ -189,6 +189,54 @@ def test_stratified_split(spark):
     assert {tuple(r) for r in stratified_split(counts, lengths, trials=4, swaps=200, seed=1).collect()} == {tuple(r) for r in got}
 
 
+def climbed(vectors, sizes, trials, swaps, seed):
+    """The least distance of plain climbs: one random exchange after another, kept if it is valid and closer."""
+    rng, best, ends = np.random.default_rng(seed), math.inf, np.cumsum(sizes)[:-1]
+
+    def apart(sums):
+        share = [s / s.sum() for s in sums]
+        found = []
+        for p, q in itertools.combinations(share, 2):
+            m = (p + q) / 2
+            found.append(math.sqrt(max(0, sum(p * np.log(p / m) + q * np.log(q / m))) / 2 / math.log(len(p))))
+        return sum(found) / len(found)
+
+    for _ in range(trials):
+        subsets = np.split(rng.permutation(len(vectors)), ends)
+        sums = [vectors[s].sum(axis=0) for s in subsets]
+        now, tried = apart(sums), 0
+        while tried < swaps:
+            for a, b in itertools.combinations(range(len(sizes)), 2):
+                i, j = rng.integers(len(subsets[a])), rng.integers(len(subsets[b]))
+                change = vectors[subsets[b][j]] - vectors[subsets[a][i]]
+                new = list(sums)
+                new[a], new[b] = sums[a] + change, sums[b] - change
+                if min(new[a].min(), new[b].min()) <= 0:
+                    continue
+                tried += 1
+                if (d := apart(new)) < now:
+                    now, sums = d, new
+                    subsets[a][i], subsets[b][j] = subsets[b][j], subsets[a][i]
+        best = min(best, now)
+    return best
+
+
+@pytest.mark.parametrize("pool", [10_000, 60])
+def test_stratified_split_climbs(spark, pool):
+    """On many images of uneven classes, no farther than plain climbs, also from pools of a part of the images."""
+    rng = np.random.default_rng(7)
+    vectors = rng.lognormal(3, 2, (1500, 6)).astype(int) * (rng.random((1500, 6)) < [0.9, 0.5, 0.3, 0.2, 0.1, 0.6])
+    rows = [(k, c, int(n)) for k, v in enumerate(vectors) for c, n in enumerate(v) if n]
+    rows += [(k, None, 0) for k, v in enumerate(vectors) if not v.any()]
+    counts = spark.createDataFrame(rows, "image int, class_id int, n bigint")
+    split = stratified_split(counts, [0.7, 0.15, 0.15], trials=4, swaps=300, pool=pool).collect()
+    assert Counter(r["subset"] for r in split) == {"training": 1050, "validation": 225, "test": 225}
+    assert sorted(r["image"] for r in split) == list(range(1500))
+    again = spark.createDataFrame(split, "image int, subset string")
+    found = reduce_distance(js_distances(subset_histogram(counts, again))).first()[0]
+    assert found <= 1.05 * climbed(vectors.astype(float), [1050, 225, 225], 4, 300, 1)
+
+
 def test_stratified_split_without_support(spark):
     counts = spark.createDataFrame([("a", 1, 5), ("b", 2, 5), ("c", 1, 5)], "image string, class_id int, n bigint")
     with pytest.raises(RuntimeError, match="full class support"):

@@ -103,7 +103,7 @@ def test_cells_outside_zones_are_spread(spark, skewed):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins(spark, name):
-    if name in ("stratified_split",):
+    if name in ("stratified_split", "stratified_balance", "generate_chips"):
         pytest.skip("runs its search when called")
     plan = plan_of(QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

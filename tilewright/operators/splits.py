@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Sequence
 from itertools import accumulate, combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -167,22 +170,64 @@ def _random_cuts(ids: DataFrame, numbers: list[int], sizes: Sequence[int], seed)
     return cut.groupBy("trial").agg(F.sort_array(F.collect_list(F.struct("u", "image"))).alias("cuts"))
 
 
-def _spread(hists: list[Column]) -> Column:
-    """Mean Jensen-Shannon distance of all pairs of class sums."""
-    shares = []
-    for h in hists:
-        total = F.aggregate(h, F.lit(0.0), lambda s, x: s + x)
-        shares.append(F.transform(F.array(F.struct(h.alias("h"), total.alias("t"))), lambda r: F.transform(r["h"], lambda x: x / r["t"]))[0])
-    base = 2 * F.log(F.greatest(F.size(hists[0]), F.lit(2)).cast("double"))
-
-    def part(x: Column, y: Column) -> Column:
-        return F.when(x > 0, x * F.log(2 * x / (x + y))).otherwise(0.0)
-
-    distances = [
-        F.sqrt(F.greatest(F.aggregate(F.zip_with(p, q, lambda x, y: part(x, y) + part(y, x)), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)) / base)
-        for p, q in combinations(shares, 2)
-    ]
-    return sum(distances, F.lit(0.0)) / max(len(distances), 1)
+class _Climb:
+    """A climb of one trial over its pool of images: exchanges that lower the distance are made one after another."""
+
+    WIDTH = 16
+
+    def __init__(self, seed, round_no: int, steps: int, subsets: int, sums: dict[int, list[list[float]]]) -> None:
+        """``sums``: class sums of the subsets of every trial."""
+        self.sums = sums
+        self.seed, self.round_no, self.steps = zlib.crc32(str(seed).encode()), round_no, steps
+        self.pairs = list(combinations(range(subsets), 2))
+        self.left, self.right = np.array(self.pairs, int).reshape(-1, 2).T
+
+    def distance(self, sums: np.ndarray) -> np.ndarray:
+        """Mean Jensen-Shannon distance of ``sums[..., subset, class]``, all positive."""
+        share = sums / sums.sum(axis=-1, keepdims=True)
+        p, q = share[..., self.left, :], share[..., self.right, :]
+        middle = (p + q) / 2
+        parts = (p * np.log(p / middle) + q * np.log(q / middle)).sum(axis=-1)
+        return np.sqrt(np.maximum(parts, 0) / (2 * np.log(max(sums.shape[-1], 2)))).mean(axis=-1)
+
+    def climb(self, rows: pd.DataFrame) -> pd.DataFrame:
+        trial, rows = int(rows["trial"].iloc[0]), rows.sort_values("image", ignore_index=True)
+        vectors, subset = np.array(rows["vector"].tolist()), rows["subset"].to_numpy().copy()
+        sums = np.array(self.sums[trial])
+        rng = np.random.default_rng([self.seed, trial, self.round_no])
+        members = [np.flatnonzero(subset == k) for k in range(len(sums))]
+        now, begun = float(self.distance(sums)), subset.copy()
+        for step in range(self.steps):
+            a, b = self.pairs[step % len(self.pairs)]
+            if not len(members[a]) or not len(members[b]) or now < 1e-12:
+                continue
+            at, to = rng.integers(len(members[a])), rng.integers(len(members[b]), size=self.WIDTH)
+            change = vectors[members[b][to]] - vectors[members[a][at]]
+            tried = np.repeat(sums[None], self.WIDTH, axis=0)
+            tried[:, a] += change
+            tried[:, b] -= change
+            # Exchanges that would leave a subset without a class do not count.
+            valid = np.flatnonzero((tried > 0).all(axis=(1, 2)))
+            if not len(valid):
+                continue
+            found = self.distance(tried[valid])
+            best = valid[found.argmin()]
+            if found.min() < now:
+                now, sums = float(found.min()), tried[best]
+                one, other = members[a][at], members[b][to[best]]
+                members[a][at], members[b][to[best]] = other, one
+                subset[one], subset[other] = b, a
+        moved = np.flatnonzero(subset != begun)
+        images = rows["image"].iloc[moved].tolist()
+        return pd.DataFrame({
+            "trial": [trial], "distance": [now], "sums": [sums.tolist()],
+            "moved": [[{"image": i, "subset": int(k)} for i, k in zip(images, subset[moved])]],
+        })
+
+
+def _grouped(climb: _Climb):
+    # Spark counts the arguments of a method with its object, so it takes a function.
+    return lambda rows: climb.climb(rows)
 
 
 def stratified_split(
@@ -192,20 +237,23 @@ def stratified_split(
     swaps: int = 1000,
     seed=0,
     names: Sequence[str] = SUBSETS,
-    per_round: int = 50,
+    pool: int = 1000,
     max_starts: int | None = None,
+    rounds: int = 2,
 ) -> DataFrame:
     """A split whose subsets have similar class distributions, as ``image, subset``.
 
     1. Random starts are cut from seeded orders, and those with all classes in every subset are kept, until there
        are ``trials``. It raises if ``max_starts`` starts (20 per trial, 200 at least) do not hold so many.
-    2. In rounds, every trial draws ``per_round`` images of each subset, from all of them, pairs the draws of each
-       two subsets and scores the exchanges by class sums alone. Of those that keep all classes, the one with the
-       least mean Jensen-Shannon distance is made if that falls. Rounds go on until every trial has scored
-       ``swaps`` exchanges that keep all classes, or for four times as many rounds as that takes if all do.
+    2. Every trial takes ``swaps`` steps. A step draws an image of one subset and ``_Climb.WIDTH`` of another and scores their
+       exchanges by class sums alone; of those that keep all classes, the one with the least mean Jensen-Shannon
+       distance is made if that falls. The images of a round are a pool: a random share of all, the same
+       for all trials, in which the smallest subset has about ``pool`` images. A trial's pool is one group of bounded
+       size, and trials climb side by side. Where the pool is less than all images, the steps are spread
+       over ``rounds``, each with a pool of its own.
     3. The trial with the least distance is returned.
 
-    Per round only the best exchange and class sums of each trial reach the driver. Sizes and support are kept
+    Per round only the distance and class sums of each trial reach the driver. Sizes and support are kept
     and the distance never rises. The search runs when this is called.
     """
     spark = counts.sparkSession
@@ -219,23 +267,26 @@ def stratified_split(
     # Read several times below: one row per image is stored in the shared folder.
     images = cut_lineage(counts.groupBy("image").agg(vector.alias("vector")))
     ids = images.select("image")
-    sizes = subset_sizes(lengths, ids.count())
+    total = ids.count()
+    sizes = subset_sizes(lengths, total)
     order = subset_names(len(sizes), names)
     kind = ids.schema["image"].dataType.simpleString()
     cut_type = f"array<struct<u: double, image: {kind}>>"
-    state_type = f"trial int, cuts {cut_type}, sums array<array<double>>, moved array<struct<image: {kind}, subset: int>>"
+    state_type = f"trial int, cuts {cut_type}"
 
-    def placed(state: DataFrame) -> DataFrame:
-        """``trial, image, vector, sums, subset`` of every image in every trial of ``state``."""
-        numbers = [r["trial"] for r in state.select("trial").collect()]
-        rows = images.select("image", "vector", F.explode(F.array(*[F.lit(k) for k in numbers])).alias("trial"))
+    def placed(some: DataFrame, state: list[tuple]) -> DataFrame:
+        """``trial, image, vector, subset``: where each image of ``some`` begins in every trial."""
+        rows = some.select("image", "vector", F.explode(F.array(*[F.lit(t[0]) for t in state])).alias("trial"))
         # At most a row per trial.
-        rows = rows.join(F.broadcast(state), "trial")
+        rows = rows.join(F.broadcast(spark.createDataFrame([t[:2] for t in state], state_type)), "trial")
         own = F.struct(hash_unit(seed, F.col("trial"), F.col("image")).alias("u"), F.col("image").alias("image"))
         begun = F.transform(F.array(own), lambda x: F.size(F.filter("cuts", lambda c: c <= x)))[0]
-        moved = F.filter("moved", lambda m: m["image"] == F.col("image"))
-        subset = F.when(F.size(moved) > 0, F.element_at(moved, -1)["subset"]).otherwise(begun)
-        return rows.select("trial", "image", "vector", "sums", subset.alias("subset"))
+        return rows.select("trial", "image", "vector", begun.alias("subset"))
+
+    def with_moves(rows: DataFrame, moves: DataFrame | None) -> DataFrame:
+        if moves is None:
+            return rows
+        return rows.join(moves, ["trial", "image"], "left").withColumn("subset", F.coalesce("moved_to", "subset")).drop("moved_to")
 
     found: list[tuple] = []
     first, max_starts = 0, max_starts or max(20 * trials, 200)
@@ -244,47 +295,38 @@ def stratified_split(
             raise RuntimeError(f"{len(found)} of {first} random starts have full class support, not {trials}")
         numbers = list(range(first, min(first + max(trials, 100), max_starts)))
         first = numbers[-1] + 1
-        cuts = _random_cuts(ids, numbers, sizes, seed) if len(sizes) > 1 else spark.createDataFrame([(k, []) for k in numbers], f"trial int, cuts {cut_type}")
-        start = spark.createDataFrame([(r["trial"], r["cuts"], [], []) for r in cuts.collect()], state_type)
-        sums = placed(start).groupBy("trial", "subset").agg(F.array(*[F.sum(F.col("vector")[i]) for i in range(len(classes))]).alias("sums"))
-        total: dict[int, dict[int, list[float]]] = {}
+        cuts = [(k, []) for k in numbers] if len(sizes) == 1 else [tuple(r) for r in _random_cuts(ids, numbers, sizes, seed).collect()]
+        start = [(trial, cut, []) for trial, cut in cuts]
+        sums = placed(images, start).groupBy("trial", "subset").agg(F.array(*[F.sum(F.col("vector")[i]) for i in range(len(classes))]).alias("sums"))
+        held: dict[int, dict[int, list[float]]] = {}
         for r in sums.collect():
-            total.setdefault(r["trial"], {})[r["subset"]] = r["sums"]
-        for r in sorted(start.collect()):
-            own = [total[r["trial"]].get(k, []) for k in range(len(sizes))]
+            held.setdefault(r["trial"], {})[r["subset"]] = r["sums"]
+        for trial, cut, _ in sorted(start, key=lambda t: t[0]):
+            own = [held[trial].get(k, []) for k in range(len(sizes))]
             if all(own) and min(map(min, own)) > 0 and len(found) < trials:
-                found.append((r["trial"], r["cuts"], own, []))
-
-    pairs = list(combinations(range(len(sizes)), 2))
-    scored, rounds = dict.fromkeys((t[0] for t in found), 0), 0
-    most = 4 * -(-swaps // max(per_round * len(pairs), 1))
-    # Distances of the starts, then of what each round leaves.
-    begun = spark.createDataFrame(found, state_type)
-    distance = {r["trial"]: r["d"] for r in begun.select("trial", _spread([F.col("sums")[k] for k in range(len(sizes))]).alias("d")).collect()}
-    while pairs and rounds < most and min(scored.values()) < swaps:
-        order_of = F.xxhash64(F.lit(str(seed)), F.lit(rounds), "trial", "image")
-        drawn = placed(spark.createDataFrame(found, state_type)).withColumn("at", F.row_number().over(W.partitionBy("trial", "subset").orderBy(order_of, "image")))
-        drawn = drawn.where(F.col("at") <= per_round).select("trial", "at", "subset", "image", "vector", "sums")
-        give = drawn.select("trial", "at", F.col("subset").alias("a"), F.col("image").alias("i"), F.col("vector").alias("v"), "sums")
-        take = drawn.select("trial", "at", F.col("subset").alias("b"), F.col("image").alias("j"), F.col("vector").alias("w"))
-        change = F.zip_with("w", "v", lambda w, v: w - v)
-        swapped = [
-            F.when(F.col("a") == k, F.zip_with(F.col("sums")[k], change, lambda s, c: s + c))
-            .when(F.col("b") == k, F.zip_with(F.col("sums")[k], change, lambda s, c: s - c)).otherwise(F.col("sums")[k])
-            for k in range(len(sizes))
-        ]
-        tried = give.join(take, ["trial", "at"]).where("a < b").select("trial", "a", "b", "i", "j", F.array(*swapped).alias("sums"))
-        tried = tried.where(F.forall("sums", lambda h: F.forall(h, lambda x: x > 0)))
-        tried = tried.withColumn("d", _spread([F.col("sums")[k] for k in range(len(sizes))]))
-        best = tried.groupBy("trial").agg(F.count("*").alias("n"), F.min_by(F.struct("d", "a", "b", "i", "j", "sums"), F.struct("d", "i", "j")).alias("x"))
-        made = {r["trial"]: r for r in best.collect()}
-        for k, (trial, cuts, sums, moved) in enumerate(found):
-            if (r := made.get(trial)) is not None:
-                scored[trial] += r["n"]
-                if r["x"]["d"] < distance[trial]:
-                    distance[trial] = r["x"]["d"]
-                    found[k] = (trial, cuts, r["x"]["sums"], [*moved, (r["x"]["i"], r["x"]["b"]), (r["x"]["j"], r["x"]["a"])])
-        rounds += 1
+                found.append((trial, cut, own))
+
+    moves, share = None, min(1.0, pool / max(min(sizes), 1))
+    climbs = 0 if len(sizes) < 2 else 1 if share >= 1 or swaps < rounds else rounds
+    climb = _Climb(seed, 0, 0, len(sizes), {})
+    distance = {trial: float(climb.distance(np.array(sums))) if climb.pairs else 0.0 for trial, _, sums in found}
+    for k in range(climbs if swaps else 0):
+        some = images if share >= 1 else images.where(hash_unit(f"{seed}pool{k}", F.col("image")) < share)
+        climb = _Climb(seed, k, swaps // climbs + (k < swaps % climbs), len(sizes), {trial: sums for trial, _, sums in found})
+        # A task per trial: adaptive execution would put many of these small groups into one.
+        rows = with_moves(placed(some, found), moves).repartition(len(found), "trial")
+        result = rows.groupBy("trial").applyInPandas(
+            _grouped(climb), f"trial int, distance double, sums array<array<double>>, moved array<struct<image: {kind}, subset: int>>"
+        )
+        result = cut_lineage(result)
+        reached = {r["trial"]: r for r in result.select("trial", "distance", "sums").collect()}
+        distance.update((trial, r["distance"]) for trial, r in reached.items())
+        found = [(trial, cut, reached[trial]["sums"] if trial in reached else sums) for trial, cut, sums in found]
+        new = result.select("trial", F.explode("moved").alias("m")).select("trial", "m.image", F.col("m.subset").alias("new_to"))
+        if moves is None:
+            moves = new.withColumnRenamed("new_to", "moved_to")
+        else:
+            moves = moves.join(new, ["trial", "image"], "full").select("trial", "image", F.coalesce("new_to", "moved_to").alias("moved_to"))
     least = min(found, key=lambda t: (distance[t[0]], t[0]))
-    chosen = placed(spark.createDataFrame([least], state_type))
+    chosen = with_moves(placed(images, [least]), moves)
     return chosen.select("image", F.element_at(F.array(*[F.lit(n) for n in order]), F.col("subset") + 1).alias("subset"))

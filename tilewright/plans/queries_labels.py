@@ -16,6 +16,7 @@ from ..operators.splits import (
 )
 from ..operators.stats import class_weights
 from ..schema import CLASSES, class_table
+from ..session import cut_lineage
 from .registry import query
 
 CLEAN = "clean as (select image, case when class_id = 4 then 0 else class_id end as class_id from v_mask)"
@@ -174,6 +175,28 @@ def stratified_split_query(inputs):
     return stratified_split(_counts(inputs), [0.7, 0.15, 0.15])
 
 
+@query(
+    "stratified_balance",
+    ctes=JS + """,
+  total as (select count(distinct image) as n from v_user_mask),
+  kept as (select cast(floor(n*0.7) as bigint) as a, cast(floor(n*0.15) as bigint) as b, n from total)""",
+    sql="""
+    select subset, case subset when 'training' then a + cast(ceil((n - a - 2*b)/3) as bigint) when 'validation' then b + cast(ceil((n - a - 2*b - 1)/3) as bigint)
+        else b + cast(floor((n - a - 2*b)/3) as bigint) end as images,
+      true as full_support, (select round(avg(distance), 6) from js) as random_distance, true as closer
+    from kept cross join (values ('training'), ('validation'), ('test')) v(subset)""",
+)
+def stratified_balance(inputs):
+    """Sizes and class support of the stratified split, and whether its subsets are closer than those of a random split."""
+    counts = _counts(inputs)
+    split = cut_lineage(stratified_split(counts, [0.7, 0.15, 0.15], trials=8))
+    apart = lambda s: reduce_distance(js_distances(subset_histogram(counts, s))).scalar()
+    sizes = split.groupBy("subset").agg(F.countDistinct("image").alias("images"))
+    return sizes.join(full_class_support(counts, split), "subset").select(
+        "subset", "images", "full_support", F.round(apart(_splits(inputs)), 6).alias("random_distance"), (apart(split) < apart(_splits(inputs))).alias("closer")
+    )
+
+
 @query(
     "training_counts",
     ctes=USER_SPLIT,
