@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.operators import neighbors
 from tilewright.operators.neighbors import knn_join, neighbor_query, radius_count, radius_join
 from tilewright.operators.points import (
     crop_points, crop_to_grids, dedupe_points, global_density, grid_idw, merge_points, point_density, scale_coords,
@@ -98,6 +100,26 @@ def test_knn_is_exact(scatter):
             assert [idx for _, idx in sorted(got[query_id])] == [idx for _, idx in order]
 
 
+def test_knn_beside_a_crowd(spark, monkeypatch):
+    """4,000 queries in one place, 4,000 points in another, some on a line at equal distances: a few points are paired with each query."""
+    rng = np.random.default_rng(2)
+    places = np.concatenate([rng.normal([13, 5], 0.2, (3000, 2)), [[13, 0.001 * i] for i in range(500)], [[14.0, 2.0]] * 500])
+    asked = np.concatenate([rng.uniform(1, 2, (3900, 2)), rng.normal([13, 5], 0.3, (100, 2))])
+    p = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "idx bigint, x double, y double")
+    q = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(asked)], "query_id bigint, x double, y double")
+    held = []
+    kept = neighbors._nearest_bins
+    monkeypatch.setattr(neighbors, "_nearest_bins", lambda *a: held.append(kept(*a)) or held[-1])
+    got = {}
+    for r in knn_join(q, p, 3, 16.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["idx"]))
+    for i in range(0, 4000, 13):
+        d = np.hypot(*(places - asked[i]).T)
+        assert [idx for _, idx in sorted(got[i])] == sorted(range(4000), key=lambda j: (d[j], j))[:3]
+    pairs = held[0][0].groupBy("query_id").agg(F.sum("n").alias("n")).agg(F.avg("n"), F.max("n")).first()
+    assert len(got) == 4000 and pairs[0] < 8 * 64 and pairs[1] < 16 * 64
+
+
 def test_knn_with_too_few_points(spark, scatter):
     _, _, _, q = scatter
     two = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "idx bigint, x double, y double")
@@ -120,6 +142,26 @@ def test_radius_join_and_count(scatter, p):
     assert counts == {qid: sum(1 for w in want if w[0] == qid) for qid, _, _ in queries}
 
 
+@pytest.mark.parametrize("p", [1, 2, math.inf])
+def test_radius_count_in_a_crowd(spark, monkeypatch, p):
+    """Balls that hold thousands of points are counted by bins; only their borders are paired."""
+    rng = np.random.default_rng(4)
+    places = np.concatenate([rng.normal(0, 1, (6000, 2)), np.round(rng.normal(0, 1, (1000, 2)), 1)])
+    asked = np.concatenate([rng.normal(0, 1, (300, 2)), [[0.0, 0.0], [0.0, 0.0], [50.0, 50.0]]])
+    pdf = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(places)], "idx bigint, x double, y double")
+    qdf = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(asked)], "query_id bigint, x double, y double")
+    parts = []
+    counted = neighbors._counted_by_bins
+    monkeypatch.setattr(neighbors, "_counted_by_bins", lambda *a: parts.append(counted(*a)) or parts[-1])
+    got = {r["query_id"]: r["n"] for r in radius_count(qdf, pdf, 1.3, p, 30).collect()}
+    gap = np.abs(asked[:, None] - places[None])
+    d = gap.max(axis=2) if math.isinf(p) else (gap**p).sum(axis=2) ** (1 / p)
+    want = (d <= 1.3).sum(axis=1)
+    assert got == dict(enumerate(want.tolist()))
+    # Rows that are added up: far fewer than the pairs.
+    assert parts[0].count() < want.sum() / 4
+
+
 def test_neighbor_query_needs_one_of_k_and_r(scatter):
     _, _, p, q = scatter
     with pytest.raises(ValueError):
