@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,27 @@ def test_filters(spark):
     assert [r["surface_id"] for r in clipped.collect()] == [0] and clipped.columns == df.columns
 
 
+def test_a_country_takes_a_few_bins(spark):
+    """Polygons from a house to a country, with bins of 8: every pair is found, and no box becomes many rows."""
+    rng = np.random.default_rng(3)
+    sides = [2.0**k for k in range(1, 20, 2)]
+    corners = [(float(rng.uniform(-3e5, 3e5)), float(rng.uniform(-3e5, 3e5)), s) for s in sides for _ in range(4)]
+    boxes = [(x, y, x + s, y + s / 3) for x, y, s in corners] + [(-1e6, -1e6, 1e6, 1e6), (0.0, 0.0, 8.0, 8.0)]
+    df = surfaces(spark, [(k, 0.0, box(*b)) for k, b in enumerate(boxes)])
+    places = [(float(rng.uniform(b[0], b[2])), float(rng.uniform(b[1], b[3]))) for b in boxes for _ in range(3)] + [(2e6, 0.0)]
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "idx int, x double, y double")
+    got = {(r["idx"], r["surface_id"]) for r in points_in_polygons(points, df, 8.0).select("idx", "surface_id").collect()}
+    want = {(i, k) for i, (x, y) in enumerate(places) for k, b in enumerate(boxes) if b[0] <= x < b[2] and b[1] <= y < b[3]}
+    ids = [r["surface_id"] for r in df.select("surface_id").collect()]
+    assert got == {(i, ids[k]) for i, k in want}
+    sheets = spark.createDataFrame([("image", f"s{k}", f"u{k}", *map(float, b)) for k, b in enumerate(boxes[::2])], SHEETS)
+    found = {s for r in match_sheets(df, sheets, 8.0).collect() for s in r["tid"]}
+    touch = lambda a, b: a[0] < b[2] and a[2] > b[0] and a[1] < b[3] and a[3] > b[1]
+    assert found == {f"s{k}" for k, s in enumerate(boxes[::2]) if any(touch(s, b) for b in boxes)}
+    one = surfaces(spark, [(0, 0.0, box(5, 5, 6, 6))])
+    assert {s for r in match_sheets(one, sheets, 8.0).collect() for s in r["tid"]} == {f"s{k}" for k, s in enumerate(boxes[::2]) if touch(s, (5, 5, 6, 6))}
+
+
 def test_points_in_polygons_needs_no_nested_loop(spark):
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 9.0, 9.0)], "idx int, x double, y double")
     df = surfaces(spark, [(1, 0.0, box(0, 0, 2, 2)), (2, 0.0, box(1, 0, 3, 3))])

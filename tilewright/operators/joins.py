@@ -58,6 +58,37 @@ def put_in_bin(df: DataFrame, x: Column, y: Column, width) -> DataFrame:
     return df.withColumns({"bx": bin_of(x, width), "by": bin_of(y, width)})
 
 
+def level_of_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column, width: float) -> Column:
+    """The level whose bins, ``width * 2**level`` wide, are about as large as the box: it touches nine of them at most."""
+    side = F.greatest(xmax - xmin, ymax - ymin)
+    return F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(width)) / width)), F.lit(0)).cast("int")
+
+
+def levels_in(*tables: DataFrame) -> Column:
+    """The distinct ``_level`` values of tables as one array, found when the query runs. They are as many as sizes double."""
+    rows = tables[0].select("_level")
+    for table in tables[1:]:
+        rows = rows.unionByName(table.select("_level"))
+    return rows.agg(F.sort_array(F.collect_set("_level")).alias("levels")).scalar()
+
+
+def _level_width(width: float) -> Column:
+    return F.pow(F.lit(2.0), F.col("_level")) * width
+
+
+def explode_level_box(df: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column, width: float, levels: Column | None = None) -> DataFrame:
+    """One row per bin that a box touches, as ``_level, bx, by``, on the level of its ``_level``; with ``levels`` on
+    each of these from there on, and ``_own`` keeps its own. The number of rows does not grow with the box."""
+    if levels is not None:
+        df = df.withColumn("_own", F.col("_level")).withColumn("_level", F.explode(levels)).where("_level >= _own")
+    return explode_box(df, xmin, ymin, xmax, ymax, _level_width(width))
+
+
+def put_in_levels(df: DataFrame, x: Column, y: Column, width: float, levels: Column) -> DataFrame:
+    """The bin of a point on every one of ``levels``, as ``_level, bx, by``."""
+    return put_in_bin(df.withColumn("_level", F.explode(levels)), x, y, _level_width(width))
+
+
 def binned_join(points: DataFrame, boxes: DataFrame, residual: Column, by: list[str] = (), how: str = "inner") -> DataFrame:
     """Spatial join of binned points with exploded boxes: equality on the bins, then ``residual``.
 

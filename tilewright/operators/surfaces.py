@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import area, clipped_area, edges, point_in_edges, ring_bounds
 from ..schema import CELL_KEY, MAX_TILE_AREA
 from .grid import center_x, center_y, empty_cells, on_tile, with_shape
-from .joins import bin_of, binned_join, explode_box, put_in_bin
+from .joins import bin_of, binned_join, explode_level_box, level_of_box, levels_in, put_in_levels
 
 
 def with_ring_bounds(surfaces: DataFrame) -> DataFrame:
@@ -82,18 +82,20 @@ def clip_surfaces(surfaces: DataFrame, grids: DataFrame) -> DataFrame:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, width: float, by: Sequence[str] = ()) -> DataFrame:
     """Pairs of points and the rings that hold them; columns of both sides, ``by`` and the ring once.
 
-    ``width`` is the edge of the matching bins, about the size of a typical polygon.
+    ``width`` is the edge of the smallest matching bins, about the size of a typical polygon. Larger polygons lie in larger
+    bins, of the level of their own size, and points are looked up on every level that occurs; so a polygon takes a few
+    rows, be it as large as a country.
     """
-    boxes = explode_box(
-        with_ring_bounds(polygons).withColumn("_sides", edges(F.col("ring"))),
-        F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), width,
-    )
+    box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    bounded = with_ring_bounds(polygons).withColumn("_sides", edges(F.col("ring"))).withColumn("_level", level_of_box(*box, width))
+    boxes = explode_level_box(bounded, *box, width)
     inside = (
         F.col("l.x").between(F.col("r.xmin"), F.col("r.xmax"))
         & F.col("l.y").between(F.col("r.ymin"), F.col("r.ymax"))
         & point_in_edges(F.col("r._sides"), F.col("l.x"), F.col("l.y"))
     )
-    pairs = binned_join(put_in_bin(points, F.col("x"), F.col("y"), width), boxes, inside, list(by))
+    placed = put_in_levels(points, F.col("x"), F.col("y"), width, levels_in(bounded))
+    pairs = binned_join(placed, boxes, inside, [*by, "_level"])
     extra = [c for c in polygons.columns if c not in points.columns]
     return pairs.select(*[F.col(f"l.{c}") for c in points.columns], *[F.col(f"r.{c}") for c in extra])
 
@@ -193,13 +195,15 @@ def match_sheets(surfaces: DataFrame, sheets: DataFrame, width: float) -> DataFr
     """Which sheets cover a tile: unique ``tid`` and ``url`` arrays per tile and kind.
 
     A sheet counts when it shares area with a surface. Surfaces entirely inside a sheet are decided
-    by bounds; only those on a sheet's border are clipped.
+    by bounds; only those on a sheet's border are clipped. ``width`` is the edge of the smallest matching bins; boxes
+    take a few rows each, whatever their size.
     """
-    left = explode_box(
-        with_ring_bounds(surfaces.select("tile_id", "ring")),
-        F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), width,
-    )
-    right = explode_box(sheets, F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"), width)
+    box = [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    left = with_ring_bounds(surfaces.select("tile_id", "ring")).withColumn("_level", level_of_box(*box, width))
+    right = sheets.withColumn("_level", level_of_box(*box, width))
+    # Each box lies in bins of the level of its size; a pair meets on the level of the larger one.
+    levels = levels_in(left, right)
+    left, right = [explode_level_box(side, *box, width, levels) for side in (left, right)]
     c = lambda name: F.col(name)
     within = (
         (c("l.xmin") >= c("r.xmin")) & (c("l.xmax") <= c("r.xmax"))
@@ -212,10 +216,11 @@ def match_sheets(surfaces: DataFrame, sheets: DataFrame, width: float) -> DataFr
     part = clipped_area(c("l.ring"), c("r.xmin"), c("r.ymin"), c("r.xmax"), c("r.ymax"))
     overlap = touches & F.when(within, area(c("l.ring")) > 0).otherwise(part > 0)
     # A pair shares several bins; it is decided in that of the lower left corner of both boxes' overlap only.
-    corner = (c("r.bx") == F.greatest(bin_of(c("l.xmin"), width), bin_of(c("r.xmin"), width))) & (
-        c("r.by") == F.greatest(bin_of(c("l.ymin"), width), bin_of(c("r.ymin"), width))
+    edge = F.pow(F.lit(2.0), c("r._level")) * width
+    corner = (c("r._level") == F.greatest("l._own", "r._own")) & (c("r.bx") == F.greatest(bin_of(c("l.xmin"), edge), bin_of(c("r.xmin"), edge))) & (
+        c("r.by") == F.greatest(bin_of(c("l.ymin"), edge), bin_of(c("r.ymin"), edge))
     )
-    hits = binned_join(left, right, corner & overlap).select(c("l.tile_id"), c("r.kind"), c("r.tid"), c("r.url"))
+    hits = binned_join(left, right, corner & overlap, ["_level"]).select(c("l.tile_id"), c("r.kind"), c("r.tid"), c("r.url"))
     # The two arrays are sorted together, so that a url stands where its id stands.
     pairs = hits.groupBy("tile_id", "kind").agg(F.array_sort(F.collect_set(F.struct("tid", "url"))).alias("s"))
     return pairs.select("tile_id", "kind", F.col("s.tid").alias("tid"), F.col("s.url").alias("url"))
