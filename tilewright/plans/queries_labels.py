@@ -18,6 +18,7 @@ from ..operators.stats import class_weights
 from ..schema import CLASSES, class_table
 from ..session import cut_lineage
 from .registry import query
+from .views import FOLD, folded
 
 CLEAN = "clean as (select image, case when class_id = 4 then 0 else class_id end as class_id from v_mask)"
 
@@ -301,8 +302,8 @@ def micro_metrics_query(inputs):
     return _rounded(micro_metrics(confusion_matrix(inputs("v_scored"), 5, ignore=0), 0))
 
 
-SOFT = """
-  score as (select vec_id, cast(vec_id % 7 as int) as image, cast(label as int) as truth, cast(i - 1 as int) as class_id, embedding[i]::double as s
+SOFT = f"""
+  score as (select vec_id, cast(vec_id % 7 as int) as image, cast(label as int) as truth, cast(i - 1 as int) as class_id, {FOLD.format("i", 10)} as s
     from (select vec_id, label, embedding, unnest(range(1, 11)) as i from embeddings) e),
   top as (select *, max(s) over (partition by vec_id) as m from score),
   soft as (select vec_id, image, truth, class_id, exp(s - m)/sum(exp(s - m)) over (partition by vec_id) as p,
@@ -311,10 +312,13 @@ WEIGHTS = [(c + 1) / 55.0 for c in range(10)]
 
 
 def _soft(inputs):
-    scores = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double"))
+    return _scored(inputs).select("vec_id", "image", "truth", softmax(F.col("scores")).alias("probs"))
+
+
+def _scored(inputs):
+    """Ten class scores per vector, each the sum of every tenth of its components."""
     return inputs("embeddings").select(
-        "vec_id", (F.col("vec_id") % 7).cast("int").alias("image"), F.col("label").cast("int").alias("truth"),
-        softmax(scores).alias("probs"),
+        "vec_id", (F.col("vec_id") % 7).cast("int").alias("image"), F.col("label").cast("int").alias("truth"), folded("embedding", 10).alias("scores"),
     )
 
 
@@ -343,6 +347,13 @@ def cross_entropy_query(inputs):
     return out.select(F.round("loss", 6).alias("loss"))
 
 
+@query("cross_entropy_scores", ctes=SOFT + CE, sql="select round(loss, 6) as loss from ce")
+def cross_entropy_scores(inputs):
+    """As ``cross_entropy``, from scores by log-sum-exp."""
+    out = cross_entropy(_scored(inputs), WEIGHTS, 0.1, include_background=False)
+    return out.select(F.round("loss", 6).alias("loss"))
+
+
 @query(
     "region_losses",
     ctes=SOFT + DICE + """,
@@ -378,6 +389,19 @@ def compound_loss_query(inputs):
     return out.select(F.round("loss", 6).alias("loss"))
 
 
+@query(
+    "compound_loss_scores",
+    ctes=SOFT + CE + DICE,
+    sql="select round(ce.loss + 0.5*dice.loss, 6) as loss from ce, dice",
+)
+def compound_loss_scores(inputs):
+    """As ``compound_loss``, from scores by log-sum-exp."""
+    out = compound_loss(
+        _scored(inputs), ["crossentropyloss", "diceloss"], [1.0, 0.5], WEIGHTS, include_background=False, smoothing=0.1
+    )
+    return out.select(F.round("loss", 6).alias("loss"))
+
+
 @query(
     "best_run",
     sql="""

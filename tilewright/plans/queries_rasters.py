@@ -25,6 +25,7 @@ from ..operators.surfaces import (
 )
 from .queries_points import GRID_CELLS, IDW, roofs
 from .registry import query
+from .views import FOLD, folded
 
 # A roof holds a point: lower and left sides belong to it, upper and right ones do not.
 HOLDS = """((r.diamond = 0 and {x} >= r.xmin and {x} < r.xmax and {y} >= r.ymin and {y} < r.ymax)
@@ -504,27 +505,29 @@ def transform_crs(inputs):
     )
 
 
-SCALED = """
-  lim as (select min(embedding[1]) as r0, max(embedding[1]) as r1, min(embedding[2]) as g0, max(embedding[2]) as g1,
-    min(embedding[3]) as b0, max(embedding[3]) as b1 from embeddings),
-  rgb as (select vec_id, (embedding[1]::double - r0)/(r1::double - r0 + 1e-12) as r, (embedding[2]::double - g0)/(g1::double - g0 + 1e-12) as g,
-    (embedding[3]::double - b0)/(b1::double - b0 + 1e-12) as b from embeddings, lim)"""
+# Whole vectors as three and as seven bands: each is the sum of every third or seventh component.
+SCALED = f"""
+  band as (select vec_id, {FOLD.format(1, 3)} as r, {FOLD.format(2, 3)} as g, {FOLD.format(3, 3)} as b from embeddings),
+  lim as (select min(r) as r0, max(r) as r1, min(g) as g0, max(g) as g1, min(b) as b0, max(b) as b1 from band),
+  rgb as (select vec_id, (r - r0)/(r1 - r0 + 1e-12) as r, (g - g0)/(g1 - g0 + 1e-12) as g, (b - b0)/(b1 - b0 + 1e-12) as b from band, lim)"""
 
 
 def _scaled(inputs):
-    bands = vector_to_bands(inputs("embeddings").select("vec_id", "embedding"), "embedding")
+    rgb = inputs("embeddings").select("vec_id", folded("embedding", 3).alias("embedding"))
+    bands = vector_to_bands(rgb, "embedding", RGB_NAMES)
     return minmax_scale(bands, band_ranges(bands, RGB_NAMES), RGB_NAMES)
 
 
 @query(
     "band_ranges",
     sql="\n    union all ".join(
-        f"select '{b}' as band, min(embedding[{i}])::double as mn, max(embedding[{i}])::double as mx from embeddings"
+        f"select '{b}' as band, round(min({FOLD.format(i, 7)}), 6) as mn, round(max({FOLD.format(i, 7)}), 6) as mx from embeddings"
         for i, b in enumerate(["red", "green", "blue", "reflectance", "slope", "ndrm", "density"], start=1)
     ),
 )
 def band_ranges_query(inputs):
-    return band_ranges(vector_to_bands(inputs("embeddings"), "embedding"))
+    ranges = band_ranges(vector_to_bands(inputs("embeddings").select(folded("embedding", 7).alias("embedding")), "embedding"))
+    return ranges.select("band", F.round("mn", 6).alias("mn"), F.round("mx", 6).alias("mx"))
 
 
 @query("minmax_scale", ctes=SCALED, sql="select vec_id, round(r, 6) as red, round(g, 6) as green, round(b, 6) as blue from rgb")

@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -103,6 +104,16 @@ VIEWS = {
 }
 
 
+# The sum of every n-th component of a vector, from the given one on (counted from 1): whole vectors become n numbers.
+FOLD = "list_reduce(list_transform(range({0}, len(embedding) + 1, {1}), lambda k: embedding[k]::double), lambda a, x: a + x)"
+
+
+def folded(vector: str, n: int) -> Column:
+    """All components of a vector as ``n`` sums: the sum of every n-th, from each of the first n on."""
+    part = lambda c: F.filter(F.col(vector), lambda v, k: k % n == c)
+    return F.array(*[F.aggregate(part(c), F.lit(0.0), lambda a, v: a + v.cast("double")) for c in range(n)])
+
+
 def with_clause(text: str) -> str:
     """The ``with`` clause that defines every view a query text needs, in order."""
     needed: list[str] = []
