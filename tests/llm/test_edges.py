@@ -26,6 +26,8 @@ BENCHMARK = [(None, None), (1, ""), (2, "one"), (3, " ".join(f"w{k}" for k in ra
 def same_count(name, rows, folder_rows):
     if name.startswith(("op1_", "op3_", "op5_", "op6_", "op7_", "op9_", "op10_", "op11_", "op12_")):
         assert len(rows) == folder_rows
+    if name.startswith("op4_"):
+        assert len(rows) == len(PAGES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -35,6 +37,14 @@ def test_odd_rows(name, clashing, folder, rows_of):
     same_count(name, rows_of(name, path), len(ODD))
 
 
+def test_repeated_pages_are_captures_of_their_own(folder, rows_of):
+    """Rows that repeat id and html, with other urls or none, and null ids with equal html."""
+    pages = [(1, "http://h/a", "<p>x"), (1, "http://h/a", "<p>x"), (2, "http://h/b", "<p>x"), (None, "u", "<p>x"), (None, None, "<p>x"), (2, "http://h/c", "<p>x")]
+    rows = rows_of("op4_warc_round_trip", folder(pages=pages))
+    found = sorted((str(r["page_id"]), r["record_type"], r["refers_to"], r["payload_bytes"], r["n_requests"]) for r in rows)
+    assert found == [("1", "response", None, 4, 1)] * 2 + [("2", "revisit", 1, 4, 1)] * 2 + [("None", "response", None, 4, 1)] * 2
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(name, folder, rows_of):
     assert rows_of(name, folder()) == []

@@ -20,9 +20,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 # Bits of an id; an entry that is none.
 BITS = 17
@@ -156,7 +157,10 @@ def merge_words(word: Column, table: Ranks) -> Column:
 
 
 def frequent_words(docs: DataFrame, pattern: str, cache_words: int, sample_docs: int) -> DataFrame:
-    """``word``: the ``cache_words`` most frequent words of about ``sample_docs`` documents chosen by a hash of their id."""
+    """``word``: the most frequent words, at most ``cache_words``, of about ``sample_docs`` documents chosen by a hash of their id.
+
+    All words of a count are taken or none.
+    """
     import regex
 
     n = docs.count()
@@ -171,8 +175,12 @@ def frequent_words(docs: DataFrame, pattern: str, cache_words: int, sample_docs:
                 counts.update(find(text))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    counted = chosen.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word")
+    counted = written(chosen.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    # The least count that leaves no more words than asked for, from how many words have each count: no task sorts them.
+    having = counted.groupBy("n").agg(F.count("*").alias("words"))
+    upto = having.select("n", F.sum("words").over(W.orderBy(F.desc("n"))).alias("upto")).where(F.col("upto") <= cache_words)
+    least = upto.agg(F.min("n").alias("least")).first().least
+    return counted.where(F.col("n") >= (least or 2**62)).select("word")
 
 
 def _packed(ids: pa.ListArray) -> list[bytes]:

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -49,8 +50,8 @@ def _record_id(*parts: Column) -> Column:
 
 
 def plan_captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``page_id, url, html, sha1, n, first``: ``first`` is the smallest page_id with an equal payload where the page
-    revisits it, else null.
+    """``page_id, url, html, sha1, n, first, copy``: ``first`` is the smallest page_id with an equal payload where the page
+    revisits it, else null. ``copy`` numbers rows of one page_id and payload from 1, so that each becomes a capture of its own.
 
     Only digests are grouped and joined to find copies; payloads are equal if SHA-1 and length are. A null html
     is an empty payload. A null page_id is never revisited nor a revisit.
@@ -60,7 +61,9 @@ def plan_captures(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     facts = rows.where(F.col("n") >= min_bytes).select("page_id", "sha1", "n")
     firsts = facts.groupBy("sha1", "n").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
     revisits = facts.join(firsts, ["sha1", "n"]).where("page_id > first").select("page_id", "sha1", "first").distinct()
-    return rows.join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "html", "sha1", "n", "first")
+    # The join has brought these rows together; which of them comes first does not matter.
+    met = W.partitionBy("page_id", "sha1").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return rows.join(revisits, ["page_id", "sha1"], "left").select("page_id", "url", "html", "sha1", "n", "first", F.count(F.lit(1)).over(met).alias("copy"))
 
 
 def _record(kind: str, record_id: Column, headers: list[tuple[str, Column]], content_type: str, block: Column) -> Column:
@@ -77,9 +80,9 @@ def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.col("sha1")))
     again = F.col("first").isNotNull()
     kind = F.when(again, F.lit("revisit")).otherwise(F.lit("response"))
-    own = _record_id(kind, F.col("page_id"), F.col("sha1"))
-    asked = _record_id(F.lit("request"), F.col("page_id"), F.col("sha1"))
-    noted = _record_id(F.lit("metadata"), F.col("page_id"), F.col("sha1"))
+    own = _record_id(kind, F.col("page_id"), F.col("sha1"), F.col("copy"))
+    asked = _record_id(F.lit("request"), F.col("page_id"), F.col("sha1"), F.col("copy"))
+    noted = _record_id(F.lit("metadata"), F.col("page_id"), F.col("sha1"), F.col("copy"))
     stamp = F.lit(date)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     base = [("WARC-Target-URI", url), ("WARC-Date", stamp)]
@@ -88,7 +91,7 @@ def write_warc(captures: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z
         again,
         _record("revisit", own, [
             *base, ("WARC-Payload-Digest", digest), ("WARC-Profile", profile),
-            ("WARC-Refers-To", _record_id(F.lit("response"), F.col("first"), F.col("sha1"))),
+            ("WARC-Refers-To", _record_id(F.lit("response"), F.col("first"), F.col("sha1"), F.lit(1))),
         ], "application/http;msgtype=response", http),
     ).otherwise(
         _record("response", own, [*base, ("WARC-Payload-Digest", digest)], "application/http;msgtype=response", F.concat(http, F.col("html")))
