@@ -19,11 +19,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import new_folder, open_store, text_of, written
 
 # Bits of an id; an entry that is none.
 BITS = 17
@@ -198,6 +199,25 @@ def _is_text(piece: bytes) -> bool:
     return True
 
 
+# What a Python worker holds: the last table of folded words that it has read.
+_held: dict[str, tuple[list[str], list[bytes]]] = {}
+
+
+def _known_words(folder: str, pieces) -> tuple[list[str], list[bytes]]:
+    """Words and their ids: the table of folded words in ``folder``, and the words that have a rank of their own, in a fixed order."""
+    if folder not in _held:
+        store, place = open_store(folder)
+        table = pq.read_table(place, filesystem=store).sort_by("word")
+        known = {}
+        for batch in table.to_batches():
+            known.update(zip(batch.column(0).to_pylist(), _packed(batch.column(1))))
+        # A word that has a rank of its own is that one id.
+        known |= {piece.decode(): np.array([rank], "<u4").tobytes() for rank, piece in pieces.value.items() if _is_text(piece)}
+        _held.clear()
+        _held[folder] = (list(known), list(known.values()))
+    return _held[folder]
+
+
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False, keep: list[str] | None = None,
     cache_words: int = 300_000, sample_docs: int = 40_000,
@@ -211,15 +231,11 @@ def encode(
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of("text").alias("text"))
     table = rank_map(ranks)
+    # The folded words are a table in the shared folder, which every Python worker reads for itself; none come to the driver.
+    folder = new_folder(spark, "folded-words")
     words = frequent_words(rows, pattern, cache_words, sample_docs)
-    known = words.select("word", merge_words(F.col("word"), table).alias("ids")).toArrow()
-    cache = dict(zip(known.column(0).to_pylist(), _packed(known.column(1).combine_chunks())))
-    del known
-    # A word that has a rank of its own is that one id.
-    cache |= {piece.decode(): np.array([rank], "<u4").tobytes() for piece, rank in ranks.items() if _is_text(piece)}
-    held = spark.sparkContext.broadcast((list(cache), list(cache.values())))
-    del cache
-    pieces = spark.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()} if decode else None)
+    words.select("word", merge_words(F.col("word"), table).alias("ids")).write.parquet(folder)
+    pieces = spark.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})
 
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "ids", "decoded")]
     fields = docs.select(*names).schema
@@ -230,7 +246,7 @@ def encode(
         import regex
 
         find = regex.compile(pattern).findall
-        number = {w: k for k, w in enumerate(held.value[0])}
+        number = {w: k for k, w in enumerate(_known_words(folder, pieces)[0])}
         for batch in batches:
             texts = batch.column(1)
             start = 0
@@ -261,8 +277,7 @@ def encode(
                 start = stop
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached = held.value[1]
-        piece = pieces.value
+        cached, piece = _known_words(folder, pieces)[1], pieces.value
         for batch in batches:
             for k in range(batch.num_rows):
                 rare = _packed(batch.column(2)[k].values)[::-1]

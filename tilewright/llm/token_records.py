@@ -24,12 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rank import running_total
-from .common import flat_texts, text_of, text_slices, words_of
+from .common import flat_texts, open_store, text_of, text_slices, words_of
 
 # Fixed values of the checksum and of its mask.
 CRC32C_POLYNOMIAL = 0x82F63B78
@@ -127,11 +126,6 @@ def masked(crc: np.ndarray) -> np.ndarray:
     return ((crc >> np.uint32(15)) | (crc << np.uint32(17))) + np.uint32(MASK_DELTA)
 
 
-def open_store(path: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a path or address, and the path in it."""
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 class WordEncoder:
     """Ids of texts by a lower-casing tokenizer of the ``tokenizers`` library that cuts words like ``word_bpe_49k.json``.
 
