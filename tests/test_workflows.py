@@ -10,8 +10,9 @@ from tilewright.operators.sampling import candidate_tiles, fill_quota, sample_ti
 from tilewright.operators.scoring import classify_tile, zonal_majority
 from tilewright.operators.stats import band_ranges
 from tilewright.plans.stages import (
-    build_stack, clean_points, cut_chips, image_grids, import_annotations, parse_images, parse_points, run_stages,
+    build_stack, clean_points, cut_chips, image_grids, import_annotations, parse_images, parse_points, remask, run_stages,
 )
+from tilewright.functions.naming import sanitize_name
 from tilewright.operators.grid import with_shape
 from tilewright.schema import BANDS, POINTS, RING, SURFACES, class_table
 
@@ -124,6 +125,30 @@ def test_import_annotations(spark):
         import_annotations(mask_df, image_df, class_table(spark), splitting="sorted")
 
 
+def test_import_masks_the_background_again(spark):
+    """Chips of 4 x 4 cells of a tile whose left half has a roof: labels outside it become background and do not count."""
+    surfaces = spark.createDataFrame([("9-1-1", "2.2", 1, "b1", 4.0, box(0, 0, 6, 12))], SURFACES)
+    grids = spark.createDataFrame([("9-1-1", 0.0, 0.0, 12.0, 12.0, 1.0)], "tile_id string, xmin double, ymin double, xmax double, ymax double, res double")
+    rows = [(f"x/9-1-1_{b}_{k}_png.rf.z.png", r, c, 1 + (r + c) % 2) for b in range(3) for k in range(3) for r in range(4) for c in range(4)]
+    masks = spark.createDataFrame(rows, "image string, row_no int, col_no int, class_id int")
+    flat = masks.withColumn("image", sanitize_name(F.col("image")))
+    got = {(r["image"], r["row_no"], r["col_no"]): r["class_id"] for r in remask(flat, surfaces, grids, 4).collect()}
+    assert len(got) == 9 * 16
+    for (image, r, c), value in got.items():
+        bcol = int(image.split("_")[2].split(".")[0])
+        assert value == (1 + (r + c) % 2 if 4 * bcol + c < 6 else 0)
+    images = flat.select("image", "row_no", "col_no", *[F.lit(0.5).alias(b) for b in BANDS])
+    out = import_annotations(masks, images, class_table(spark), "random", surfaces=surfaces, grids=grids, chip_size=4)
+    counts = {(r["image"], r["class_id"]): r["n"] for r in out.counts.collect() if r["n"]}
+    assert sum(n for (_, c), n in counts.items() if c) == 6 * 12
+    with pytest.raises(Exception, match="no chip"):
+        remask(flat.withColumn("image", F.lit("other.tif")), surfaces, grids, 4).collect()
+    with pytest.raises(Exception, match="no grid"):
+        remask(flat, surfaces, grids.where("false"), 4).collect()
+    with pytest.raises(ValueError):
+        import_annotations(masks, images, class_table(spark), "random", surfaces=surfaces)
+
+
 def test_run_stages(spark):
     df = spark.range(3)
     add = lambda d: d.withColumn("id", F.col("id") + 1)

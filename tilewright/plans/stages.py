@@ -125,6 +125,24 @@ def cut_chips(
     return accepted.join(limit_chips(accepted.select(*key).distinct(), limit), key, "left_semi")
 
 
+def remask(masks: DataFrame, surfaces: DataFrame, grids: DataFrame, size: int = BLOCK_SIZE) -> DataFrame:
+    """Masks ``image, row_no, col_no, class_id`` of chips with class 0 outside the surfaces of their tile.
+
+    The place of a chip in its tile is read from its name (``chip_id``, with or without an extension). An image whose name holds none, or
+    whose tile has no grid, raises.
+    """
+    part = lambda k: F.regexp_extract("image", r"^(.*)_(\d+)_(\d+)(\.[^_]*)?$", k)
+    named = masks.select("image", "row_no", "col_no", "class_id", part(1).alias("tile_id"), part(2).alias("_brow"), part(3).alias("_bcol"))
+    wrong = F.raise_error(F.concat(F.lit("no chip: "), "image")).cast("int")
+    at = lambda cell, block: (F.col(cell) + F.when(F.col("tile_id") != "", F.col(block).cast("int")).otherwise(wrong) * size).cast("int")
+    keep = named.withColumns({"_row": F.col("row_no"), "_col": F.col("col_no"), "row_no": at("row_no", "_brow"), "col_no": at("col_no", "_bcol")})
+    known = keep.join(grids.select("tile_id", F.lit(True).alias("_grid")).distinct(), "tile_id", "left")
+    # A condition on the rows, since values outside the surfaces are never looked at.
+    known = known.where(F.when(F.col("_grid"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no grid: "), "tile_id")).cast("boolean")))
+    masked = mask_to_surfaces(known.drop("_grid", "_brow", "_bcol"), surfaces, grids, ["class_id"])
+    return masked.select("image", F.col("_row").alias("row_no"), F.col("_col").alias("col_no"), F.coalesce("class_id", F.lit(0)).cast("int").alias("class_id"))
+
+
 @dataclass(frozen=True)
 class Annotations:
     """Result of :func:`import_annotations`."""
@@ -146,13 +164,23 @@ def import_annotations(
     lengths: Sequence[float] = (0.70, 0.15, 0.15),
     seed=0,
     sanitize: Callable[[Column], Column] = sanitize_name,
+    surfaces: DataFrame | None = None,
+    grids: DataFrame | None = None,
+    chip_size: int = BLOCK_SIZE,
     **options,
 ) -> Annotations:
-    """Masks ``image, row_no, col_no, class_id`` (already masked to surfaces) to dataset tables.
+    """Masks ``image, row_no, col_no, class_id`` to dataset tables.
 
-    ``sanitize`` maps provider file names to image names. Masks are rewritten once, with the new ids.
+    ``sanitize`` maps provider file names to image names. With ``surfaces`` and ``grids``, everything outside the surfaces becomes
+    background first (:func:`remask`, chips of ``chip_size``); without them the masks have to be masked already. Masks are rewritten once,
+    with the new ids.
     """
-    named = drop_invalid_class(masks.withColumn("image", sanitize(F.col("image"))), classes)
+    if (surfaces is None) != (grids is None):
+        raise ValueError("give surfaces and grids, or none of them")
+    masks = masks.withColumn("image", sanitize(F.col("image")))
+    if surfaces is not None:
+        masks = remask(masks, surfaces, grids, chip_size)
+    named = drop_invalid_class(masks, classes)
     counts = class_counts(named)
     mapping = class_mapping(counts)
     new_counts = reindex_classes(counts, mapping)
