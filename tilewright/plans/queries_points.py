@@ -9,7 +9,7 @@ from ..functions.naming import base_name, resolve_tile_id
 from ..functions.numeric import db_to_linear
 from ..operators.catalog import check_tile_ids, exclude_seen, fetch_plan, verify_checksums
 from ..operators.neighbors import knn_join, radius_count, radius_join
-from ..operators.points import bounds, crop_points, dedupe_points, global_density, grid_idw, merge_points, point_density
+from ..operators.points import bounds, crop_points, dedupe_points, global_density, grid_idw, merge_points, point_density, scale_coords
 from ..operators.raster import slope
 from .registry import query
 
@@ -254,6 +254,15 @@ def radius_count_query(inputs):
     return radius_count(_centers(inputs), inputs("v_cloud"), 6.1, 2)
 
 
+@query(
+    "scale_coords",
+    sql="select idx, round(xi*0.1::double + 7, 6) as x, round(yi*0.1::double + 7, 6) as y, round(zi*0.1::double + 7, 6) as z from v_points",
+)
+def scale_coords_query(inputs):
+    out = scale_coords(inputs("v_points").select("idx", "xi", "yi", "zi"), 0.1, 7.0)
+    return out.select("idx", *[F.round(c, 6).alias(c) for c in "xyz"])
+
+
 @query(
     "knn_join",
     ctes=CENTERS,

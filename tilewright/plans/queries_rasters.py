@@ -13,7 +13,7 @@ from ..operators.features import append_hsv, append_lab, append_tgi, select_band
 from ..operators.grid import cell_centers, empty_cells, with_shape
 from ..operators.points import grid_idw
 from ..operators.raster import (
-    fill_voids, mosaic, percentile_clip, preserve_total, replace_null, resample_bilinear, resample_nearest, slope,
+    fill_all_voids, fill_voids, mosaic, percentile_clip, preserve_total, replace_null, resample_bilinear, resample_nearest, slope,
     snap_bounds, stack_bands,
 )
 from ..operators.sampling import sample_tiles, seeded_locations
@@ -69,6 +69,30 @@ def fill_voids_query(inputs):
     return out.withColumn("v_null", F.round("v_null", 4))
 
 
+def _pass(k):
+    """One filling pass of radius 1: the mean of the valid neighbours in the four directions."""
+    return f"""
+  fill{k + 1} as (select c.tile_id, c.row_no, c.col_no, coalesce(max(c.v), avg(n.v)) as v
+    from fill{k} c left join fill{k} n on n.tile_id = c.tile_id and c.v is null and n.v is not null
+      and abs(n.row_no - c.row_no) + abs(n.col_no - c.col_no) = 1 group by 1, 2, 3)"""
+
+
+# Passes after the last one that fills anything change nothing; eight are more than the voids of these rasters take.
+@query(
+    "fill_all_voids",
+    ctes="fill0 as (select tile_id, row_no, col_no, case when (row_no % 5 in (1, 2) and col_no between 3 and 6) then null else v_null end as v from v_cells),"
+    + ",".join(_pass(k) for k in range(8)),
+    sql="select tile_id, row_no, col_no, round(v, 4) as v from fill8",
+)
+def fill_all_voids_query(inputs):
+    """Voids of two rows and four columns and single ones, filled from their rims inward, one pass after another."""
+    hole = F.col("row_no").cast("int") % 5
+    cells = inputs("v_cells").select(
+        "tile_id", "row_no", "col_no", F.when(hole.isin(1, 2) & F.col("col_no").between(3, 6), None).otherwise(F.col("v_null")).alias("v")
+    )
+    return fill_all_voids(cells, "v", radius=1, block=16).withColumn("v", F.round("v", 4))
+
+
 @query(
     "points_in_surfaces",
     sql=f"select p.idx, r.surface_id from v_cloud p join v_roofs r on p.tile_id = r.tile_id and {HOLDS.format(x='p.x', y='p.y')}",
