@@ -3,8 +3,9 @@
 A document leaks an item if ``WINDOW`` neighbouring tokens of both agree in all but ``ERRORS`` places. The window
 is cut into ``ERRORS + 2`` blocks; so many errors leave two blocks untouched, and one mask per pair of blocks,
 ignoring all other places, finds every such window. Hashes of masked test and training windows are joined, and
-each hit is verified token by token in the join condition. Items shorter than the window are matched exactly and
-as a whole if they have ``LEAST`` tokens or more; shorter ones cannot be told from ordinary text.
+each hit is verified token by token in the join condition. An item shorter than the window is one window of its own
+size, with masks of that size and the errors that ``errors_of`` allows it. Items of fewer than ``LEAST`` tokens, which
+stand in ordinary sentences by chance, are found where they make up a whole line. An item without tokens is never found.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import fresh, text_of
 
 WINDOW, ERRORS, LEAST = 12, 2, 5
+# Windows of at least so many tokens may have one substitution; shorter ones none.
+ONE_ERROR = 8
 # Test windows that are broadcast at most: 1 KB each at the outside.
 BROADCAST_WINDOWS = 200_000
 TOKEN = r"[\p{L}\p{N}]+"
@@ -41,38 +44,95 @@ def _seeds(words: Column, at: Column, window: int, kept: list[tuple[int, ...]])
     ])
 
 
+def errors_of(size: int, window: int = WINDOW, errors: int = ERRORS) -> int:
+    """Substitutions that a window of ``size`` tokens may have."""
+    return errors if size >= window else min(errors, 1 if size >= ONE_ERROR else 0)
+
+
+def _differ(size: int, left, right) -> Column:
+    """In how many of ``size`` places two windows differ."""
+    return sum((F.when(left(j) == right(j), 0).otherwise(1) for j in range(size)), F.lit(0))
+
+
+def _near(shapes: list[tuple[int, int]], left) -> Column:
+    """Whether the window of ``part`` agrees with the tokens ``left(place)`` but for the errors of its size."""
+    part = lambda j: F.get("part", F.lit(j))
+    (first, most), *rest = shapes
+    if not rest:
+        return _differ(first, left, part) <= most
+    near = F.when(F.col("size") == first, _differ(first, left, part) <= most)
+    for size, most in rest:
+        near = near.when(F.col("size") == size, _differ(size, left, part) <= most)
+    return near
+
+
+def _spans(seen: DataFrame, test: DataFrame, window: int, errors: int) -> DataFrame:
+    """``doc_id, item_id, q, at``: windows of ``test(item_id, words)`` in ``seen(doc_id, words)``.
+
+    One pass over the documents probes all sizes of window that occur.
+    """
+    sizes = [r.n for r in test.select(F.least(F.size("words"), F.lit(window)).alias("n")).distinct().collect()]
+    shapes = [(n, errors_of(n, window, errors)) for n in sorted(sizes, reverse=True)] or [(window, errors)]
+    kept = {n: masks(n, most) if most else [tuple(range(n))] for n, most in shapes}
+    asked = None
+    for n, _ in shapes:
+        mine = test.where(F.least(F.size("words"), F.lit(window)) == n)
+        mine = mine.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - n)).alias("q")).select(
+            "item_id", "q", F.lit(n).alias("size"), F.slice("words", F.col("q") + 1, n).alias("part"),
+            F.explode(_seeds(F.col("words"), F.col("q"), n, kept[n])).alias("seed"),
+        )
+        asked = mine if asked is None else asked.union(mine)
+    least = shapes[-1][0]
+    places = seen.where(F.size("words") >= least).select("doc_id", "words", F.posexplode("words").alias("at", "_w"))
+    places = places.where(F.col("at") <= F.size("words") - least)
+    seeds = _seeds(F.col("words"), F.col("at"), least, kept[least])
+    if len(shapes) > 1:
+        none = F.array().cast("array<bigint>")
+        fits = lambda n: F.col("at") <= F.size("words") - n
+        seeds = F.concat(*[F.when(fits(n), _seeds(F.col("words"), F.col("at"), n, kept[n])).otherwise(none) for n, _ in shapes])
+    hits = places.select("doc_id", "words", "at", F.explode(seeds).alias("seed"))
+    if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        met = hits.join(F.broadcast(asked), (hits.seed == asked.seed) & _near(shapes, lambda j: F.get("words", F.col("at") + j)))
+    else:
+        # Only the few windows whose seed occurs in the test set go on to be joined with their tokens.
+        own = hits.select("doc_id", "at", F.slice("words", F.col("at") + 1, shapes[0][0]).alias("words"), "seed")
+        met = own.join(asked.select("seed").distinct().hint("shuffle_hash"), "seed", "left_semi").alias("l")
+        met = met.join(asked.alias("r"), (F.col("l.seed") == F.col("r.seed")) & _near(shapes, lambda j: F.get("words", F.lit(j))))
+    return met.select("doc_id", "item_id", "q", "at")
+
+
+def _whole_lines(docs: DataFrame, test: DataFrame, least: int) -> DataFrame:
+    """``doc_id, item_id, q, at``: the first and the last line of a document that is an item of ``test(item_id, words)``.
+
+    ``at`` counts tokens. Each distinct short line of a document is looked up once.
+    """
+    n_of = lambda key: F.when(key == "", 0).otherwise(F.size(F.split(key, " ")))
+    asked = test.select("item_id", F.array_join("words", " ").alias("key"))
+    if asked.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
+        asked = F.broadcast(asked)
+    lined = docs.select("doc_id", F.transform(F.split(text_of("text"), "\n", -1), lambda x: F.array_join(tokens(x), " ")).alias("lines"))
+    short = F.array_distinct(F.filter("lines", lambda k: (k != "") & (n_of(k) < least)))
+    met = lined.select("doc_id", "lines", F.explode(short).alias("key")).join(asked, "key")
+    first = F.array_position("lines", F.col("key")).cast("int")
+    last = F.size("lines") + 1 - F.array_position(F.reverse("lines"), F.col("key")).cast("int")
+    before = lambda line: F.aggregate(F.slice("lines", F.lit(1), line - 1), F.lit(0), lambda n, k: n + n_of(k))
+    return met.select("doc_id", "item_id", F.lit(0).alias("q"), F.explode(F.array(before(first), before(last))).alias("at"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, errors: int = ERRORS) -> DataFrame:
     """``doc_id, item_id, n_windows, first_at, last_at`` for each leak: windows of the item that the document has, and
-    where the first and last of them begin in it.
+    where the first and last of them begin in it, counted in tokens.
 
     Null texts have no tokens; a null id is a value like others. Equal windows of one document and one item
     count once. Rows that repeat an id are taken together.
     """
-    test = items.select("item_id", tokens(text_of("text")).alias("words")).where(F.size("words") >= LEAST)
+    test = items.select("item_id", tokens(text_of("text")).alias("words")).where(F.size("words") > 0)
+    least = min(LEAST, window)
     seen = docs.select("doc_id", tokens(text_of("text")).alias("words"))
-    short = [r.n for r in test.where(F.size("words") < window).select(F.size("words").alias("n")).distinct().collect()]
-    shapes = [(window, masks(window, errors), errors)] + [(n, [tuple(range(n))], 0) for n in sorted(short)]
-    found = None
-    for size, kept, most in shapes:
-        asked = test.where(F.size("words") >= window if size == window else F.size("words") == size)
-        asked = asked.select("item_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("q")).select(
-            "item_id", "q", F.slice("words", F.col("q") + 1, size).alias("part"), F.explode(_seeds(F.col("words"), F.col("q"), size, kept)).alias("seed")
-        )
-        n = asked.limit(BROADCAST_WINDOWS + 1).count()
-        places = seen.where(F.size("words") >= size).select("doc_id", "words", F.posexplode("words").alias("at", "_w"))
-        places = places.where(F.col("at") <= F.size("words") - size)
-        hits = places.select("doc_id", "words", "at", F.explode(_seeds(F.col("words"), F.col("at"), size, kept)).alias("seed"))
-        differ = sum((F.when(F.get("words", F.col("at") + j) == F.get("part", F.lit(j)), 0).otherwise(1) for j in range(size)), F.lit(0))
-        if n <= BROADCAST_WINDOWS:
-            met = hits.join(F.broadcast(asked), (hits.seed == asked.seed) & (differ <= most))
-        else:
-            # Only the few windows whose seed occurs in the test set go on to be joined with their tokens.
-            own = hits.select("doc_id", "at", F.slice("words", F.col("at") + 1, size).alias("words"), "seed")
-            met = own.join(asked.select("seed").distinct().hint("shuffle_hash"), "seed", "left_semi").alias("l")
-            shifted = sum((F.when(F.get("words", F.lit(j)) == F.get("part", F.lit(j)), 0).otherwise(1) for j in range(size)), F.lit(0))
-            met = met.join(asked.alias("r"), (F.col("l.seed") == F.col("r.seed")) & (shifted <= most))
-        part = met.select("doc_id", "item_id", "q", "at")
-        found = part if found is None else found.union(part)
+    found = _spans(seen, test.where(F.size("words") >= least), window, errors)
+    short = test.where(F.size("words") < least)
+    if not short.isEmpty():
+        found = found.union(_whole_lines(docs, short, least))
     spans = found.groupBy("doc_id", "item_id", "q").agg(F.min("at").alias("low"), F.max("at").alias("high"))
     return spans.groupBy("doc_id", "item_id").agg(
         F.count("*").alias("n_windows"), F.min("low").alias("first_at"), F.max("high").alias("last_at")

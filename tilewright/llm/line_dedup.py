@@ -18,23 +18,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.rank import bucketed_rank
 from .common import fresh, written
 
 EDITS, LEAST = 2, 20
 # Rows of a few numbers that are broadcast at most.
 BROADCAST = 1_000_000
-# A place is doc_id * LINES + line number; both are checked to fit.
-LINES = 1 << 22
+# A place is a document's number * LINES + line number; twice a place is a 64-bit number. An array of LINES texts is
+# beyond what a row of Spark holds.
+LINE_BITS, NUMBERS = 27, 1 << 35
+LINES = 1 << LINE_BITS
+# Ranges of ids that are ranked apart.
+RANGES = 256
 LETTERS = "etaoinsrhludcwmgpbfyv .|,0123456789"
 
 
-def split_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, place, line`` of every line; a null text has none. A null doc_id comes before all others."""
-    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))
-    rows = docs.select("doc_id", number.alias("_d"), F.posexplode(F.split("text", "\n", -1)).alias("_n", "line"))
-    fits = (F.abs("_d") < (1 << 39)) & (F.col("_n") < LINES)
-    place = F.when(fits, F.col("_d") * LINES + F.col("_n")).otherwise(F.raise_error(F.lit("doc_id or line number too large")).cast("bigint"))
-    return rows.select("doc_id", place.alias("place"), "line")
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number below ``NUMBERS`` per doc_id that keeps their order, -1 for null.
+
+    Ids that are such numbers number themselves. Others (hashed or negative ids) are ranked: ranges of ids in
+    parallel, then added up by the counts of the ranges before.
+    """
+    ids = F.col("doc_id").cast("bigint")
+    low, high = docs.agg(F.min(ids), F.max(ids)).first()
+    if low is None or (low >= 0 and high < NUMBERS):
+        return docs.withColumn(name, F.coalesce(ids, F.lit(-1)))
+    key, bucket, kept = fresh(docs, "_key", "_bucket", "_kept")
+    known = written(docs.select(ids.alias(key)).where(F.col(key).isNotNull()).distinct(), "doc-ids")
+    bounds = known.stat.approxQuantile(key, [k / RANGES for k in range(1, RANGES)], 0.25 / RANGES) if low < high else []
+    # Cuts near the quantiles; which ones does not change the numbers.
+    cuts = F.array(*[F.lit(min(int(x), (1 << 63) - 1)) for x in sorted(set(bounds))]).cast("array<bigint>")
+    ranked = bucketed_rank(known.withColumn(bucket, F.size(F.filter(cuts, lambda c: c <= F.col(key)))), bucket, [key], name=name)
+    ranked = written(ranked.select(F.col(key).alias(kept), name), "doc-numbers")
+    return docs.withColumn(key, ids).join(ranked, F.col(key) == F.col(kept), "left").withColumn(name, F.coalesce(name, F.lit(-1))).select(*docs.columns, name)
+
+
+def split_lines(docs: DataFrame, number: str) -> DataFrame:
+    """``place, line`` of every line; a null text has none. The number -1, of a null doc_id, comes before all others."""
+    return docs.select(F.col(number).alias("_d"), F.posexplode(F.split("text", "\n", -1)).alias("_n", "line")).select(
+        (F.col("_d") * LINES + F.col("_n")).alias("place"), "line"
+    )
 
 
 def selection(edits: int) -> list[tuple[int, int, int]]:
@@ -159,13 +182,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, equal_least: int = LEAST) -> DataFrame:
-    """``place`` of all lines that go; a line is judged by what stands before it, not by what stays.
+def repeated_lines(docs: DataFrame, number: str, edits: int = EDITS, least: int = LEAST, equal_least: int = LEAST) -> DataFrame:
+    """``place`` of all lines of documents with a ``number`` that go; a line is judged by what stands before it, not by what stays.
 
     Texts are not shuffled: equal lines meet by a 128-bit hash, and only the texts of candidates are gathered.
     """
     long = F.length("line") >= least
-    rows = split_lines(docs).where(long | ((F.length("line") >= equal_least) & F.col("line").rlike(r"\S")))
+    rows = split_lines(docs, number).where(long | ((F.length("line") >= equal_least) & F.col("line").rlike(r"\S")))
     hashed = rows.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
     equal = hashed.groupBy("h", "g").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
     equal = _small(written(equal.drop("last"), "equal-lines"), BROADCAST)
@@ -214,15 +237,15 @@ def dedup(docs: DataFrame, edits: int = EDITS, least: int = LEAST, equal_least:
     All rows are returned. Lines that stay keep their order. Rows that repeat a doc_id are taken as one document:
     their n-th lines share a place, so equal ones do not remove each other.
     """
-    gone = repeated_lines(docs, edits, least, least if equal_least is None else equal_least)
-    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1))
+    number, key, cut_column = fresh(docs, "_number", "_d", "_cut")
+    rows = numbered(docs, number)
+    gone = repeated_lines(rows, number, edits, least, least if equal_least is None else equal_least)
     kept_columns = [c for c in docs.columns if c not in ("_lines", "_gone")]
-    key, cut_column = fresh(docs, "_d", "_cut")
-    cut = gone.groupBy(F.floor(F.col("place") / LINES).cast("bigint").alias(key)).agg(
+    cut = gone.groupBy(F.shiftright("place", LINE_BITS).alias(key)).agg(
         F.collect_set(F.pmod(F.col("place"), F.lit(LINES)).cast("int")).alias(cut_column)
     )
     parts = F.split("text", "\n", -1)
-    joined = docs.select(*kept_columns).withColumn(key, number).join(cut, key, "left").drop(key)
+    joined = rows.select(*kept_columns, number).join(cut, F.col(number) == F.col(key), "left").drop(number, key)
     kept = F.transform(
         F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(cut_column, s["i"])), lambda s: s["x"]
     )

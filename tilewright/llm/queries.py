@@ -155,9 +155,17 @@ near as (
   select d.doc_id, s.item_id, 0 as q, p.at as p
   from (select * from i where len(w) between 5 and 11) s,
     d, lateral (select unnest(generate_series(0, len(d.w) - len(s.w))) as at) p
-  where d.w[p.at + 1:p.at + len(s.w)] = s.w
+  where len(list_filter(generate_series(1, len(s.w)), lambda j: d.w[p.at + j] <> s.w[j])) <= case when len(s.w) >= 8 then 1 else 0 end
 ),
-hits as (select * from far union all select * from near)
+line as (
+  select doc_id, n, regexp_extract_all(x, '[\\p{L}\\p{N}]+') as w
+  from (select doc_id, generate_subscripts(l, 1) as n, unnest(l) as x from (select doc_id, string_split(lower(coalesce(text, '')), chr(10)) as l from documents))),
+whole as (
+  select doc_id, item_id, 0 as q, p
+  from (select *, coalesce(sum(len(w)) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as p from line) x
+    join (select item_id, w from i where len(w) between 1 and 4) s using (w)
+),
+hits as (select * from far union all select * from near union all select * from whole)
 select doc_id, item_id, count(distinct q) as n_windows, cast(min(p) as int) as first_at, cast(max(p) as int) as last_at
 from hits group by doc_id, item_id
 """.replace("\\\\", "\\"))
