@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .distance import distance_transform
+
 # Smoothing of the region losses, Tversky weights, focal exponent.
 SMOOTH, TVERSKY_FP, TVERSKY_FN, GAMMA = 1e-5, 0.5, 0.5, 2.0
-LOSSES = ["crossentropyloss", "diceloss", "generalizeddiceloss", "focalloss", "tverskyloss"]
+# A class is predicted above this probability, and the exponent of the distance.
+PREDICTED, ALPHA = 0.5, 2.0
+LOSSES = ["crossentropyloss", "diceloss", "generalizeddiceloss", "focalloss", "tverskyloss", "hausdorffdtloss"]
 
 
 def log_softmax(scores: Column) -> Column:
@@ -80,7 +84,7 @@ def _overlaps(scored: DataFrame, include_background: bool) -> DataFrame:
 def region_loss(
     scored: DataFrame, kind: str, include_background: bool = True, reduction: str = "mean"
 ) -> DataFrame:
-    """Dice, generalised Dice, Tversky or focal loss as one row ``loss``.
+    """Dice, generalised Dice, Tversky, focal or Hausdorff loss as one row ``loss``.
 
     Region losses are taken per image and class (generalised Dice: per image), then reduced.
     """
@@ -90,6 +94,8 @@ def region_loss(
     reduce = reducers[reduction]
     if kind == "focalloss":
         return _focal(scored, include_background, reduction)
+    if kind == "hausdorffdtloss":
+        return _hausdorff(scored, include_background, reduction)
     tp, p, y = F.col("tp"), F.col("p"), F.col("y")
     parts = _overlaps(scored, include_background)
     if kind == "diceloss":
@@ -133,6 +139,30 @@ def _focal(scored: DataFrame, include_background: bool, reduction: str) -> DataF
     return rows.groupBy("image").agg(F.avg("pixel").alias("m")).agg(F.sum("m").alias("loss"))
 
 
+def _hausdorff(scored: DataFrame, include_background: bool, reduction: str) -> DataFrame:
+    """Hausdorff loss by distance transforms; needs the places ``row_no, col_no`` of the pixels.
+
+    Per image and class: the squared error of the probability times the mean over pixels of the distances to the
+    predicted and to the true boundary, raised to ``ALPHA``. A mask that holds no or all pixels has no boundary and
+    adds no distance.
+    """
+    scored = scored if "probs" in scored.columns else _logs(scored)
+    rows = scored.select("image", "row_no", "col_no", "truth", F.posexplode("probs").alias("class_id", "prob"))
+    if not include_background:
+        rows = rows.where("class_id > 0")
+    hit = F.col("truth") == F.col("class_id")
+    errors = rows.groupBy("image", "class_id").agg(F.sum(F.pow(F.col("prob") - hit.cast("double"), F.lit(2.0))).alias("error"), F.count("*").alias("n"))
+    masks = F.array(F.struct(F.lit(0).alias("mask"), (F.col("prob") > PREDICTED).alias("on")), F.struct(F.lit(1).alias("mask"), hit.alias("on")))
+    masked = rows.select("image", "class_id", "row_no", "col_no", F.inline(masks))
+    # Masks without a pixel in them have no boundary: they are left out before the transform.
+    marked = masked.where("on").select("image", "class_id", "mask").distinct()
+    far = distance_transform(masked.join(marked, ["image", "class_id", "mask"]), ["image", "class_id", "mask"], "on")
+    reach = far.groupBy("image", "class_id").agg(F.sum(F.pow("d2", F.lit(ALPHA / 2))).alias("far"))
+    parts = errors.join(reach, ["image", "class_id"], "left")
+    total = F.sum(F.col("error") * F.coalesce(F.col("far"), F.lit(0.0)) / F.col("n"))
+    return parts.agg((total / F.sum("n") if reduction == "mean" else total).alias("loss"))
+
+
 def compound_loss(
     scored: DataFrame,
     names: str | Sequence[str],

@@ -377,6 +377,36 @@ def region_losses(inputs):
     return out
 
 
+# Ten by ten pixels an image, in order of vec_id.
+PLACED = """,
+  hp as (select *, vec_id // 100 as im, vec_id % 100 // 10 as r, vec_id % 10 as c from soft where class_id > 0),
+  masks as (select im, class_id, r, c, 0 as mask, p > 0.5 as inside from hp union all select im, class_id, r, c, 1, truth = class_id from hp),
+  far as (select a.im, a.class_id, a.mask, a.r, a.c, min((a.r - b.r)*(a.r - b.r) + (a.c - b.c)*(a.c - b.c)) as d2
+    from masks a join masks b on a.im = b.im and a.class_id = b.class_id and a.mask = b.mask and a.inside <> b.inside group by all),
+  reach as (select im, class_id, sum(d2) as far from far group by all),
+  err as (select im, class_id, count(*) as n, sum(power(p - case when truth = class_id then 1 else 0 end, 2)) as error from hp group by all),
+  hd as (select sum(error*coalesce(far, 0)/n)/sum(n) as loss from err left join reach using (im, class_id))"""
+
+
+def _placed(inputs):
+    at = F.col("vec_id")
+    return _soft(inputs).withColumns({
+        "image": F.floor(at / 100), "row_no": F.floor(at % 100 / 10).cast("int"), "col_no": (at % 10).cast("int"),
+    })
+
+
+@query("hausdorff_loss", ctes=SOFT + PLACED, sql="select round(loss, 6) as loss from hd")
+def hausdorff_loss(inputs):
+    return region_loss(_placed(inputs), "hausdorffdtloss", include_background=False).select(F.round("loss", 6).alias("loss"))
+
+
+@query("compound_hausdorff", ctes=SOFT + CE + PLACED, sql="select round(ce.loss + 0.25*hd.loss, 6) as loss from ce, hd")
+def compound_hausdorff(inputs):
+    """Cross entropy and a share of the Hausdorff loss."""
+    out = compound_loss(_placed(inputs), ["CrossEntropyLoss", "HausdorffDTLoss"], [1.0, 0.25], WEIGHTS, include_background=False, smoothing=0.1)
+    return out.select(F.round("loss", 6).alias("loss"))
+
+
 @query(
     "compound_loss",
     ctes=SOFT + CE + DICE,

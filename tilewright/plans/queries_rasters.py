@@ -9,6 +9,7 @@ from ..functions.numeric import argmax
 from ..operators.chips import (
     augment_dihedral, background_filter, block_cells, chip_blocks, limit_chips, thin_chips,
 )
+from ..operators.distance import distance_transform
 from ..operators.features import append_hsv, append_lab, append_tgi, select_bands, vector_to_bands
 from ..operators.grid import cell_centers, empty_cells, with_shape
 from ..operators.points import grid_idw
@@ -212,6 +213,17 @@ def clip_surfaces_query(inputs):
     return clip_surfaces(roofs(inputs), part).select("surface_id")
 
 
+@query(
+    "boundary_distance",
+    sql="""
+    select a.tile_id, a.row_no, a.col_no, cast(min((a.row_no - b.row_no)*(a.row_no - b.row_no) + (a.col_no - b.col_no)*(a.col_no - b.col_no)) as double) as d2
+    from v_cells a left join v_cells b on a.tile_id = b.tile_id and (a.v_null is null) <> (b.v_null is null) group by 1, 2, 3""",
+)
+def boundary_distance(inputs):
+    """Squared distance of every cell to the nearest valid one if it is empty, else to the nearest empty one."""
+    return distance_transform(inputs("v_cells").withColumn("valid", F.col("v_null").isNotNull()), ["tile_id"], "valid")
+
+
 @query(
     "ring_check",
     sql="""
