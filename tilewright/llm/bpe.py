@@ -12,7 +12,9 @@ bytes (or one text's).
 from __future__ import annotations
 
 import base64
+import io
 import json
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, open_store, text_of, written
 
-# Bits of an id; an entry that is none.
+# Bits of an id; the rank of a pair that does not merge.
 BITS = 17
-EMPTY = 1 << 61
+NONE = 1 << 61
 GROUPS = 1 << 16
 SPREAD = 40_503_337
 GROUP_BYTES = 4 << 20
@@ -51,30 +53,45 @@ class Ranks(NamedTuple):
     mark: int
 
 
-def hash_pairs(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
-    """(slots, shifts): a pair has the number ``h = (left << BITS | right) * SPREAD``; its rank is at slot
-    ``((h >> 16) + shifts[(h >> 34) % GROUPS]) % len(slots)`` as ``h ^ rank``.
+def hash_pairs(numbers: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, used, shifts): a pair has the number ``h = (left << BITS | right) * SPREAD``; its rank is at slot
+    ``((h >> 16) + shifts[(h >> 34) % GROUPS]) % len(slots)`` as ``h ^ rank``. Slots that are not ``used`` hold no pair.
 
     Numbers are multiples of ``SPREAD``, which is above all ranks, so only the pair's own number leaves a rank. The
     groups of pairs, largest first, are shifted until none of their slots is taken.
     """
-    size = 1 << (2 * len(pairs) + 1).bit_length()
-    groups: dict[int, list[tuple[int, int]]] = {}
-    for (left, right), rank in pairs.items():
-        h = (left << BITS | right) * SPREAD
-        groups.setdefault((h >> 34) % GROUPS, []).append((h, rank))
-    slots, shifts = [EMPTY] * size, [0] * GROUPS
-    for group, entries in sorted(groups.items(), key=lambda item: (-len(item[1]), item[0])):
+    size = 1 << (2 * len(numbers) + 1).bit_length()
+    group = (numbers >> 34) % GROUPS
+    order = np.argsort(group, kind="stable")
+    counts = np.bincount(group, minlength=GROUPS)
+    ends = np.cumsum(counts)
+    slots, taken, shifts = np.zeros(size, np.int64), bytearray(size), np.zeros(GROUPS, np.int64)
+    for g in np.argsort(-counts, kind="stable")[:np.count_nonzero(counts)].tolist():
+        rows = order[ends[g] - counts[g]:ends[g]]
+        home = (numbers[rows] >> 16).tolist()
         for shift in range(size):
-            at = {((h >> 16) + shift) % size for h, _ in entries}
-            if len(at) == len(entries) and all(slots[i] == EMPTY for i in at):
+            at = [(x + shift) % size for x in home]
+            if len(set(at)) == len(at) and not any(map(taken.__getitem__, at)):
                 break
         else:
             raise ValueError("the pairs do not fit")
-        shifts[group] = shift
-        for h, rank in entries:
-            slots[((h >> 16) + shift) % size] = h ^ rank
-    return slots, shifts
+        shifts[g] = shift
+        for i in at:
+            taken[i] = 1
+        slots[at] = numbers[rows] ^ ranks[rows]
+    return slots, np.frombuffer(taken, bool), shifts
+
+
+def _literal(values: np.ndarray, used: np.ndarray | None = None) -> Column:
+    """An array of numbers as a literal, null where not ``used``; written piece by piece, so that few objects live at once."""
+    text = io.StringIO()
+    for start in range(0, len(values), 4096):
+        own = values[start:start + 4096].tolist()
+        known = [True] * len(own) if used is None else used[start:start + 4096].tolist()
+        text.write("," if start else "[")
+        text.write(",".join(str(v) if u else "null" for v, u in zip(own, known)))
+    text.write("]")
+    return F.from_json(F.lit(text.getvalue()), "array<bigint>")
 
 
 def rank_map(ranks: dict[bytes, int]) -> Ranks:
@@ -84,16 +101,16 @@ def rank_map(ranks: dict[bytes, int]) -> Ranks:
     rank of their concatenation. Spark searches a literal of map type from end to end, so this map is a hash
     table in an array.
     """
-    pairs: dict[tuple[int, int], int] = {}
+    numbers, merged = array("q"), array("q")
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             left, right = ranks.get(piece[:k]), ranks.get(piece[k:])
             if left is not None and right is not None:
-                pairs[left, right] = rank
-    slots, shifts = hash_pairs(pairs)
-    firsts = [ranks[bytes([k])] for k in range(256)]
-    slot_col, shift_col, first_col = (F.from_json(F.lit(json.dumps(x)), "array<bigint>") for x in (slots, shifts, firsts))
-    return Ranks(slot_col, shift_col, first_col, len(slots), max(ranks.values()) + 1)
+                numbers.append((left << BITS | right) * SPREAD)
+                merged.append(rank)
+    slots, used, shifts = hash_pairs(np.frombuffer(numbers, np.int64), np.frombuffer(merged, np.int64))
+    first = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+    return Ranks(_literal(slots, used), _literal(shifts), _literal(first), len(slots), max(ranks.values()) + 1)
 
 
 def _let(value: Column, use) -> Column:
@@ -120,7 +137,8 @@ def merge_words(word: Column, table: Ranks) -> Column:
 
         def rank(h: Column) -> Column:
             shift = F.get(shifts, F.shiftright(h, 34).bitwiseAND(big(GROUPS - 1)).cast("int"))
-            return F.get(slots, (F.shiftright(h, 16) + shift).bitwiseAND(big(table.size - 1)).cast("int")).bitwiseXOR(h)
+            slot = F.get(slots, (F.shiftright(h, 16) + shift).bitwiseAND(big(table.size - 1)).cast("int"))
+            return F.coalesce(slot.bitwiseXOR(h), big(NONE))
 
         def start(p: Column) -> Column:
             pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: number(F.get(p, i - 1), F.get(p, i)))
