@@ -8,6 +8,7 @@ texts: the softmax of an average is a function of the average of one number per
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -91,10 +92,15 @@ def fit(texts: list[bytes], labels: list[int], bits: int = 16, dim: int = 10, ep
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1.0 / dim, 1.0 / dim, (1 << bits, dim)).astype(np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    docs = []
+    # All documents in two flat arrays, which go back to the system as a whole, unlike thousands of small ones.
+    buckets, shares, ends = array("i"), array("f"), [0]
     for text in texts:
         at, n = np.unique(features(text, bits), return_counts=True)
-        docs.append((at.astype(np.int32), (n / max(n.sum(), 1)).astype(np.float32)))
+        buckets.frombytes(at.astype(np.int32).tobytes())
+        shares.frombytes((n / max(n.sum(), 1)).astype(np.float32).tobytes())
+        ends.append(len(buckets))
+    flat = np.frombuffer(buckets, np.int32), np.frombuffer(shares, np.float32)
+    docs = [tuple(x[a:b] for x in flat) for a, b in zip(ends, ends[1:])]
     weight = len(y) / (2.0 * np.bincount(y, minlength=2))
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
