@@ -1,9 +1,11 @@
 import hashlib
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 import golden
 from tilewright.functions.naming import chip_id, resolve_tile_id, sanitize_name
 from tilewright.operators.catalog import check_tile_ids, exclude_seen, fetch_plan, verify_checksums
@@ -109,6 +111,29 @@ def test_files_and_checksums(spark, tmp_path):
     assert got == {"a.bin": "ok", "b.bin": "mismatch", "d.bin": "missing"}
 
 
+def test_checksums_of_repeated_names(spark):
+    """One row per expected row, whatever repeats; equal to the SQL on pages that share addresses."""
+    files = spark.createDataFrame([("a", b"1"), ("a", b"1"), ("a", b"2"), ("b", b"3"), ("b", b"3"), (None, b"4"), ("e", None)], "name string, content binary")
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    asked = [("a", sha(b"1")), ("a", sha(b"1").upper()), ("a", sha(b"2")), ("a", sha(b"5")), ("b", sha(b"3")), ("c", sha(b"3")), ("b", None), (None, sha(b"4")), ("e", sha(b"1"))]
+    expected = spark.createDataFrame(asked, "name string, sha256 string")
+    got = sorted((str(r["name"]), r["status"]) for r in verify_checksums(files, expected).collect())
+    want = ["a ok", "a ok", "a ok", "a mismatch", "b ok", "b ok", "c missing", "None ok", "e missing"]
+    assert got == sorted(tuple(x.split()) for x in want)
+
+
+def test_checksum_report_on_repeated_pages(spark, tmp_path):
+    pages = [(k, u, h) for k, (u, h) in enumerate(
+        [("x/de/1", "a"), ("x/de/1", "a"), ("x/de/1", "b"), ("x/en/1", "a"), ("x/en/1", "a"), ("x/?utm_source=q", "a"), ("x/?utm_source=q", "a"), (None, "a"), ("x/de/2", None)]
+    )]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = duck.execute(__spark_entry__.oracle_sql()["checksum_report"]).fetchall()
+    got = __spark_entry__.queries()["checksum_report"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) == 9
+
+
 def test_exclude_seen(spark):
     t = lambda *x: spark.createDataFrame([(v,) for v in x], "tile_id string")
     assert [r[0] for r in exclude_seen(t("a", "b"), t("a")).collect()] == ["b"]

@@ -57,10 +57,18 @@ def fetch_plan(manifests: DataFrame, present: DataFrame, overwrite: bool | str =
 
 
 def verify_checksums(files: DataFrame, expected: DataFrame) -> DataFrame:
-    """``name, status``: ok, mismatch or missing. ``files`` has ``name, content``, ``expected`` has
-    ``name, sha256``. Contents are reduced to digests before the join."""
-    digests = files.select("name", F.sha2(F.col("content"), 256).alias("_digest"))
+    """``name, status``, one row per row of ``expected``: ok, mismatch or missing. ``files`` has ``name, content``, ``expected``
+    has ``name, sha256``. Contents are reduced to digests before the join.
+
+    Names may repeat and be NULL on both sides: a row is ok if any file of its name has its digest, or if it asks for none.
+    """
+    digests = files.select(F.col("name").alias("_name"), F.sha2(F.col("content"), 256).alias("_digest")).distinct()
+    names = digests.groupBy("_name").agg(F.max(F.col("_digest").isNotNull()).alias("_read"))
+    rows = expected.select("name", F.lower("sha256").alias("_wanted"))
+    known = rows.join(names, rows["name"].eqNullSafe(names["_name"]), "left").drop("_name")
+    equal = known["name"].eqNullSafe(digests["_name"]) & (known["_wanted"] == digests["_digest"])
     status = (
-        F.when(F.col("_digest").isNull(), "missing").when(F.col("_digest") != F.lower("sha256"), "mismatch").otherwise("ok")
+        F.when(F.col("_read").isNull(), "missing").when(F.col("_wanted").isNull() | F.col("_digest").isNotNull(), "ok")
+        .when(F.col("_read"), "mismatch").otherwise("missing")
     )
-    return expected.join(digests, "name", "left").select("name", status.alias("status"))
+    return known.join(digests, equal, "left").select("name", status.alias("status"))

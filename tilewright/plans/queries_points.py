@@ -64,7 +64,7 @@ def fetch_plan_query(inputs):
 )
 def checksum_report(inputs):
     pages = inputs("pages")
-    files = pages.where("url not like '%/en/%'").select(
+    files = pages.where("url is null or url not like '%/en/%'").select(
         F.col("url").alias("name"), F.col("html").cast("binary").alias("content")
     )
     suffix = F.when(F.col("url").like("%utm_source%"), "x").otherwise("")
