@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tilewright.operators.distance import distance_transform
-from tilewright.operators.losses import compound_loss, cross_entropy, region_loss
+from tilewright.functions.numeric import softmax
+from tilewright.operators.distance import distance_transform, distance_transforms
+from tilewright.operators.losses import compound_loss, cross_entropy, log_softmax, region_loss
 
 
 def nearest_other(cells):
@@ -103,3 +104,33 @@ def test_sql(spark, name):
     found = duck.execute(__spark_entry__.oracle_sql()[name]).fetchall()
     assert sorted(map(tuple, df.collect())) == sorted(found)
     assert name == "boundary_distance" or found[0][0] > 0
+
+
+def test_several_masks_at_once(spark):
+    """Masks of one raster give what each gives alone; cells with fewer kinds are nodata in the rest."""
+    rng = random.Random(7)
+    cells = {(r, c): [rng.choice([1, 0, 0, -1]), rng.choice([1, 0]), 1, 0][: 4 if rng.random() < 0.8 else 2] for r in range(9) for c in range(13) if rng.random() < 0.8}
+    df = spark.createDataFrame([(5, *k, v) for k, v in cells.items()], "image int, row_no int, col_no int, kinds array<tinyint>").repartition(3)
+    got = {(x.row_no, x.col_no): x.d2 for x in distance_transforms(df, ["image"], "kinds").collect()}
+    for m in range(4):
+        kinds = {(0, *k): None if m >= len(v) or v[m] < 0 else v[m] == 1 for k, v in cells.items()}
+        for (_, *place), want in nearest_other(kinds).items():
+            d2 = got[tuple(place)][m]
+            assert d2 == (-1 if kinds[0, *place] is None else math.inf if want is None else want)
+
+
+def test_scores_are_worked_out_once(spark):
+    """Neither the sum nor the largest score is found again for each class, whatever the scores are made of."""
+    made = F.transform(F.col("v"), lambda x: F.cbrt(x))
+    df = spark.createDataFrame([([8.0, 27.0],)], "v array<double>")
+    for use in (softmax, log_softmax):
+        plan = df.select(use(made).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("CBRT") == 1
+
+
+def test_masks_of_an_image_are_shuffled_together(spark, pixels):
+    """Per pixel one row goes into the transform, not one per class and mask."""
+    df = spark.createDataFrame(pixels, "image int, row_no int, col_no int, truth int, probs array<double>")
+    plan = region_loss(df, "hausdorffdtloss")._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [x for x in plan.splitlines() if "Aggregate" in x and "collect_list" in x]
+    assert grouped and not any("class_id" in x or "mask#" in x for x in grouped)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,11 +48,16 @@ def minmax(value: Column, low, high, eps: float = 1e-12) -> Column:
     return (value - low) / (high - low + eps)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once. Spark repeats an expression at each place that names it, in a lambda for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of scores, shifted by the maximum for stability."""
-    exps = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    total = F.aggregate(exps, F.lit(0.0), lambda acc, e: acc + e)
-    return F.transform(exps, lambda e: e / total)
+    exps = bound(scores, lambda v: bound(F.array_max(v), lambda m: F.transform(v, lambda s: F.exp(s - m))))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
+    return bound(exps, lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(values: Column) -> Column:

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .distance import distance_transform
+from ..functions.numeric import bound
+from .distance import distance_transforms, kind_of
 
 # Smoothing of the region losses, Tversky weights, focal exponent.
 SMOOTH, TVERSKY_FP, TVERSKY_FN, GAMMA = 1e-5, 0.5, 0.5, 2.0
@@ -18,8 +19,9 @@ LOSSES = ["crossentropyloss", "diceloss", "generalizeddiceloss", "focalloss", "t
 
 def log_softmax(scores: Column) -> Column:
     """Log-probabilities of class scores by log-sum-exp, finite however far the scores lie apart."""
-    top = F.transform(F.array(F.array_max(scores)), lambda m: F.transform(scores, lambda v: v - m))[0]
-    return F.transform(F.array(top), lambda d: F.transform(d, lambda v: v - F.log(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + F.exp(x)))))[0]
+    top = bound(scores, lambda s: bound(F.array_max(s), lambda m: F.transform(s, lambda v: v - m)))
+    total = lambda d: F.log(F.aggregate(d, F.lit(0.0), lambda acc, x: acc + F.exp(x)))
+    return bound(top, lambda d: bound(total(d), lambda t: F.transform(d, lambda v: v - t)))
 
 
 def _ln(p: Column) -> Column:
@@ -152,11 +154,14 @@ def _hausdorff(scored: DataFrame, include_background: bool, reduction: str) -> D
         rows = rows.where("class_id > 0")
     hit = F.col("truth") == F.col("class_id")
     errors = rows.groupBy("image", "class_id").agg(F.sum(F.pow(F.col("prob") - hit.cast("double"), F.lit(2.0))).alias("error"), F.count("*").alias("n"))
-    masks = F.array(F.struct(F.lit(0).alias("mask"), (F.col("prob") > PREDICTED).alias("on")), F.struct(F.lit(1).alias("mask"), hit.alias("on")))
-    masked = rows.select("image", "class_id", "row_no", "col_no", F.inline(masks))
-    # Masks without a pixel in them have no boundary: they are left out before the transform.
-    marked = masked.where("on").select("image", "class_id", "mask").distinct()
-    far = distance_transform(masked.join(marked, ["image", "class_id", "mask"]), ["image", "class_id", "mask"], "on")
+    # Both masks of every class are one raster: the predicted one of class c at 2c, the true one at 2c + 1, from the first class on.
+    first = 0 if include_background else 1
+    wanted = F.slice("probs", first + 1, F.greatest(F.size("probs") - first, F.lit(0)))
+    masks = F.flatten(F.transform(wanted, lambda p, k: F.array(kind_of(p > PREDICTED), kind_of(F.col("truth") == k + first))))
+    cells = scored.select("image", "row_no", "col_no", masks.alias("masks")).where(F.size("masks") > 0)
+    far = distance_transforms(cells, ["image"], "masks").select("image", F.posexplode("d2").alias("mask", "d2"))
+    # Masks that hold no or all pixels have no boundary: their distances are infinite.
+    far = far.where((F.col("d2") >= 0) & (F.col("d2") < float("inf"))).withColumn("class_id", F.floor(F.col("mask") / 2).cast("int") + first)
     reach = far.groupBy("image", "class_id").agg(F.sum(F.pow("d2", F.lit(ALPHA / 2))).alias("far"))
     parts = errors.join(reach, ["image", "class_id"], "left")
     total = F.sum(F.col("error") * F.coalesce(F.col("far"), F.lit(0.0)) / F.col("n"))
