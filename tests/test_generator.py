@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators.grid import empty_cells, with_shape
+from tilewright.plans import generator
 from tilewright.plans.generator import Ledger, TileData, generate_chips, read_chips
 from tilewright.schema import RING, SURFACES
 
@@ -103,3 +104,12 @@ def test_a_batch_without_its_ledger_rows_does_not_count(spark, land, tmp_path, m
 def test_too_few_tiles(land, tmp_path):
     with pytest.raises(RuntimeError, match="of 10000 chips"):
         run(land, tmp_path / "run", Builder(land), 10_000, 64)
+
+
+def test_batches_grow_with_the_tiles_finished(land, tmp_path, monkeypatch):
+    """Without a fixed size the sources are read a few times, not once per so many tiles; the sample is the same."""
+    monkeypatch.setattr(generator, "FIRST_BATCH", 2)
+    grown = Builder(land)
+    assert chips(run(land, tmp_path / "grown", grown, 60, None)) == chips(run(land, tmp_path / "whole", Builder(land), 60, 64))
+    sizes = [len(b) for b in grown.built]
+    assert sizes[0] == 2 and max(sizes) > 2 and len(sizes) <= 4, sizes

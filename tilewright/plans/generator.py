@@ -31,6 +31,8 @@ from ..session import cut_lineage
 from .stages import cut_chips
 
 CHIP = ["tile_id", "brow", "bcol"]
+# Tiles of the first batch, and of a later one per finished tile, where batches have no fixed size.
+FIRST_BATCH, GROWTH = 64, 8
 
 
 @dataclass(frozen=True)
@@ -105,14 +107,15 @@ def build_batch(
 def generate_chips(
     root: str, seeds: DataFrame, tiles: DataFrame, build: Callable[[DataFrame], TileData], size: int, cutoff: float, width: float,
     bands: Sequence[str] = BANDS, seed=0, chip_size: int = BLOCK_SIZE, draws: int = 1000, radius: float = RADIUS,
-    max_area: float = MAX_TILE_AREA, idle: int = 5, tiles_per_batch: int = 64, chip_seed=0,
+    max_area: float = MAX_TILE_AREA, idle: int = 5, tiles_per_batch: int | None = None, chip_seed=0,
 ) -> DataFrame:
     """Draws tiles around ``seeds`` and cuts their chips until there are ``size``; the cells of just these (:func:`read_chips`).
 
     ``build`` turns a table ``tile_id`` into :class:`TileData`; it is called once per batch, with tiles that are not in the ledger
     of ``root``. A batch has as many tiles as the chips per tile so far suggest, at most ``tiles_per_batch``, and they
     follow each other by first draw, so the sample is the same however it is cut into batches or stopped
-    and started. It raises when all usable tiles were met, or when ``idle`` rounds of draws on end met no new one.
+    and started. Without ``tiles_per_batch`` the first batch has at most ``FIRST_BATCH`` tiles and each later one at most
+    ``GROWTH`` times the tiles finished: a batch reads the sources once, so they are read a few times, however many tiles there are. It raises when all usable tiles were met, or when ``idle`` rounds of draws on end met no new one.
     """
     spark = tiles.sparkSession
     ledger = Ledger(spark, root)
@@ -125,8 +128,9 @@ def generate_chips(
         quiet = 0 if left else quiet + 1
         while left and got < size:
             per_tile = max(got / done, 0.1) if done else 1.0
-            count = max(1, min(tiles_per_batch, left, round(1.2 * (size - got) / per_tile)))
-            # A few tiles by a documented bound; they are next in order of their first draw.
+            most = tiles_per_batch or max(FIRST_BATCH, GROWTH * done)
+            count = max(1, min(most, left, round(1.2 * (size - got) / per_tile)))
+            # They are next in order of their first draw.
             batch = cut_lineage(candidates.join(ledger.rows().select("tile_id"), "tile_id", "left_anti").orderBy("draw", "tile_id").limit(count))
             ledger.commit(build_batch(batch, build, root, cutoff, chip_seed, chip_size, bands))
             left -= count
