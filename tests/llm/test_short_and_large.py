@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.llm import fingerprints
 from tilewright.llm import line_dedup
 from tilewright.llm.queries import ORACLES
 
@@ -80,3 +81,13 @@ def test_line_dedup_with_ids_of_any_size(spark):
     assert found.columns[:4] == table.columns
     got = {r.doc_id: r.text for r in found.collect()}
     assert got == {k: "\n".join(x for n, x in enumerate(t.split("\n")) if (order[k], n) not in gone) for k, t in docs}
+
+
+def test_word_cache_of_fingerprints_is_small():
+    """A Python worker keeps few words, and what it keeps changes no fingerprint."""
+    cache, most = {}, 0
+    for k in range(60):
+        text = b" ".join(b"w%d" % (k * 2000 + i) for i in range(2000))
+        assert fingerprints.weighted_simhash(text, cache) == fingerprints.weighted_simhash(text)
+        most = max(most, len(cache))
+    assert most <= 52_000

@@ -24,7 +24,7 @@ from .common import byte_values, map_batches, text_of
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 50_000
 _TERMS_AT_ONCE = 1 << 15
 
 
