@@ -385,6 +385,33 @@ def test_hmm_counts_against_plain_recursion():
     assert total[2].sum() == pytest.approx(sum(map(len, sequences)), rel=1e-4)
 
 
+def test_hmm_emissions_of_pieces():
+    """Texts of several pieces and of falling length in one block: emissions and log-likelihood against a plain recursion in 64 bits."""
+    rng = np.random.default_rng(5)
+    states, n = 3, lm_scoring.SYMBOLS
+    model = lm_scoring.first_guess(np.ones(n), states, 1)
+    sequences = [rng.integers(0, 40, k).astype("<u2") for k in (1, 5, lm_scoring.SEGMENT, 2 * lm_scoring.SEGMENT + 3)]
+    total = lm_scoring._zeros(states)
+    got = lm_scoring.expected_counts(sequences, model, total)
+    emitted, likelihood = np.zeros((n, states)), 0.0
+    for s in sequences:
+        for k in range(0, len(s), lm_scoring.SEGMENT):
+            piece = s[k:k + lm_scoring.SEGMENT]
+            now, a = (model.stationary if k else model.start) * model.emit[piece[0]], []
+            for x in piece[1:]:
+                likelihood += math.log(now.sum())
+                a.append(now / now.sum())
+                now = a[-1] @ model.step * model.emit[x]
+            likelihood += math.log(now.sum())
+            a.append(now / now.sum())
+            b = np.ones(states)
+            for t in range(len(piece) - 1, -1, -1):
+                emitted[piece[t]] += a[t] * b / (a[t] * b).sum()
+                b = model.step @ (model.emit[piece[t]] * b)
+                b /= b.sum()
+    assert np.allclose(total[2], emitted, rtol=1e-4, atol=1e-6) and got == pytest.approx(likelihood, rel=1e-6)
+
+
 def test_hmm_learns_from_long_texts_only(spark):
     rng = np.random.default_rng(3)
     totals = np.zeros(lm_scoring.SYMBOLS)

@@ -118,24 +118,18 @@ def encode(rows: DataFrame, counts: Counts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, shares, ended = held.value
-        suffix: dict[bytes, int] = {}
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for text in byte_values(batch.column(2)):
                 found = text.lower().split()
-                ids = [frequent.get(w, 0) for w in found]
-                rare: Counter = Counter()
-                for k, x in enumerate(ids):
-                    if not x:
-                        w = found[k]
-                        rare[w] += 1
-                        end = w[-3:]
-                        if end not in suffix:
-                            suffix[end] = suffix_symbol(end)
-                        ids[k] = suffix[end]
+                ids = list(map(frequent.get, found))
+                rare = Counter([w for w, k in zip(found, ids) if k is None])
+                if rare:
+                    own = {w: suffix_symbol(w) for w in rare}
+                    ids = [own[w] if k is None else k for w, k in zip(found, ids)]
                 ids.append(0)
                 symbols = np.array(ids, "<u2")
-                known = len(found) - sum(rare.values()) + ended
+                known = len(found) - rare.total() + ended
                 for column, value in zip(out, (len(ids), known, float(shares[symbols].sum()), symbols.tobytes(), list(rare), list(rare.values()))):
                     column.append(value)
             types = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
@@ -190,41 +184,43 @@ def expected_counts(sequences: list[np.ndarray], model: Hmm, total: tuple[np.nda
     starts, moves, emitted = total
     likelihood = 0.0
     states, later = len(model.start), model.stationary
+    shares, step = model.emit.astype(np.float32), model.step.astype(np.float32)
+    # A product with ones is the sum of all states, once per state.
+    back_step, ones = np.ascontiguousarray(step.T), np.ones((states, states), np.float32)
+    met = np.zeros((states, states))
     for block, lengths, first in segments(sequences):
         steps, width = block.shape
-        active = np.searchsorted(-lengths, -np.arange(steps), "left")
-        forward = np.zeros((steps, width, states), np.float32)
-        shares = model.emit.astype(np.float32)
-        step = model.step.astype(np.float32)
+        active = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
+        seen = shares[block]
+        forward = np.empty((steps, width, states), np.float32)
+        scales = np.ones((steps, width), np.float32)
         now = np.where(first[:, None], model.start, later).astype(np.float32)
         for t in range(steps):
             n = active[t]
             if t:
                 now = forward[t - 1, :n] @ step
-            now = now[:n] * shares[block[t, :n]]
-            scale = np.maximum(now.sum(axis=1, keepdims=True), 1e-30)
-            likelihood += float(np.log(scale).sum(dtype=np.float64))
-            forward[t, :n] = now / scale
+            now *= seen[t, :n]
+            scale = now @ ones
+            np.maximum(scale, 1e-30, out=scale)
+            np.divide(now, scale, out=forward[t, :n])
+            seen[t, :n] /= scale
+            scales[t, :n] = scale[:, 0]
+        likelihood += float(np.log(scales).sum(dtype=np.float64))
         back = np.ones((width, states), np.float32)
-        gamma = forward
-        for t in range(steps - 1, -1, -1):
-            n = active[t]
-            if t + 1 < steps and active[t + 1]:
-                m = active[t + 1]
-                weighted = back[:m] * shares[block[t + 1, :m]]
-                ahead = forward[t, :m]
-                onward = weighted @ step.T
-                scale = np.maximum((ahead * onward).sum(axis=1, keepdims=True), 1e-30)
-                moves += (ahead / scale).T @ weighted * step
-                back[:m] = onward / np.maximum(onward.max(axis=1, keepdims=True), 1e-30)
+        # At the end of a piece the forward values are the shares of the states already.
+        for t in range(steps - 2, -1, -1):
+            m = active[t + 1]
+            weighted = back[:m] * seen[t + 1, :m]
+            met += forward[t, :m].T @ weighted
+            np.matmul(weighted, back_step, out=back[:m])
             # In place: the forward values of this time are no more needed.
-            product = forward[t, :n] * back[:n]
-            gamma[t, :n] = product / np.maximum(product.sum(axis=1, keepdims=True), 1e-30)
-        starts += gamma[0][first].sum(axis=0)
+            forward[t, :m] *= back[:m]
+        starts += forward[0][first].sum(axis=0)
         inside = np.arange(steps)[:, None] < lengths[None, :]
-        symbols, values = block[inside], gamma[inside]
+        symbols, values = block[inside], forward[inside]
         for s in range(states):
             emitted[:, s] += np.bincount(symbols, weights=values[:, s], minlength=len(emitted))
+    moves += met * step
     return likelihood
 
 
@@ -261,7 +257,7 @@ def baum_welch(encoded: DataFrame, totals: np.ndarray, states: int = 8, rounds:
         expected_counts(sequences, model, total)
         model = maximise(total, totals)
     names = [f"c{s}" for s in range(states)]
-    schema = "place bigint, " + ", ".join(f"{n} double" for n in names)
+    schema = "place bigint, " + ", ".join(f"{n} float" for n in names)
     context = encoded.sparkSession.sparkContext
     tokens, last = totals.sum(), -np.inf
     for done in range(1, MOST_ROUNDS + 1):
@@ -274,8 +270,9 @@ def baum_welch(encoded: DataFrame, totals: np.ndarray, states: int = 8, rounds:
                     likelihood += expected_counts([np.frombuffer(x, "<u2") for x in batch.column(0).slice(k, 1000).to_pylist()], held.value, total)
             every = np.concatenate([total[2], total[1], total[0][None, :], np.full((1, states), likelihood)])
             at = np.flatnonzero(every.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(every[at, s]) for s in range(states)]], names=["place", *names])
+            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(every[at, s].astype(np.float32)) for s in range(states)]], names=["place", *names])
 
+        # A task's sums are shuffled in 32 bits and added up in 64.
         summed = encoded.select("ids").mapInArrow(run, schema).groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
         every = np.zeros((SYMBOLS + states + 2, states))
         every[summed.column(0).to_numpy()] = np.stack([summed.column(1 + s).to_numpy() for s in range(states)], axis=1)
@@ -290,6 +287,7 @@ def baum_welch(encoded: DataFrame, totals: np.ndarray, states: int = 8, rounds:
 def log_likelihoods(sequences: list[np.ndarray], model: Hmm) -> np.ndarray:
     """log10 likelihood of each whole sequence by the scaled forward recursion."""
     out = np.zeros(len(sequences))
+    ones = np.ones((len(model.start), len(model.start)))
     order = sorted(range(len(sequences)), key=lambda k: -len(sequences[k]))
     at = 0
     while at < len(order):
@@ -300,14 +298,15 @@ def log_likelihoods(sequences: list[np.ndarray], model: Hmm) -> np.ndarray:
         block = np.zeros((longest, len(rows)), np.uint16)
         for j, k in enumerate(rows):
             block[:lengths[j], j] = sequences[k]
-        active = np.searchsorted(-lengths, -np.arange(longest), "left")
-        now, found = np.tile(model.start, (len(rows), 1)), np.zeros(len(rows))
+        active = np.searchsorted(-lengths, -np.arange(longest), "left").tolist()
+        now, scales = np.tile(model.start, (len(rows), 1)), np.ones((longest, len(rows)))
         for t in range(longest):
             n = active[t]
             now = (now[:n] if t == 0 else now[:n] @ model.step) * model.emit[block[t, :n]]
-            scale = now.sum(axis=1)
-            now /= scale[:, None]
-            found[:n] += np.log10(scale)
+            scale = now @ ones
+            now /= scale
+            scales[t, :n] = scale[:, 0]
+        found = np.log10(scales).sum(axis=0)
         out[rows] = found
     return out
 
