@@ -335,6 +335,24 @@ def test_similar_documents_against_all_pairs(spark):
     assert len(set(roots([fingerprint(t, 5) for t in texts], 4))) > len(set(want))
 
 
+def test_bpe_cache_is_compact():
+    """Words are found by hash and compared; their ids lie in flat arrays and not in an object per word."""
+    rng = random.Random(1)
+    words = list({"".join(rng.choices("abcdefgé", k=rng.randint(1, 12))) for _ in range(20_000)})
+    known = bpe.KnownWords(["own", words[3]], bpe.pa.array(words))
+    assert known.places(["own", words[3], words[0], words[-1], "not there", ""]).tolist() == [0, 1, 2, len(words) + 1, -1, -1]
+    held = known.words.nbytes + known.hashes.nbytes + known.order.nbytes
+    assert held < 40 * len(words)
+    # Two words of one hash: the second one is not cached, and never mistaken for the first.
+    known.hashes[:] = 7
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "_hashes", lambda x: np.full(len(x), 7, np.uint64))
+        first = known.words[int(known.order[0])].as_py()
+        assert known.places([first, "not there"]).tolist() == [known.order[0], -1]
+    lists = bpe._lists(bpe.pa.array([[1, 2], [], [3]], bpe.pa.list_(bpe.pa.int32()))) + bpe._lists(bpe.pa.array([[4, 5]], bpe.pa.list_(bpe.pa.int32())))
+    assert np.frombuffer(lists.joined(np.array([3, 1, 0, 0, 2])), "<u4").tolist() == [4, 5, 1, 2, 1, 2, 3]
+
+
 @pytest.mark.parametrize("m", [1, 2, 3, 4, 5])
 @pytest.mark.parametrize("pairs", [near_dedup.PAIRS, 50])
 def test_links_for_any_partitioning(spark, monkeypatch, m, pairs):

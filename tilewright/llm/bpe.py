@@ -1,12 +1,12 @@
 """Byte-level BPE: encoding by ranked merges in higher-order functions, decoding by concatenating pieces.
 
-A text is cut by the tokenizer's pattern. Words of the text that are in a broadcast cache of bounded size take
+A text is cut by the tokenizer's pattern. Words of the text that are in a stored cache of bounded size take
 their ids from there. All other distinct words of a group of texts go through ``merge_words``: a fold that
 merges the neighbours with the lowest rank until none is left, as Spark higher-order functions with the ranks
 as a literal map. The cache is filled by the same fold; its content changes speed only, never ids.
 
-Nothing is shuffled: groups are made, folded and put together in one stage, so memory is bounded by a group's
-bytes (or one text's).
+Texts are not shuffled: groups are made and folded in one stage, written as references to words, and put together
+in the next one, so memory is bounded by the cache and a task's groups.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +38,11 @@ GROUPS = 1 << 16
 SPREAD = 40_503_337
 GROUP_BYTES = 4 << 20
 GROUP_DOCS = 5_000
+# Longer words are not cached, so the bytes of the cache are bounded. References that are looked up at once.
+CACHED_LENGTH = 64
+REFS_AT_ONCE = 200_000
+# Tasks that fold the words of the cache.
+FOLDS = 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -178,7 +186,7 @@ def merge_words(word: Column, table: Ranks) -> Column:
 def frequent_words(docs: DataFrame, pattern: str, cache_words: int, sample_docs: int) -> DataFrame:
     """``word``: the most frequent words, at most ``cache_words``, of about ``sample_docs`` documents chosen by a hash of their id.
 
-    All words of a count are taken or none.
+    All words of a count are taken or none, but for those of more than ``CACHED_LENGTH`` characters.
     """
     import regex
 
@@ -192,6 +200,8 @@ def frequent_words(docs: DataFrame, pattern: str, cache_words: int, sample_docs:
             counts: Counter = Counter()
             for text in batch.column(0).to_pylist():
                 counts.update(find(text))
+            for word in [w for w in counts if len(w) > CACHED_LENGTH]:
+                del counts[word]
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
     counted = written(chosen.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -202,13 +212,6 @@ def frequent_words(docs: DataFrame, pattern: str, cache_words: int, sample_docs:
     return counted.where(F.col("n") >= (least or 2**62)).select("word")
 
 
-def _packed(ids: pa.ListArray) -> list[bytes]:
-    """Each list as little-endian unsigned 32-bit numbers."""
-    raw = memoryview(ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-    ends = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
-    return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
-
-
 def _is_text(piece: bytes) -> bool:
     try:
         piece.decode()
@@ -217,28 +220,93 @@ def _is_text(piece: bytes) -> bool:
     return True
 
 
-# What a Python worker holds: the last table of folded words that it has read.
-_held: dict[str, tuple[list[str], list[bytes]]] = {}
+class Numbers(dict):
+    """Numbers words from 0 as they come."""
 
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
 
-def _known_words(folder: str, pieces) -> tuple[list[str], list[bytes]]:
-    """Words and their ids: the table of folded words in ``folder``, and the words that have a rank of their own, in a fixed order."""
-    if folder not in _held:
-        store, place = open_store(folder)
-        table = pq.read_table(place, filesystem=store).sort_by("word")
-        known = {}
-        for batch in table.to_batches():
-            known.update(zip(batch.column(0).to_pylist(), _packed(batch.column(1))))
-        # A word that has a rank of its own is that one id.
-        known |= {piece.decode(): np.array([rank], "<u4").tobytes() for rank, piece in pieces.value.items() if _is_text(piece)}
+
+def _hashes(words) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in words), np.uint64, len(words))
+
+
+class KnownWords:
+    """Which words have cached ids, and their place in the cache: sorted hashes, and the words themselves to make sure."""
+
+    def __init__(self, own: list[str], table: pa.Array):
+        self.words = pa.concat_arrays([pa.array(own, pa.large_string()), table.cast(pa.large_string())])
+        hashes = np.concatenate([_hashes(own), *[_hashes(table.slice(k, 50_000).to_pylist()) for k in range(0, len(table), 50_000)]])
+        # Of two places of a word the lower one is found.
+        self.order = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.order]
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """Place of each word, -1 for those that are not cached."""
+        if not len(words) or not len(self.order):
+            return np.full(len(words), -1, np.int32)
+        at = np.searchsorted(self.hashes, _hashes(words), "left")
+        at = self.order[np.minimum(at, len(self.order) - 1)]
+        same = pc.equal(self.words.take(pa.array(at)), pa.array(words, pa.large_string())).to_numpy(zero_copy_only=False)
+        return np.where(same, at, -1).astype(np.int32)
+
+
+class Lists(NamedTuple):
+    """Lists of numbers one after the other, and where each begins and the last one ends."""
+
+    values: np.ndarray
+    ends: np.ndarray
+
+    def __add__(self, other: Lists) -> Lists:
+        return Lists(np.concatenate([self.values, other.values]), np.concatenate([self.ends, other.ends[1:] + self.ends[-1]]))
+
+    def joined(self, refs: np.ndarray) -> bytes:
+        """The lists at ``refs``, one after the other."""
+        out = []
+        for k in range(0, len(refs), REFS_AT_ONCE):
+            part = refs[k:k + REFS_AT_ONCE]
+            low, sizes = self.ends[part], self.ends[part + 1] - self.ends[part]
+            before = np.cumsum(sizes) - sizes
+            out.append(self.values[np.repeat(low - before, sizes) + np.arange(sizes.sum())].tobytes())
+        return b"".join(out)
+
+
+def _lists(ids: pa.ListArray) -> Lists:
+    # Without lists the offsets may be missing.
+    ends = ids.offsets.to_numpy().astype(np.int64) if len(ids) else np.zeros(1, np.int64)
+    return Lists(ids.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).astype("<u4"), ends - ends[0])
+
+
+# What a Python worker holds: the words of the last cache that it has read, or their ids.
+_held: dict[tuple[str, str], KnownWords | Lists] = {}
+
+
+def _cache(folder: str, pieces, column: str) -> KnownWords | Lists:
+    """The column ``word`` or ``ids`` of the cache: words that have a rank of their own, then the table of folded words in ``folder``."""
+    if (folder, column) not in _held:
         _held.clear()
-        _held[folder] = (list(known), list(known.values()))
-    return _held[folder]
+        store, place = open_store(folder)
+        # Files and rows have the same order whichever column is read.
+        files = sorted(f.path for f in store.get_file_info(fs.FileSelector(place)) if f.path.endswith(".parquet"))
+        parts = [pq.ParquetFile(f, filesystem=store).read([column]).column(0) for f in files]
+        chunks = [c for part in parts for c in part.chunks]
+        own = [(piece.decode(), rank) for rank, piece in sorted(pieces.value.items()) if _is_text(piece)]
+        if column == "word":
+            found = KnownWords([w for w, _ in own], pa.concat_arrays(chunks) if chunks else pa.array([], pa.string()))
+        else:
+            # A word that has a rank of its own is that one id.
+            every = [Lists(np.array([r for _, r in own], "<u4"), np.arange(len(own) + 1)), *map(_lists, chunks)]
+            values, sizes = np.concatenate([x.values for x in every]), np.concatenate([np.diff(x.ends) for x in every])
+            found = Lists(values, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32 if len(values) < 1 << 31 else np.int64))
+        _held[folder, column] = found
+        pa.default_memory_pool().release_unused()
+    return _held[folder, column]
 
 
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, decode: bool = False, keep: list[str] | None = None,
-    cache_words: int = 300_000, sample_docs: int = 40_000,
+    cache_words: int = 1_500_000, sample_docs: int = 40_000,
 ) -> DataFrame:
     """The columns ``keep`` (all but text) of ``docs`` with ``ids`` (little-endian unsigned 32-bit numbers as binary).
 
@@ -252,7 +320,7 @@ def encode(
     # The folded words are a table in the shared folder, which every Python worker reads for itself; none come to the driver.
     folder = new_folder(spark, "folded-words")
     words = frequent_words(rows, pattern, cache_words, sample_docs)
-    words.select("word", merge_words(F.col("word"), table).alias("ids")).write.parquet(folder)
+    words.repartition(FOLDS).select("word", merge_words(F.col("word"), table).alias("ids")).write.parquet(folder)
     pieces = spark.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})
 
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "ids", "decoded")]
@@ -264,46 +332,41 @@ def encode(
         import regex
 
         find = regex.compile(pattern).findall
-        number = {w: k for k, w in enumerate(_known_words(folder, pieces)[0])}
+        known = _cache(folder, pieces, "word")
         for batch in batches:
             texts = batch.column(1)
             start = 0
             while start < batch.num_rows:
-                rare: dict[str, int] = {}
-                refs, size, stop = [], 0, start
+                number = Numbers()
+                found, size, stop = [], 0, start
                 while stop < batch.num_rows and (stop == start or size < GROUP_BYTES) and stop - start < GROUP_DOCS:
                     text = texts[stop].as_py()
                     size += len(text)
-                    found = find(text)
-                    known = list(map(number.get, found))
-                    if None in known:
-                        for w, k in zip(found, known):
-                            if k is None and w not in rare:
-                                rare[w] = -len(rare) - 1
-                        known = [rare[w] if k is None else k for w, k in zip(found, known)]
-                    refs.append(np.array(known, "<i4").tobytes())
+                    found.append(np.array(list(map(number.__getitem__, find(text))), np.int32))
                     stop += 1
+                words = list(number)
+                places = known.places(words)
+                # The rare words of the group follow on the cached ones.
+                rare = np.flatnonzero(places < 0)
+                places[rare] = len(known.words) + np.arange(len(rare))
+                refs = [places[x].astype("<i4").tobytes() for x in found]
                 one = pa.array([0, stop - start], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.ListArray.from_arrays(one, batch.column(0).slice(start, stop - start)),
                         pa.ListArray.from_arrays(one, pa.array(refs, pa.binary())),
-                        pa.array([list(rare)], pa.list_(pa.string())),
+                        pa.array([[words[k] for k in rare.tolist()]], pa.list_(pa.string())),
                     ],
                     names=["rows", "refs", "rare"],
                 )
                 start = stop
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cached, piece = _known_words(folder, pieces)[1], pieces.value
+        cached, piece = _cache(folder, pieces, "ids"), pieces.value
         for batch in batches:
             for k in range(batch.num_rows):
-                rare = _packed(batch.column(2)[k].values)[::-1]
-                # Reference -1 is the first rare word: the last of the list, counted from the end.
-                every = cached + rare
-                got = []
-                for refs in batch.column(1)[k].as_py():
-                    got.append(b"".join(map(every.__getitem__, np.frombuffer(refs, "<i4").tolist())))
+                every = cached + _lists(batch.column(2).slice(k, 1).flatten())
+                got = [every.joined(np.frombuffer(refs, "<i4")) for refs in batch.column(1)[k].as_py()]
                 own = batch.column(0)[k].values
                 columns = [*own.flatten(), pa.array(got, pa.binary())]
                 if decode:
@@ -312,6 +375,10 @@ def encode(
 
     groups = carried.mapInArrow(cut, f"rows array<{row_type}>, refs array<binary>, rare array<string>")
     folded = groups.select("rows", "refs", F.transform("rare", lambda w: merge_words(w, table)).alias("ids"))
+    # Written in between, so that a task runs one Python worker at a time, which holds the words of the cache or their ids.
+    place = new_folder(spark, "references")
+    folded.write.option("compression", "zstd").parquet(place)
+    folded = spark.read.schema(folded.schema).parquet(place)
     schema = fields.add("ids", "binary")
     return folded.mapInArrow(put_together, schema.add("decoded", "binary") if decode else schema)
 
