@@ -335,6 +335,21 @@ def test_similar_documents_against_all_pairs(spark):
     assert len(set(roots([fingerprint(t, 5) for t in texts], 4))) > len(set(want))
 
 
+def test_similar_documents_by_fingerprints(spark, monkeypatch):
+    """The pigeonhole search by itself, without any band, links what lies within its radius and is similar; the exact check follows."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(12):
+        words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(words[:120])]
+    bits = [(fingerprint(texts[k], 5) ^ fingerprint(texts[k + 1], 5)).bit_count() for k in range(0, 36, 3)]
+    assert min(bits) <= 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(near_dedup, "band_keys", lambda found: np.zeros(0, np.int64))
+    got = {r.doc_id: r.component_id for r in near_dedup.similar_documents(docs).collect()}
+    assert got == {k: k - 1 if k % 3 == 1 and bits[k // 3] <= 4 else k for k in range(36)}
+
+
 def test_bpe_cache_is_compact():
     """Words are found by hash and compared; their ids lie in flat arrays and not in an object per word."""
     rng = random.Random(1)

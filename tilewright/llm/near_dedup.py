@@ -10,8 +10,9 @@ Copies are merged before the search. Candidates meet in sorted partitions and ar
 spanning set of links leaves a task, so a dense group costs comparisons but no quadratic output. Keys whose
 comparisons exceed ``PAIRS`` are cut into a grid of salted cells.
 
-``similar_documents`` links texts by the exact Jaccard similarity of their shingle sets, which 4 bits cannot show: at
-0.8 fingerprints differ in about 10 bits, 17 for nearly all pairs, too many for probing. So candidates share one of
+``similar_documents`` links texts by the exact Jaccard similarity of their shingle sets. The same search, on fingerprints
+of the sets, gives the candidates of ``RADIUS`` bits, which are verified and linked first. At 0.8 fingerprints differ in
+about 10 bits, 17 for nearly all pairs, too many for probing. So what is still apart also meets if it shares one of
 ``BANDS`` bands of ``ROWS`` minima of their set under hashes; a pair at 0.8 is missed with (1 - 0.8^5)^40 = 1.3e-7.
 """
 
@@ -36,6 +37,8 @@ PAIRS, CELL = 400_000_000, 20_000
 _SHINGLES_AT_ONCE = 1 << 16
 # Documents of a similarity of 4 / 5 or more link.
 SIMILAR = (4, 5)
+# Bits within which the pigeonhole search finds candidates for that.
+RADIUS = 4
 BANDS, ROWS = 40, 5
 _AT_ONCE = 512
 
@@ -54,7 +57,11 @@ def _shingle_hashes(data: bytes, words: int) -> Iterator[int]:
 
 def simhash(data: bytes, words: int = 4) -> int:
     """Unsigned fingerprint of a UTF-8 text; no words give zero."""
-    hashes = _shingle_hashes(data, words)
+    return _majority(_shingle_hashes(data, words))
+
+
+def _majority(hashes: Iterator[int]) -> int:
+    """A bit is 1 if it is set in over half of the hashes."""
     counts, n = np.zeros(64, np.int64), 0
     while len(part := np.fromiter(islice(hashes, _SHINGLES_AT_ONCE), np.uint64)):
         counts += _bits(part).sum(axis=0, dtype=np.int64)
@@ -367,7 +374,7 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
 
 
 def _by_set(docs: DataFrame, words: int, column: str, make: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``doc_id, node`` (the name of the shingle set) and ``column``, made from the set."""
+    """``doc_id, node`` (the name of the shingle set), ``fp`` (its fingerprint) and ``column``, made from the set."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,10 +383,23 @@ def _by_set(docs: DataFrame, words: int, column: str, make: Callable[[np.ndarray
                 part = batch.slice(k, 500)
                 sets = [shingle_set(x, words) for x in byte_values(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(map(_node, sets), pa.int64()), _lists([make(x) for x in sets])], names=["doc_id", "node", column]
+                    [
+                        part.column(0), pa.array(map(_node, sets), pa.int64()),
+                        pa.array(np.array([_majority(iter(x)) for x in sets], np.uint64).view(np.int64)), _lists([make(x) for x in sets]),
+                    ],
+                    names=["doc_id", "node", "fp", column],
                 )
 
-    return rows.mapInArrow(run, f"doc_id bigint, node bigint, {column} array<bigint>")
+    return rows.mapInArrow(run, f"doc_id bigint, node bigint, fp bigint, {column} array<bigint>")
+
+
+def _close_sets(firsts: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of sets ``firsts(node, fp)``: those the pigeonhole search joins within ``RADIUS`` bits, and sets of equal fingerprints with the first of them."""
+    prints = written(firsts.groupBy("fp").agg(F.min("node").alias("low")), "set-prints")
+    same = firsts.join(prints, "fp").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    found = links(prints.select("fp"), RADIUS).select(F.col("a").alias("_x"), F.col("b").alias("_y")).distinct()
+    found = found.join(prints.select(F.col("fp").alias("_x"), F.col("low").alias("x")), "_x").join(prints.select(F.col("fp").alias("_y"), F.col("low").alias("y")), "_y")
+    return same.union(found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).where("a < b").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -394,31 +414,38 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     """``doc_id, component_id`` of ``docs(doc_id, text)``: smallest doc_id reachable over pairs of a Jaccard similarity of 0.8 or more.
 
-    Equal shingle sets are merged first; texts without words are equal. In each band a set meets the first set of
-    its key; only keys that then still hold several components are paired, across components.
+    Equal shingle sets are merged first; texts without words are equal. Sets of near fingerprints are linked next. In each
+    band a set that is not linked to the first set of its key meets it; only keys that then still hold several components are paired, across components.
     A null doc_id never names a component while others exist.
     """
     marks = written(_by_set(docs, words, "bands", band_keys), "set-marks")
-    firsts = written(marks.groupBy("node").agg(F.min("doc_id").alias("first")), "distinct-sets")
+    firsts = written(marks.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "distinct-sets")
+    near = written(_close_sets(firsts), "close-sets")
     bands = marks.select(F.explode("bands").alias("key"), "node").distinct()
     bands = written(bands, "bands")
     shared = bands.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").drop("high")
     met = written(bands.join(shared, "key"), "met-sets")
-    wanted = written(met.select("node").distinct().join(firsts, "node"), "wanted-sets")
+    every = met.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    wanted = written(every.join(firsts, "node"), "wanted-sets")
     ids = wanted.select(F.col("first").alias("_first")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_first")), "left_semi")
-    sets = _by_set(texts, words, "shingles", lambda x: x).drop("doc_id")
+    sets = _by_set(texts, words, "shingles", lambda x: x).drop("doc_id", "fp")
     # Other rows of a doc_id may have other sets.
     sets = written(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
 
+    linked = written(_verified(near, sets), "similar-pairs")
+    stars = components(linked)
     pairs = met.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
-    linked = written(_verified(pairs, sets), "similar-pairs")
+    pairs = pairs.join(stars.select(F.col("node").alias("a"), F.col("root").alias("_x")), "a", "left")
+    pairs = pairs.join(stars.select(F.col("node").alias("b"), F.col("root").alias("_y")), "b", "left")
+    pairs = pairs.where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b")
+    linked = linked.union(written(_verified(pairs, sets), "similar-pairs"))
     stars = components(linked)
     rooted = met.join(stars, "node", "left").select("key", "node", "low", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     left = written(rooted.join(several, "key"), "open-sets")
     l, r = left.alias("l"), left.alias("r")
-    # Every set has met the first one of its key.
+    # Every set has met the first one of its key, or is linked to it.
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.node") > F.col("l.low")) & (F.col("l.root") != F.col("r.root"))
     more = l.join(r, apart).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     more = written(_verified(more, sets), "similar-pairs")
