@@ -272,7 +272,7 @@ def baum_welch(encoded: DataFrame, totals: np.ndarray, states: int = 8, rounds:
             at = np.flatnonzero(every.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(every[at, s].astype(np.float32)) for s in range(states)]], names=["place", *names])
 
-        # A task's sums are shuffled in 32 bits and added up in 64.
+        # A task's sums come in 32 bits and are added up in 64.
         summed = encoded.select("ids").mapInArrow(run, schema).groupBy("place").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
         every = np.zeros((SYMBOLS + states + 2, states))
         every[summed.column(0).to_numpy()] = np.stack([summed.column(1 + s).to_numpy() for s in range(states)], axis=1)
