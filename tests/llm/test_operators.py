@@ -5,6 +5,7 @@ import hashlib
 import html
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -163,6 +164,34 @@ def lines_that_go(docs, edits, least):
     return gone
 
 
+def test_line_keys_are_compiled_and_whole(spark, capsys):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abé日") for _ in range(n)) for n in (0, 1, 2, 3, 5, 20, 41, 63)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "place bigint, line string")
+    found = line_dedup.keys(lines, 2)
+    found.explain("codegen")
+    # Methods of more bytes of code are interpreted.
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+    want = []
+    for place, text in enumerate(texts):
+        for delta, i, shift in [(0, i, 0) for i in (1, 2, 3)] + line_dedup.selection(2):
+            n = len(text) - delta
+            cuts = [n // 3 * k + max(0, k - (3 - n % 3)) for k in range(4)]
+            at = cuts[i - 1] + shift
+            if at >= 0 and at + cuts[i] - cuts[i - 1] <= len(text):
+                want.append((i, n, text[at:at + cuts[i] - cuts[i - 1]], 2 * place + 1))
+        # Own segments come as such once and not as probes.
+        mine = [w for w in want if w[3] == 2 * place + 1 and w[1] == len(text)]
+        for i in (1, 2, 3):
+            first = next(w for w in mine if w[0] == i)
+            want[want.index(first)] = (*first[:3], 2 * place)
+            want.remove(first)
+    hashed = spark.createDataFrame(want, "i int, n int, part string, member bigint").select(F.xxhash64("i", "n", "part").alias("key"), "member")
+    assert Counter(map(tuple, found.collect())) == Counter(map(tuple, hashed.collect()))
+
+
+
 @pytest.mark.parametrize("edits", [1, 2])
 def test_line_dedup_against_all_pairs(spark, edits):
     rng = random.Random(edits)

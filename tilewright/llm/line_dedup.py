@@ -71,33 +71,35 @@ def selection(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
+def _segment(length: Column, i: Column, edits: int) -> tuple[Column, Column]:
     """Start (from 1) and size of segment ``i``: even parts, the last ones longer by one."""
     parts = edits + 1
     base = F.floor(length / parts).cast("int")
     extra = length - base * parts
-    size = base + F.when(F.lit(i) > parts - extra, 1).otherwise(0)
-    start = F.lit(1) + base * (i - 1) + F.greatest(F.lit(0), F.lit(i - 1) - (F.lit(parts) - extra))
+    size = base + F.when(i > parts - extra, 1).otherwise(0)
+    start = F.lit(1) + base * (i - 1) + F.greatest(F.lit(0), i - 1 - (F.lit(parts) - extra))
     return start, size
 
 
 def keys(lines: DataFrame, edits: int) -> DataFrame:
-    """``key, member`` of ``lines(place, line)``: member is twice the place, plus 1 for a probe."""
-    n = F.length("line")
-    found = []
-    for i in range(1, edits + 2):
-        start, size = _segment(n, i, edits)
-        found.append(F.struct(F.xxhash64(F.lit(i), n, F.substring("line", start, size)).alias("key"), (F.col("place") * 2).alias("member")))
-    for delta, i, shift in selection(edits):
-        if delta == shift == 0:
-            # The line's own segment, which is there already: segments meet segments, too.
-            continue
-        start, size = _segment(n - delta, i, edits)
-        at = start + shift
-        key = F.xxhash64(F.lit(i), n - delta, F.substring("line", at, size))
-        fits = (at >= 1) & (at + size - 1 <= n)
-        found.append(F.struct(F.when(fits, key).alias("key"), (F.col("place") * 2 + 1).alias("member")))
-    return lines.select(F.inline(F.array(*found))).where("key is not null")
+    """``key, member`` of ``lines(place, line)``: member is twice the place, plus 1 for a probe.
+
+    A line is repeated for each of its substrings, and one expression makes all keys: one expression for each of them
+    is more code than the virtual machine compiles in a method, which it then interprets.
+    """
+    own = [(0, i, 0, 0) for i in range(1, edits + 2)]
+    # A line's own segment as a probe is there already: segments meet segments, too.
+    probes = [(delta, i, shift, 1) for delta, i, shift in selection(edits) if delta or shift]
+    names = ("_delta", "_i", "_shift", "_probe")
+    parts = F.array(*[F.struct(*[F.lit(v).alias(name) for v, name in zip(part, names)]) for part in own + probes])
+    each = lines.select("place", "line", F.length("line").alias("_n")).select("place", "line", "_n", F.inline(parts))
+    length = F.col("_n") - F.col("_delta")
+    start, size = _segment(length, F.col("_i"), edits)
+    each = each.select("place", "line", "_n", "_i", "_probe", length.alias("_length"), (start + F.col("_shift")).alias("_at"), size.alias("_size"))
+    fits = each.where("_at >= 1 and _at + _size - 1 <= _n")
+    return fits.select(
+        F.xxhash64("_i", "_length", F.substring("line", F.col("_at"), F.col("_size"))).alias("key"), (F.col("place") * 2 + F.col("_probe")).alias("member")
+    )
 
 
 def _let(value: Column, use) -> Column:
