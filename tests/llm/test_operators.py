@@ -291,6 +291,30 @@ def test_fold_and_decode(spark):
         assert bytes(r.decoded) == r.word.encode()
 
 
+def test_op6_plans_hold_no_ranks(spark):
+    store, context = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    before = store.executionsCount()
+    docs = spark.createDataFrame([(1, "unbelievably odd wordings zzxqy")], "doc_id bigint, text string")
+    bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    context.listenerBus().waitUntilEmpty()
+    runs = store.executionsList(before, 100)
+    assert runs.size() > 2
+    for k in range(runs.size()):
+        nodes = store.planGraph(runs.apply(k).executionId()).allNodes()
+        assert sum(len(nodes.apply(i).desc()) for i in range(nodes.size())) < 100_000
+
+
+def test_merge_lists(spark):
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words = ["a", "", "x" * 70, "ab" * 33, " unbelievably", "日本語テキスト", "éa" * 9, *("a" * k for k in range(2, 9))]
+    row, table = bpe.rank_row(spark, ranks)
+    lists = spark.createDataFrame([(words,), ([],)], "words array<string>").crossJoin(row)
+    found = lists.select(F.size("words").alias("n"), bpe.merge_lists(F.col("words"), table).alias("ids")).collect()
+    assert {r.n: r.ids for r in found} == {0: [], len(words): [coder._encode_single_piece(w) if w else [] for w in words]}
+
+
 def fingerprint(text, words=4):
     found = text.encode().lower().split()
     if not found:

@@ -3,7 +3,7 @@
 A text is cut by the tokenizer's pattern. Words of the text that are in a stored cache of bounded size take
 their ids from there. All other distinct words of a group of texts go through ``merge_words``: a fold that
 merges the neighbours with the lowest rank until none is left, as Spark higher-order functions with the ranks
-as a literal map. The cache is filled by the same fold; its content changes speed only, never ids.
+as a joined row of arrays. The cache is filled by the same fold; its content changes speed only, never ids.
 
 Texts are not shuffled: groups are made and folded in one stage, written as references to words, and put together
 in the next one, so memory is bounded by the cache and a task's groups.
@@ -25,15 +25,15 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import new_folder, open_store, text_of, written
 
-# Bits of an id; the rank of a pair that does not merge.
+# Bits of an id, and where the rank begins in the number of a piece; between them is the place of its first byte.
 BITS = 17
-NONE = 1 << 61
+RANK_AT = 45
 GROUPS = 1 << 16
 SPREAD = 40_503_337
 GROUP_BYTES = 4 << 20
@@ -41,8 +41,9 @@ GROUP_DOCS = 5_000
 # Longer words are not cached, so the bytes of the cache are bounded. References that are looked up at once.
 CACHED_LENGTH = 64
 REFS_AT_ONCE = 200_000
-# Tasks that fold the words of the cache.
+# Tasks that fold the words of the cache, and lists of words in each.
 FOLDS = 48
+LISTS = 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +53,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Ranks(NamedTuple):
-    """The rank map as literals: hashed ``slots``, the ``shifts`` of its hash, ``first``, the id of each byte, and the ``mark``."""
+    """The rank map as columns of arrays: hashed ``slots``, the ``shifts`` of its hash, ``first``, the id of each byte, and the ``mark``."""
 
     slots: Column
     shifts: Column
@@ -102,12 +103,11 @@ def _literal(values: np.ndarray, used: np.ndarray | None = None) -> Column:
     return F.from_json(F.lit(text.getvalue()), "array<bigint>")
 
 
-def rank_map(ranks: dict[bytes, int]) -> Ranks:
-    """Literal rank map of a vocabulary whose ids are its ranks.
+def rank_arrays(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(slots, used, shifts, first) of a vocabulary whose ids are its ranks.
 
     A piece is held as its id. Each way to part a piece into two pieces is an entry: (left id, right id) to the
-    rank of their concatenation. Spark searches a literal of map type from end to end, so this map is a hash
-    table in an array.
+    rank of their concatenation. Spark searches a map from end to end, so this map is a hash table in an array.
     """
     numbers, merged = array("q"), array("q")
     for piece, rank in ranks.items():
@@ -117,70 +117,97 @@ def rank_map(ranks: dict[bytes, int]) -> Ranks:
                 numbers.append((left << BITS | right) * SPREAD)
                 merged.append(rank)
     slots, used, shifts = hash_pairs(np.frombuffer(numbers, np.int64), np.frombuffer(merged, np.int64))
-    first = np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+    return slots, used, shifts, np.array([ranks[bytes([k])] for k in range(256)], np.int64)
+
+
+def rank_map(ranks: dict[bytes, int]) -> Ranks:
+    """The rank map as literals, for expressions that stand alone; every description of their plan holds it in full."""
+    slots, used, shifts, first = rank_arrays(ranks)
     return Ranks(_literal(slots, used), _literal(shifts), _literal(first), len(slots), max(ranks.values()) + 1)
 
 
+def rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[DataFrame, Ranks]:
+    """The rank map as a stored table of one row to be joined, and its columns. Plans name these columns and hold no values."""
+    slots, used, shifts, first = rank_arrays(ranks)
+    columns = {"slots": pa.array(slots, mask=~used), "shifts": pa.array(shifts), "first": pa.array(first)}
+    row = pa.table({name: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for name, x in columns.items()})
+    stored = written(spark.createDataFrame(row), "ranks")
+    return F.broadcast(stored), Ranks(*map(F.col, columns), len(slots), max(ranks.values()) + 1)
+
+
 def _let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once."""
     return F.transform(F.array(value), use)[0]
 
 
+def _held_once(table: Ranks, use) -> Column:
+    """``use(table)`` with every array of the table computed once."""
+    return _let(table.slots, lambda a: _let(table.shifts, lambda b: _let(table.first, lambda c: use(Ranks(a, b, c, table.size, table.mark)))))
+
+
 def merge_words(word: Column, table: Ranks) -> Column:
-    """Ids of one word, a text column, as an array of integers: the bytes, merged as the ranks say.
+    """Ids of one word, a text column, as an array of integers: the bytes, merged as the ranks say."""
+    return _held_once(table, lambda held: _merged_word(word, held))
 
-    State: the pieces between two marks that merge with nothing, and per neighbouring pair the rank of their
-    concatenation, or a number above all ranks. The leftmost pair of lowest rank is merged first. An empty word
-    has no ids.
+
+def merge_lists(words: Column, table: Ranks) -> Column:
+    """Ids of each word of an array of words."""
+    return _held_once(table, lambda held: F.transform(words, lambda word: _merged_word(word, held)))
+
+
+def _merged_word(word: Column, table: Ranks) -> Column:
+    """Ids of one word.
+
+    State: one number per piece, between two marks that merge with nothing. From its high bits: the rank of the piece's
+    concatenation with the next one or a number above all ranks, the place of its first byte, its id. So the least
+    number is the leftmost pair of lowest rank, which is merged first. An empty word has no ids.
     """
-    # Every literal stands once in the plan.
-    def with_tables(slots: Column, shifts: Column, first: Column, x: Column) -> Column:
-        def big(value: int) -> Column:
-            return F.lit(value).cast("bigint")
+    def big(value: int) -> Column:
+        return F.lit(value).cast("bigint")
 
-        top = big(1 << BITS)
+    def fold(raw: Column) -> Column:
+        none = big(1 << BITS)
 
         def number(left: Column, right: Column) -> Column:
             return left * big(SPREAD << BITS) + right * big(SPREAD)
 
-        def rank(h: Column) -> Column:
-            shift = F.get(shifts, F.shiftright(h, 34).bitwiseAND(big(GROUPS - 1)).cast("int"))
-            slot = F.get(slots, (F.shiftright(h, 16) + shift).bitwiseAND(big(table.size - 1)).cast("int"))
-            return F.coalesce(slot.bitwiseXOR(h), big(NONE))
+        def own(piece: Column) -> Column:
+            return piece.bitwiseAND(big((1 << BITS) - 1))
+
+        def ranked(h: Column, low: Column) -> Column:
+            shift = F.get(table.shifts, F.shiftright(h, 34).bitwiseAND(big(GROUPS - 1)).cast("int"))
+            slot = F.get(table.slots, (F.shiftright(h, 16) + shift).bitwiseAND(big(table.size - 1)).cast("int"))
+            # An empty slot is null, which least() passes over.
+            return F.shiftleft(F.least(slot.bitwiseXOR(h), none), RANK_AT).bitwiseOR(low)
 
         def start(p: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: number(F.get(p, i - 1), F.get(p, i)))
-            return F.struct(p.alias("p"), F.transform(pairs, rank).alias("r"))
-
-        def merged(state: Column, at: Column, low: Column) -> Column:
-            p, r = state["p"], state["r"]
-            beside = F.transform(F.array(number(F.get(p, at - 2), low), number(low, F.get(p, at + 1))), rank)
-            return F.struct(
-                F.concat(F.slice(p, 1, at - 1), F.array(low), F.slice(p, at + 2, F.lit(1 << 30))).alias("p"),
-                F.concat(F.slice(r, 1, at - 2), beside, F.slice(r, at + 2, F.lit(1 << 30))).alias("r"),
-            )
-
-        def step(state: Column, _: Column) -> Column:
-            return _let(F.array_min(state["r"]), lambda low: F.when(low >= top, state).otherwise(
-                _let(F.array_position(state["r"], low).cast("int"), lambda at: merged(state, at, low))
+            pairs = F.transform(p, lambda x, i: number(x, F.coalesce(F.get(p, i + 1), big(table.mark))))
+            return F.transform(pairs, lambda h, i: ranked(h, F.shiftleft(i.cast("bigint"), BITS).bitwiseOR(F.get(p, i))))
+
+        def merged(q: Column, at: Column, low: Column) -> Column:
+            rank = F.shiftright(low, RANK_AT)
+            beside = F.array(number(own(F.get(q, at - 2)), rank), number(rank, own(F.get(q, at + 1))))
+            # The piece before keeps its place and id, the merged one has the place of its left part.
+            kept = big((1 << RANK_AT) - 1)
+            place = big((1 << RANK_AT) - (1 << BITS))
+            two = F.transform(beside, lambda h, i: ranked(h, F.when(i == 0, F.get(q, at - 2).bitwiseAND(kept)).otherwise(low.bitwiseAND(place).bitwiseOR(rank))))
+            return F.concat(F.slice(q, 1, at - 2), two, F.slice(q, at + 2, F.lit(1 << 30)))
+
+        def step(q: Column, _: Column) -> Column:
+            return _let(F.array_min(q), lambda low: F.when(low >= big(1 << (BITS + RANK_AT)), q).otherwise(
+                _let(F.array_position(q, low).cast("int"), lambda at: merged(q, at, low))
             ))
 
-        def fold(raw: Column) -> Column:
-            mark = F.array(big(table.mark))
-            pieces = F.concat(mark, F.transform(F.split(raw, ""), lambda c: F.get(first, F.ascii(c))), mark)
-            rounds = F.sequence(F.lit(1), F.length(raw))
-            return _let(pieces, lambda x: F.aggregate(rounds, start(x), step, lambda state: F.slice(state["p"], 2, F.size(state["p"]) - 2)))
-
-        return fold(x)
+        mark = F.array(big(table.mark))
+        pieces = F.concat(mark, F.transform(F.split(raw, ""), lambda c: F.get(table.first, F.ascii(c))), mark)
+        # One merge fewer than bytes at most; a word of one byte merges with nothing, however often.
+        rounds = F.sequence(F.lit(2), F.length(raw))
+        return _let(pieces, lambda p: F.aggregate(rounds, start(p), step, lambda q: F.transform(F.slice(q, 2, F.size(q) - 2), own)))
 
     # One character per byte.
     raw = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
-    def with_raw(x: Column) -> Column:
-        ids = _let(table.slots, lambda a: _let(table.shifts, lambda b: _let(table.first, lambda c: with_tables(a, b, c, x))))
-        return F.when(F.length(x) == 0, F.array().cast("array<int>")).otherwise(ids.cast("array<int>"))
-
-    return _let(raw, with_raw)
+    return _let(raw, lambda x: F.when(F.length(x) == 0, F.array().cast("array<int>")).otherwise(fold(x).cast("array<int>")))
 
 
 def frequent_words(docs: DataFrame, pattern: str, cache_words: int, sample_docs: int) -> DataFrame:
@@ -316,11 +343,14 @@ def encode(
     ranks = load_ranks(ranks_path)
     spark = docs.sparkSession
     rows = docs.select("doc_id", text_of("text").alias("text"))
-    table = rank_map(ranks)
+    row, table = rank_row(spark, ranks)
     # The folded words are a table in the shared folder, which every Python worker reads for itself; none come to the driver.
     folder = new_folder(spark, "folded-words")
     words = frequent_words(rows, pattern, cache_words, sample_docs)
-    words.repartition(FOLDS).select("word", merge_words(F.col("word"), table).alias("ids")).write.parquet(folder)
+    # The rank map is joined to lists of words, so that it is copied once for many.
+    lists = words.withColumn("list", F.pmod(F.xxhash64("word"), F.lit(FOLDS * LISTS))).repartition(FOLDS, "list").groupBy("list").agg(F.collect_list("word").alias("words"))
+    ids = lists.crossJoin(row).select(F.arrays_zip("words", merge_lists(F.col("words"), table).alias("ids")).alias("folded"))
+    ids.select(F.inline("folded").alias("word", "ids")).write.parquet(folder)
     pieces = spark.sparkContext.broadcast({rank: piece for piece, rank in ranks.items()})
 
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("text", "ids", "decoded")]
@@ -374,7 +404,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "ids", *["decoded"] * decode])
 
     groups = carried.mapInArrow(cut, f"rows array<{row_type}>, refs array<binary>, rare array<string>")
-    folded = groups.select("rows", "refs", F.transform("rare", lambda w: merge_words(w, table)).alias("ids"))
+    folded = groups.crossJoin(row).select("rows", "refs", merge_lists(F.col("rare"), table).alias("ids"))
     # Written in between, so that a task runs one Python worker at a time, which holds the words of the cache or their ids.
     place = new_folder(spark, "references")
     folded.write.option("compression", "zstd").parquet(place)
