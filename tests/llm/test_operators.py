@@ -16,7 +16,7 @@ import tiktoken
 import xxhash
 
 import __spark_entry__ as contract
-from tilewright.llm import bpe, fingerprints, html_extraction, labelled, line_dedup, lm_scoring, near_dedup, quality, toxicity, warc
+from tilewright.llm import bpe, common, fingerprints, html_extraction, labelled, line_dedup, lm_scoring, near_dedup, quality, toxicity, warc
 from pyspark.sql import functions as F
 
 SMALL = "/root/testdata/sf0.001"
@@ -403,6 +403,19 @@ def test_similar_documents_by_fingerprints(spark, monkeypatch):
     assert got == {k: k - 1 if k % 3 == 1 and bits[k // 3] <= 4 else k for k in range(36)}
 
 
+def test_components_in_few_rounds(spark):
+    """A chain and a star, dealt over many files; each round is several shuffles."""
+    rng = np.random.default_rng(3)
+    chain, star = rng.permutation(3000).astype(int), rng.permutation(np.arange(5000, 6000)).astype(int)
+    edges = [*zip(chain[:-1].tolist(), chain[1:].tolist()), *[(int(star[0]), int(x)) for x in star[1:]], (7000, 7000)]
+    df = spark.createDataFrame([*edges, (None, 1), (2, None)], "a bigint, b bigint").repartition(30)
+    want = {**{k: 0 for k in range(1, 3000)}, **{k: 5000 for k in range(5001, 6000)}}
+    # As one task's edges, and as those of many tasks.
+    for found in (common.components(df, max_rounds=1).collect(), common.components(df, max_rounds=12, at_once=700).collect()):
+        assert len(found) == len(want) and {r.node: r.root for r in found} == want
+    assert common.components(df.limit(0)).count() == 0
+
+
 def test_bpe_cache_is_compact():
     """Words are found by hash and compared; their ids lie in flat arrays and not in an object per word."""
     rng = random.Random(1)

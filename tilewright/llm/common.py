@@ -19,6 +19,8 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 # Texts are worked on together up to about so many bytes; a longer text by itself.
 SLICE_BYTES = 2_000_000
+# Edges that a task joins up at once.
+LINKS_AT_ONCE = 250_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -163,24 +165,50 @@ def to_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _shrunk(edges: DataFrame, at_once: int) -> DataFrame:
+    """Stars that connect what ``edges(a, b)`` connect: each task joins up the edges that it reads, about ``at_once`` at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _gathered(batches, at_once):
+            node, root = to_stars(*(np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for b in held]) for k in range(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["a", "b"])
+
+    return edges.mapInArrow(run, "a bigint, b bigint")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if n:
+        yield held
+
+
+def components(edges: DataFrame, max_rounds: int = 200, at_once: int = LINKS_AT_ONCE) -> DataFrame:
     """Connected components of ``edges(a bigint, b bigint)`` as ``node, root``: one row per node except roots.
 
-    Alternates the large-star and small-star steps; every round is a written table, and only the number of
-    edges and a checksum come to the driver. A node with very many edges is a hot join key that adaptive
-    execution splits; minima are partial aggregates. Null ends are ignored.
+    A round joins up edges inside of tasks of about ``at_once`` edges, then takes the large-star and small-star steps; every
+    round is a written table. Only counts come to the driver: of edges, and of nodes that are not settled, which have several
+    edges to smaller nodes, or edges both to smaller and to larger ones. Edges that are no more than one task's are settled
+    in it without a round. A node with very many edges is a hot join key that adaptive execution splits; minima are
+    partial aggregates. Null ends are ignored.
     """
     def link(df: DataFrame) -> DataFrame:
         return df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def unsettled(df: DataFrame) -> int:
+        ends = df.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(df.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").count()
 
     now = written(link(edges.select(F.col("a").cast("bigint"), F.col("b").cast("bigint"))), "edges")
-    seen = state(now)
     for _ in range(max_rounds):
-        if not seen[0]:
-            break
+        n = now.count()
+        now = written(_shrunk(now.coalesce(max(1, -(-n // at_once))), max(n, 1) if n <= at_once else at_once), "stars")
+        if n <= at_once or not unsettled(now):
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))
@@ -190,9 +218,4 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         small = large.join(down, large.a == down.u).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.union(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
         now = written(link(small), "edges")
-        last, seen = seen, state(now)
-        if last == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    if seen[0]:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError("components did not settle")

@@ -433,14 +433,16 @@ def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     # Other rows of a doc_id may have other sets.
     sets = written(sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingle-sets")
 
-    linked = written(_verified(near, sets), "similar-pairs")
-    stars = components(linked)
+    # Stars stand for the pairs that they come from when further pairs are added.
+    stars = components(written(_verified(near, sets), "similar-pairs"))
+    linked = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
     pairs = met.where("low < node").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(stars.select(F.col("node").alias("a"), F.col("root").alias("_x")), "a", "left")
     pairs = pairs.join(stars.select(F.col("node").alias("b"), F.col("root").alias("_y")), "b", "left")
     pairs = pairs.where(F.coalesce("_x", "a") != F.coalesce("_y", "b")).select("a", "b")
     linked = linked.union(written(_verified(pairs, sets), "similar-pairs"))
     stars = components(linked)
+    linked = stars.select(F.col("node").alias("a"), F.col("root").alias("b"))
     rooted = met.join(stars, "node", "left").select("key", "node", "low", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
     left = written(rooted.join(several, "key"), "open-sets")
@@ -449,7 +451,8 @@ def similar_documents(docs: DataFrame, words: int = 5) -> DataFrame:
     apart = (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.node") > F.col("l.low")) & (F.col("l.root") != F.col("r.root"))
     more = l.join(r, apart).select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
     more = written(_verified(more, sets), "similar-pairs")
-    stars = components(linked.union(more))
+    if not more.isEmpty():
+        stars = components(linked.union(more))
     rooted = firsts.join(stars, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     return marks.select("doc_id", "node").join(rooted.join(named, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
