@@ -305,6 +305,16 @@ def test_op6_plans_hold_no_ranks(spark):
         assert sum(len(nodes.apply(i).desc()) for i in range(nodes.size())) < 100_000
 
 
+def test_op6_groups_share_words(spark, monkeypatch):
+    """Texts of several MB are one group, whose rare words are folded once."""
+    folders, make = {}, bpe.new_folder
+    monkeypatch.setattr(bpe, "new_folder", lambda session, name: folders.setdefault(name, make(session, name)))
+    docs = spark.range(6000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit(" unbelievably odd" * 70).alias("text"))
+    found = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, cache_words=0)
+    assert spark.read.parquet(folders["references"]).count() == 1
+    assert found.select("ids").distinct().count() == 1
+
+
 def test_merge_lists(spark):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

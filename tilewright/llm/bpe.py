@@ -36,8 +36,9 @@ BITS = 17
 RANK_AT = 45
 GROUPS = 1 << 16
 SPREAD = 40_503_337
-GROUP_BYTES = 4 << 20
-GROUP_DOCS = 5_000
+# Texts that share their words, so that each rare one is folded once: characters and number.
+GROUP_BYTES = 16 << 20
+GROUP_DOCS = 20_000
 # Longer words are not cached, so the bytes of the cache are bounded. References that are looked up at once.
 CACHED_LENGTH = 64
 REFS_AT_ONCE = 200_000
@@ -372,7 +373,8 @@ def encode(
                 while stop < batch.num_rows and (stop == start or size < GROUP_BYTES) and stop - start < GROUP_DOCS:
                     text = texts[stop].as_py()
                     size += len(text)
-                    found.append(np.array(list(map(number.__getitem__, find(text))), np.int32))
+                    cuts = find(text)
+                    found.append(np.fromiter(map(number.__getitem__, cuts), np.int32, len(cuts)))
                     stop += 1
                 words = list(number)
                 places = known.places(words)
